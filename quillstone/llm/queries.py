@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import exact_dedup, mixing, quality
+from quillstone.llm import exact_dedup, mixing, packing, quality, token_hist
 from quillstone.llm.common import documents
 
 
@@ -22,6 +22,14 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_hist.length_table(documents(spark, sf_dir))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents
@@ -61,7 +69,7 @@ WITH RECURSIVE sizes AS (
 SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM e
 """
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op5_exact_dedup, op7_source_mixing)}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op5_exact_dedup, op7_source_mixing, op9_best_fit_packing)}
 _SQL = {"op5_exact_dedup": OP5_SQL, "op7_source_mixing": OP7_SQL}
 
 
