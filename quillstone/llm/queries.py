@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import exact_dedup, mixing, packing, quality, token_hist
+from quillstone.llm import exact_dedup, mixing, near_dedup, packing, quality, token_hist
 from quillstone.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_hist.length_table(documents(spark, sf_dir))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -69,7 +73,7 @@ WITH RECURSIVE sizes AS (
 SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM e
 """
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op5_exact_dedup, op7_source_mixing, op9_best_fit_packing)}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op5_exact_dedup, op6_minhash_near_dedup, op7_source_mixing, op9_best_fit_packing)}
 _SQL = {"op5_exact_dedup": OP5_SQL, "op7_source_mixing": OP7_SQL}
 
 
