@@ -78,6 +78,14 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             i = j
 
 
+def sample(rows: DataFrame, size: int, salt: int, key: str = "doc_id") -> DataFrame:
+    """About ``size`` rows, chosen by a hash of their id: a training sample whose size doesn't grow with the table."""
+    total = rows.count()
+    if total <= size:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * size / total))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash."""
     h = (h ^ (h >> np.uint64(33))) * _M1
@@ -96,11 +104,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each run of bytes other than ASCII white space; runs end with their row."""
+def word_spans(data: np.ndarray, off: np.ndarray, inside: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each run of bytes of a kind, by default all but ASCII white space; runs end with their row."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    solid = ~_SPACE[data]
+    solid = inside[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[off] = True
     first = solid.copy()
@@ -111,11 +119,17 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.flatnonzero(last) + 1, np.searchsorted(off, starts, "right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
-    up, down = _power(len(data) + 1)
+def running_sums(data: np.ndarray) -> np.ndarray:
+    up, _ = _power(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
+    return sums
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of byte spans, equal for equal bytes wherever they stand; sums: those of ``data``, if at hand."""
+    sums = running_sums(data) if sums is None else sums
+    _, down = _power(len(data) + 1)
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 

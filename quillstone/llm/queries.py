@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import exact_dedup, mixing, near_dedup, packing, quality, token_hist
+from quillstone.llm import exact_dedup, langid, mixing, near_dedup, packing, quality, token_hist, toxicity
 from quillstone.llm.common import documents
 
 
@@ -34,6 +34,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.fit(docs))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents
@@ -73,7 +83,7 @@ WITH RECURSIVE sizes AS (
 SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM e
 """
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op5_exact_dedup, op6_minhash_near_dedup, op7_source_mixing, op9_best_fit_packing)}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op5_exact_dedup, op6_minhash_near_dedup, op7_source_mixing, op8_language_id, op9_best_fit_packing, op10_toxicity)}
 _SQL = {"op5_exact_dedup": OP5_SQL, "op7_source_mixing": OP7_SQL}
 
 
