@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import exact_dedup, langid, mixing, near_dedup, packing, quality, token_hist, toxicity
+from quillstone.llm import exact_dedup, langid, license_scan, mixing, near_dedup, packing, quality, suffix_dedup, token_hist, toxicity
 from quillstone.llm.common import documents
 
 
@@ -14,6 +14,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good", "kept")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -83,7 +91,7 @@ WITH RECURSIVE sizes AS (
 SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM e
 """
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op5_exact_dedup, op6_minhash_near_dedup, op7_source_mixing, op8_language_id, op9_best_fit_packing, op10_toxicity)}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_license_scan, op4_suffix_dedup, op5_exact_dedup, op6_minhash_near_dedup, op7_source_mixing, op8_language_id, op9_best_fit_packing, op10_toxicity)}
 _SQL = {"op5_exact_dedup": OP5_SQL, "op7_source_mixing": OP7_SQL}
 
 
