@@ -5,16 +5,154 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.functions import dates, isbn
+from quillstone.functions.text import normalize
+from quillstone.operators import duplicates as D
 from quillstone.plans.registry import query
+from quillstone.sources.catalog import SQL, Catalog, table
 
+_KEYS = [F.lower(F.trim("title")), F.lower(F.trim("author_sort"))]
+_SAME = "lower(trim(a.title)) = lower(trim(b.title)) AND lower(trim(a.author_sort)) = lower(trim(b.author_sort))"
+PRIORITY = ("MOBI", "EPUB", "PDF")
+_PAIRS = f"SELECT a.id AS id1, b.id AS id2 FROM books a JOIN books b ON {_SAME} AND a.id < b.id"
 
-@query("Q1 J7 J4 P6", """
-SELECT a.p_partkey AS id1, b.p_partkey AS id2, a.p_name AS title, a.p_brand AS author
-FROM part a JOIN part b ON lower(trim(a.p_name)) = lower(trim(b.p_name)) AND lower(trim(a.p_brand)) = lower(trim(b.p_brand)) AND a.p_partkey < b.p_partkey
+
+@query("Q1 J3 J4 J7 P5 P6 F1 O1", SQL + f"""
+SELECT a.id AS id1, b.id AS id2, a.title, a.author_sort, i1.isbn AS isbn1, i2.isbn AS isbn2 FROM books a
+JOIN books b ON {_SAME} AND a.id < b.id LEFT JOIN isbns i1 ON i1.book = a.id LEFT JOIN isbns i2 ON i2.book = b.id
+LEFT JOIN comments c ON c.book = a.id WHERE (c.text IS NULL OR c.text NOT ILIKE '%worthless%')
 """)
 def dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand")
-    keyed = part.withColumns({"t": F.lower(F.trim("p_name")), "w": F.lower(F.trim("p_brand"))})
-    a, b = keyed.alias("a"), keyed.alias("b")
-    on = (F.col("a.t") == F.col("b.t")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
-    return a.join(b, on).select(F.col("a.p_partkey").alias("id1"), F.col("b.p_partkey").alias("id2"), F.col("a.p_name").alias("title"), F.col("a.p_brand").alias("author"))
+    cat = Catalog(spark, sf_dir)
+    books, isbns = cat.books, cat.isbns
+    found = D.pairs(books, _KEYS).join(books.select(F.col("id").alias("id1"), "title", "author_sort"), "id1")
+    found = found.join(isbns.select(F.col("book").alias("id1"), F.col("isbn").alias("isbn1")), "id1", "left").join(isbns.select(F.col("book").alias("id2"), F.col("isbn").alias("isbn2")), "id2", "left")
+    found = found.join(cat.comments.select(F.col("book").alias("id1"), "text"), "id1", "left")
+    return found.filter(F.col("text").isNull() | ~F.col("text").ilike("%worthless%")).select("id1", "id2", "title", "author_sort", "isbn1", "isbn2")
+
+
+@query("C6 A8 T6", SQL + f", p AS ({_PAIRS}) SELECT id1 AS group_id, id2 AS id FROM p UNION SELECT id1, id1 FROM p")
+def dup_groups_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.groups_from_pairs(D.pairs(Catalog(spark, sf_dir).books, _KEYS))
+
+
+_BY_KEY = "SELECT min(id) OVER (PARTITION BY lower(trim(title)), lower(trim(author_sort))) AS group_id, id, count(*) OVER (PARTITION BY lower(trim(title)), lower(trim(author_sort))) AS n FROM books"
+
+
+@query("C6 A7", SQL + f"SELECT group_id, id FROM ({_BY_KEY}) WHERE n > 1")
+def dup_groups_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.groups_by_key(Catalog(spark, sf_dir).books, _KEYS)
+
+
+_NORMAL = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("C1 F2 A7 T13 T19", f"SELECT md5({_NORMAL}) AS key_md5, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def dup_exact_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.groupBy(F.md5(normalize(F.col("text"))).alias("key_md5")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+
+
+_VALUES = "SELECT book AS id, isbn AS value FROM isbns UNION ALL SELECT book, isbn FROM isbns WHERE book % 2 = 0 UNION ALL SELECT id, (SELECT min(isbn) FROM isbns) FROM books WHERE id % 97 = 5"
+
+
+def _values(cat: Catalog) -> DataFrame:
+    """Numbers from the record's own column, from its identifiers, and one that many records share."""
+    isbns = cat.isbns.select(F.col("book").alias("id"), F.col("isbn").alias("value"))
+    least = isbns.agg(F.min("value").alias("value"))  # one row
+    shared = cat.books.filter("id % 97 = 5").select("id").crossJoin(F.broadcast(least))
+    return isbns.unionByName(isbns.filter("id % 2 = 0")).unionByName(shared)
+
+
+@query("C3 A9 T12", SQL + f"SELECT value, count(*) AS n FROM ({_VALUES}) GROUP BY value HAVING count(*) > 1")
+def dup_isbn_faithful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.identifier_groups(_values(Catalog(spark, sf_dir)), by_record=False)
+
+
+@query("C3 A9", SQL + f"SELECT value, count(DISTINCT id) AS n FROM ({_VALUES}) GROUP BY value HAVING count(DISTINCT id) > 1")
+def dup_isbn_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.identifier_groups(_values(Catalog(spark, sf_dir)), by_record=True)
+
+
+@query("C2 J9 F25", """
+WITH r AS (SELECT p_partkey AS id, p_brand, p_type, lower(trim(p_name)) AS t FROM part WHERE trim(p_name) <> '')
+SELECT a.id AS id1, b.id AS id2, round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 6) AS ratio
+FROM r a JOIN r b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.id < b.id
+WHERE round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 6) >= 0.7
+""")
+def dup_similar_lev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id")
+    return D.similar_titles(part, ["p_brand", "p_type"], "p_name", 0.7)
+
+
+@query("C2 F25 T14 T15 T16 X3")
+def dup_similar_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id")
+    return D.similar_titles(part, ["p_brand", "p_type"], "p_name", 0.85, ratio="sequence", both_ways=True)
+
+
+@query("C4 C5 A11", SQL + f", g AS (SELECT group_id, count(*) AS n FROM ({_BY_KEY}) WHERE n > 1 GROUP BY group_id) SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_members, CAST(sum(n - 1) AS BIGINT) AS n_extra FROM g")
+def dup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.summary(D.groups_by_key(Catalog(spark, sf_dir).books, _KEYS))
+
+
+@query("C4", SQL + f"""
+SELECT 'key' AS kind, CAST(group_id AS VARCHAR) AS name, count(*) AS n FROM ({_BY_KEY}) WHERE n > 1 GROUP BY group_id
+UNION ALL SELECT 'isbn', value, count(DISTINCT id) FROM ({_VALUES}) GROUP BY value HAVING count(DISTINCT id) > 1
+""")
+def dup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = Catalog(spark, sf_dir)
+    keyed = D.groups_by_key(cat.books, _KEYS).groupBy("group_id").agg(F.count("*").alias("n"))
+    numbered = D.identifier_groups(_values(cat), by_record=True)
+    return keyed.select(F.lit("key").alias("kind"), F.col("group_id").cast("string").alias("name"), "n").unionByName(numbered.select(F.lit("isbn").alias("kind"), F.col("value").alias("name"), "n"))
+
+
+_SCORED = f"""g AS (SELECT group_id, id FROM ({_BY_KEY}) WHERE n > 1),
+f AS (SELECT book, count(*) AS n_formats, max(CASE format WHEN 'PDF' THEN 2 WHEN 'EPUB' THEN 1 ELSE 0 END) AS best FROM data GROUP BY book),
+scored AS (SELECT group_id, g.id, CAST(coalesce(best, 0) * 1000 + modified_day + 10 * coalesce(n_formats, 0) AS BIGINT) AS score FROM g JOIN books USING (id) LEFT JOIN f ON f.book = g.id)
+"""
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = Catalog(spark, sf_dir)
+    formats = cat.data.groupBy("book").agg(F.collect_set("format").alias("formats")).withColumnRenamed("book", "id")
+    rows = D.groups_by_key(cat.books, _KEYS).join(cat.books.select("id", "modified_day"), "id").join(formats, "id", "left")
+    score = D.keeper_score(F.coalesce("formats", F.array().cast("array<string>")), PRIORITY, F.col("modified_day"))
+    return D.plan(rows.select("group_id", "id", score.alias("score")))
+
+
+@query("C7 C8 F22 W1 O6 U5 T20", SQL + f", {_SCORED} SELECT group_id, id, score, CASE WHEN row_number() OVER (PARTITION BY group_id ORDER BY score DESC, id) = 1 THEN 'KEEP' ELSE 'DELETE' END AS action FROM scored")
+def dedup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir)
+
+
+@query("C7 W1", SQL + f", {_SCORED} SELECT group_id, id, score FROM scored QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY score DESC, id) = 1")
+def keeper_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir).filter("action = 'KEEP'").drop("action")
+
+
+@query("C7 F21 F22 T7", """
+SELECT o_custkey, o_orderkey, CAST((list_position(['P', 'F', 'O'], o_orderstatus) - 1) * 1000 + floor(epoch(o_orderdate) / 86400) AS BIGINT) AS score FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY (list_position(['P', 'F', 'O'], o_orderstatus) - 1) * 1000 + floor(epoch(o_orderdate) / 86400) DESC, o_orderkey) = 1
+""")
+def keeper_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    status = F.array_position(F.array(*[F.lit(x) for x in "PFO"]), F.col("o_orderstatus")) - 1
+    scored = orders.select(F.col("o_custkey").alias("group_id"), F.col("o_orderkey").alias("id"), (status * 1000 + dates.day_of(F.col("o_orderdate"))).cast("long").alias("score"))
+    return D.plan(scored).filter("action = 'KEEP'").select(F.col("group_id").alias("o_custkey"), F.col("id").alias("o_orderkey"), "score")
+
+
+@query("C8 A10", SQL + f", {_SCORED}, p AS (SELECT group_id, CASE WHEN row_number() OVER (PARTITION BY group_id ORDER BY score DESC, id) = 1 THEN 'KEEP' ELSE 'DELETE' END AS action FROM scored) SELECT action, count(*) AS n FROM p GROUP BY action")
+def dedup_plan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("A7 F14 F15 F16", "SELECT id, is10, is13, is10 OR is13 AS is_any FROM (SELECT p_partkey AS id, p_partkey % 2 = 0 AS is10, p_partkey % 2 = 1 AS is13 FROM part) ORDER BY id")
+def isbn_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that are valid by construction, written with hyphens, of ten and thirteen digits in turn."""
+    nine = F.lpad(F.col("p_partkey").cast("string"), 9, "0")
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(9)), F.lit(0), lambda a, i: a + (F.lit(11) - i) * F.substring(nine, i, F.lit(1)).cast("int"))
+    check = (F.lit(11) - total % 11) % 11
+    ten = F.concat(F.substring(nine, 1, 1), F.lit("-"), F.substring(nine, 2, 8), F.lit("-"), F.when(check == 10, "X").otherwise(check.cast("string")))
+    value = F.when(F.col("p_partkey") % 2 == 0, ten).otherwise(isbn.isbn13_of(F.col("p_partkey")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), value.alias("v")).select("id", isbn.valid10(F.col("v")).alias("is10"), isbn.valid13(F.col("v")).alias("is13"), isbn.valid(F.col("v")).alias("is_any"))
