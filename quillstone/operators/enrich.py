@@ -88,7 +88,7 @@ def patch(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 def bulk_outcome(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """One row: how many of the ids exist and take the update, and how many don't."""
     found = ids.select(key).distinct().join(rows.select(key).withColumn("here", F.lit(1)), key, "left")
-    return found.agg(F.count_if("here IS NOT NULL").alias("n_success"), F.count_if("here IS NULL").alias("n_failure"), F.count("*").alias("n_total"))
+    return found.agg(F.count_if(F.expr("here IS NOT NULL")).alias("n_success"), F.count_if(F.expr("here IS NULL")).alias("n_failure"), F.count("*").alias("n_total"))
 
 
 def lookup(rows: DataFrame, metadata: DataFrame, key: str) -> DataFrame:

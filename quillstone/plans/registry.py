@@ -21,7 +21,7 @@ class Query:
 
 _found: dict[str, Query] = {}
 #: Modules that register queries when imported.
-MODULES: tuple[str, ...] = ("quillstone.plans.duplicates",)
+MODULES: tuple[str, ...] = ("quillstone.plans.duplicates", "quillstone.plans.catalog")
 
 
 def query(covers: str, sql: str | None = None) -> Callable[[Run], Run]:
