@@ -77,15 +77,21 @@ def stars(c: Column, most: int = 5) -> Column:
     return F.concat(F.repeat(F.lit("★"), c), F.repeat(F.lit("☆"), F.lit(most) - c))
 
 
-def char_ngrams(c: Column, n: int) -> Column:
-    """All runs of n characters; a shorter string has none."""
-    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+def chars(c: Column) -> Column:
+    """The characters of a text, from which runs are taken in one step each, wherever they stand."""
+    return F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+
+
+def char_ngrams(letters: Column, n: int) -> Column:
+    """All runs of n of the characters; fewer have none. ``letters`` should be a column, as it is read once a run."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(letters) - n), lambda i: F.concat(*[F.get(letters, i + k) for k in range(n)]))
+    return F.when(F.size(letters) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
 def subwords(c: Column, low: int = 3, high: int = 6) -> Column:
     """Character runs of the word in angle brackets, shortest first."""
     marked = F.concat(F.lit("<"), c, F.lit(">"))
-    return F.flatten(F.array(*[char_ngrams(marked, n) for n in range(low, high + 1)]))
+    return F.flatten(F.array(*[char_ngrams(chars(marked), n) for n in range(low, high + 1)]))
 
 
 def title_case(c: Column) -> Column:

@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import char_ngrams
+from quillstone.functions.text import char_ngrams, chars
 
 
 def ngram_profile(docs: DataFrame, text: Column, label: str, n: int, top: int) -> DataFrame:
     """(label, gram, n): the most frequent character n-grams of each label, ties by gram."""
-    grams = docs.select(label, F.explode(char_ngrams(text, n)).alias("gram"))
+    grams = docs.select(label, chars(text).alias("__t")).select(label, F.explode(char_ngrams(F.col("__t"), n)).alias("gram"))
     counts = grams.groupBy(label, "gram").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy(label).orderBy(F.col("n").desc(), "gram"))
     return counts.withColumn("place", place).filter(F.col("place") <= top).drop("place")
@@ -25,7 +25,7 @@ def profile_scores(docs: DataFrame, text: Column, key: str, profiles: DataFrame,
 
     A text's grams are counted within the row first, so repeated ones meet the profile once.
     """
-    grams = docs.select(key, F.explode(char_ngrams(text, n)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("times"))
+    grams = docs.select(key, chars(text).alias("__t")).select(key, F.explode(char_ngrams(F.col("__t"), n)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("times"))
     return grams.join(profiles.select(label, "gram"), "gram").groupBy(key, label).agg(F.sum("times").alias("score"))
 
 
