@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quillstone.functions.text import normalize
 
@@ -52,7 +53,7 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
     return F.round(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)), 6)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of the two strings; the order of the two matters."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")

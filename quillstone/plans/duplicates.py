@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import dates, isbn
@@ -11,7 +11,12 @@ from quillstone.operators import duplicates as D
 from quillstone.plans.registry import query
 from quillstone.sources.catalog import SQL, Catalog, table
 
-_KEYS = [F.lower(F.trim("title")), F.lower(F.trim("author_sort"))]
+
+
+def _keys() -> list[Column]:
+    return [F.lower(F.trim("title")), F.lower(F.trim("author_sort"))]
+
+
 _SAME = "lower(trim(a.title)) = lower(trim(b.title)) AND lower(trim(a.author_sort)) = lower(trim(b.author_sort))"
 PRIORITY = ("MOBI", "EPUB", "PDF")
 _PAIRS = f"SELECT a.id AS id1, b.id AS id2 FROM books a JOIN books b ON {_SAME} AND a.id < b.id"
@@ -25,7 +30,7 @@ LEFT JOIN comments c ON c.book = a.id WHERE (c.text IS NULL OR c.text NOT ILIKE
 def dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = Catalog(spark, sf_dir)
     books, isbns = cat.books, cat.isbns
-    found = D.pairs(books, _KEYS).join(books.select(F.col("id").alias("id1"), "title", "author_sort"), "id1")
+    found = D.pairs(books, _keys()).join(books.select(F.col("id").alias("id1"), "title", "author_sort"), "id1")
     found = found.join(isbns.select(F.col("book").alias("id1"), F.col("isbn").alias("isbn1")), "id1", "left").join(isbns.select(F.col("book").alias("id2"), F.col("isbn").alias("isbn2")), "id2", "left")
     found = found.join(cat.comments.select(F.col("book").alias("id1"), "text"), "id1", "left")
     return found.filter(F.col("text").isNull() | ~F.col("text").ilike("%worthless%")).select("id1", "id2", "title", "author_sort", "isbn1", "isbn2")
@@ -33,7 +38,7 @@ def dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("C6 A8 T6", SQL + f", p AS ({_PAIRS}) SELECT id1 AS group_id, id2 AS id FROM p UNION SELECT id1, id1 FROM p")
 def dup_groups_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.groups_from_pairs(D.pairs(Catalog(spark, sf_dir).books, _KEYS))
+    return D.groups_from_pairs(D.pairs(Catalog(spark, sf_dir).books, _keys()))
 
 
 _BY_KEY = "SELECT min(id) OVER (PARTITION BY lower(trim(title)), lower(trim(author_sort))) AS group_id, id, count(*) OVER (PARTITION BY lower(trim(title)), lower(trim(author_sort))) AS n FROM books"
@@ -41,7 +46,7 @@ _BY_KEY = "SELECT min(id) OVER (PARTITION BY lower(trim(title)), lower(trim(auth
 
 @query("C6 A7", SQL + f"SELECT group_id, id FROM ({_BY_KEY}) WHERE n > 1")
 def dup_groups_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.groups_by_key(Catalog(spark, sf_dir).books, _KEYS)
+    return D.groups_by_key(Catalog(spark, sf_dir).books, _keys())
 
 
 _NORMAL = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g'))"
@@ -93,7 +98,7 @@ def dup_similar_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("C4 C5 A11", SQL + f", g AS (SELECT group_id, count(*) AS n FROM ({_BY_KEY}) WHERE n > 1 GROUP BY group_id) SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_members, CAST(sum(n - 1) AS BIGINT) AS n_extra FROM g")
 def dup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.summary(D.groups_by_key(Catalog(spark, sf_dir).books, _KEYS))
+    return D.summary(D.groups_by_key(Catalog(spark, sf_dir).books, _keys()))
 
 
 @query("C4", SQL + f"""
@@ -102,7 +107,7 @@ UNION ALL SELECT 'isbn', value, count(DISTINCT id) FROM ({_VALUES}) GROUP BY val
 """)
 def dup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = Catalog(spark, sf_dir)
-    keyed = D.groups_by_key(cat.books, _KEYS).groupBy("group_id").agg(F.count("*").alias("n"))
+    keyed = D.groups_by_key(cat.books, _keys()).groupBy("group_id").agg(F.count("*").alias("n"))
     numbered = D.identifier_groups(_values(cat), by_record=True)
     return keyed.select(F.lit("key").alias("kind"), F.col("group_id").cast("string").alias("name"), "n").unionByName(numbered.select(F.lit("isbn").alias("kind"), F.col("value").alias("name"), "n"))
 
@@ -116,7 +121,7 @@ scored AS (SELECT group_id, g.id, CAST(coalesce(best, 0) * 1000 + modified_day +
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = Catalog(spark, sf_dir)
     formats = cat.data.groupBy("book").agg(F.collect_set("format").alias("formats")).withColumnRenamed("book", "id")
-    rows = D.groups_by_key(cat.books, _KEYS).join(cat.books.select("id", "modified_day"), "id").join(formats, "id", "left")
+    rows = D.groups_by_key(cat.books, _keys()).join(cat.books.select("id", "modified_day"), "id").join(formats, "id", "left")
     score = D.keeper_score(F.coalesce("formats", F.array().cast("array<string>")), PRIORITY, F.col("modified_day"))
     return D.plan(rows.select("group_id", "id", score.alias("score")))
 
