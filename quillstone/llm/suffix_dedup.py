@@ -24,8 +24,8 @@ from quillstone.llm.suffix_sort import permuted_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 32
 _SPREAD = LENGTH - GRAM + 1
-#: Text bytes whose anchors share a bucket; occurrences beyond which an anchor is hot; bytes of a shard's suffix array.
-BUCKET_BYTES, HOT, SHARD_BYTES = 64 << 20, 1024, 2 << 20
+#: Text bytes whose anchors share a bucket; occurrences, of at most 168 bytes each, beyond which an anchor is hot; bytes of a shard's suffix array.
+BUCKET_BYTES, HOT, SHARD_BYTES = 64 << 20, 32768, 2 << 20
 #: Copies of whole texts up to which their ids are broadcast (16 MB); beyond, the join shuffles.
 FEW_COPIES = 1 << 20
 _LAST = (1 << 63) - 1
