@@ -1,0 +1,25 @@
+"""The registered queries: their columns, and their SQL where there is some."""
+
+import pytest
+from oracle import check, connect
+
+from quillstone.llm import queries
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, name):
+    got, want = check(queries.queries()[name](spark, SMALL), connect(SMALL), queries.oracle_sql()[name])
+    assert got == want
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_one_row_a_document_or_more(spark, name):
+    assert queries.queries()[name](spark, SMALL).count() > 0
+
+
+def test_native_operators_run_no_python(spark):
+    for name in ("op1_quality_rules", "op7_source_mixing"):
+        plan = queries.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
