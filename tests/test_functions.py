@@ -139,6 +139,20 @@ def test_files(spark, tmp_path):
     assert files.fields_of(lines).first()["fields"] == {"Title": ["A: B"], "Tag": ["x", "y"]}
 
 
+def test_tables_in_files(spark, tmp_path):
+    (tmp_path / "t.csv").write_bytes("v1,v2\nham,caf\xe9\n".encode("latin-1"))
+    assert tuple(files.csv(spark, str(tmp_path / "t.csv"), "v1 string, v2 string", encoding="ISO-8859-1").first()) == ("ham", "café")
+    (tmp_path / "t.json").write_text('[{"text": "a", "label": "x"},\n {"text": "b"}]')
+    assert sorted(map(tuple, files.json_array(spark, str(tmp_path / "t.json"), "text string, label string").collect())) == [("a", "x"), ("b", None)]
+    rows = spark.createDataFrame([("a, b", "en"), ("c", "fr")], "text string, label string")
+    files.write_labelled_lines(rows, str(tmp_path / "lines"), seed=1)
+    assert sorted(map(tuple, files.labelled_lines(spark, str(tmp_path / "lines")).collect())) == [("a, b", "en"), ("c", "fr")]
+    files.append_log(rows, str(tmp_path / "log"))
+    files.append_log(rows, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 4
+    assert files.concatenated(spark, str(tmp_path), "*.csv").count() == 2
+
+
 def test_cache_age(spark, tmp_path):
     built = []
     make = lambda: built.append(1) or spark.range(1)
