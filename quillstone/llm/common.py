@@ -65,15 +65,15 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with at most ``limit`` bytes of text (or one row), with their bytes and offsets."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with at most ``limit`` bytes of text (or one row) and ``most`` rows, with bytes and offsets."""
     for batch in batches:
         if not batch.num_rows:
             continue
         data, off = as_bytes(batch.column(batch.schema.get_field_index(text)))
         i = 0
         while i < batch.num_rows:
-            j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+            j = min(i + most, max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1))
             yield batch.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i]
             i = j
 

@@ -1,9 +1,10 @@
 """Near-duplicate groups: banded MinHash candidates, sequential Bayesian pruning, exact confirmation.
 
 Rows with one and the same shingle set form a class, told by a commutative hash of the set, and need no comparing.
-Every row falls into one bucket a band. First each row is held against the least row of its buckets, so a bucket of any
-size gives one pair a row. Buckets that still hold more than one component are then worked off: large ones by
-further leaders in turn, until what is left of them is compared between components, pair by pair. A pair is pruned as
+Every row falls into one bucket a band. First each row is held against two rows of its buckets: the least one, and the one whose buckets are
+fullest, which in a family of copies is the text that they vary; so a bucket of any size gives two pairs a row. Buckets
+that still hold more than one component are dealt out in blocks, and signatures of rows of different components are
+compared within pairs of blocks, where only likely pairs become rows. A pair is pruned as
 soon as the posterior chance that its similarity reaches the threshold falls below the chosen miss probability;
 survivors are confirmed on the word shingles of both whole texts.
 """
@@ -11,6 +12,7 @@ survivors are confirmed on the word shingles of both whole texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -24,19 +26,20 @@ from quillstone.llm.components import components
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: A pair at the threshold shares no band with a chance of (1 - 0.75 ** 4) ** 32, about 5e-6.
 BANDS, BAND_ROWS = 32, 4
-#: Hashes compared at a time, and the posterior chance under which a pair is dropped.
-STEP, MISS = 16, 1e-6
-#: Members from which a mixed bucket gets further leaders, and how many at most.
-CROWD, LEADERS = 64, 8
+#: Hashes of a signature, how many are compared at a time, and the posterior chance under which a pair is dropped. In a
+#: family of copies most pairs are somewhat alike: many hashes keep those near the threshold few.
+HASHES, STEP, MISS = 512, 32, 1e-5
+#: Rows of a bucket in a block.
+BLOCK = 512
 
 _rng = np.random.default_rng(77003)
-_A = _rng.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
-_B = _rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+_A = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, data, off in pieces(batches):
+    for part, data, off in pieces(batches, most=4096):
         n = len(off) - 1
         h, row, _ = shingles(LOWER[data], off, WORDS)
         order = np.lexsort((h, row))
@@ -47,13 +50,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.bincount(row, minlength=n)
         filled = np.flatnonzero(size)
         begin = (np.cumsum(size) - size)[filled]
-        sets, marks, keys = np.zeros((2, n), np.int64), np.zeros((n, BANDS * BAND_ROWS), np.uint32), np.zeros((n, BANDS), np.uint64)
+        sets, marks, keys = np.zeros((2, n), np.int64), np.zeros((n, HASHES), np.uint32), np.zeros((n, BANDS), np.uint64)
         if len(filled):
             sets[0, filled] = np.add.reduceat(h, begin).view(np.int64)
             sets[1, filled] = np.bitwise_xor.reduceat(mix(h + np.uint64(1)), begin).view(np.int64)
-            for k in range(BANDS * BAND_ROWS):
-                marks[filled, k] = np.minimum.reduceat(((h * _A[k] + _B[k]) >> np.uint64(32)).astype(np.uint32), begin)
-            banded = marks.reshape(n, BANDS, BAND_ROWS).astype(np.uint64)
+            short = (h >> np.uint64(32)).astype(np.uint32)
+            for k in range(HASHES):
+                marks[filled, k] = np.minimum.reduceat(short * _A[k] + _B[k], begin)
+            banded = marks[:, : BANDS * BAND_ROWS].reshape(n, BANDS, BAND_ROWS).astype(np.uint64)
             keys[:] = _BAND_SALT
             for k in range(BAND_ROWS):
                 keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + banded[:, :, k])
@@ -71,6 +75,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(_sketch, "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>")
 
 
+@lru_cache(maxsize=None)
 def least_matches(n: int, threshold: float, miss: float) -> int:
     """Fewest equal hashes of n at which the chance of similarity >= threshold, prior uniform, is at least ``miss``."""
     total = 0.0
@@ -81,21 +86,82 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
     return n
 
 
-def _probable(threshold: float, miss: float):
-    steps = range(STEP, BANDS * BAND_ROWS + 1, STEP)
-    floor = {n: least_matches(n, threshold, miss) for n in steps}
+def _survivors(left: np.ndarray, right: np.ndarray, threshold: float = NUMERATOR / DENOMINATOR, miss: float = MISS) -> np.ndarray:
+    """Which pairs of signatures are still likely after each batch of STEP hashes."""
+    live, same = np.arange(len(left)), np.zeros(len(left), np.int64)
+    for n in range(STEP, left.shape[1] + 1, STEP):
+        same = same + (left[live, n - STEP : n] == right[live, n - STEP : n]).sum(1)
+        keep = same >= least_matches(n, threshold, miss)
+        live, same = live[keep], same[keep]
+    return live
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (np.frombuffer(as_bytes(batch.column(k))[0].tobytes(), "<u2").reshape(batch.num_rows, -1) for k in (2, 3))
-            live, same = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for n in steps:
-                same = same + (left[live, n - STEP : n] == right[live, n - STEP : n]).sum(1)
-                keep = same >= floor[n]
-                live, same = live[keep], same[keep]
-            yield batch.take(pa.array(live)).select(["a", "b"])
 
-    return run
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(as_bytes(column)[0].tobytes(), "<u2").reshape(len(column), -1)
+
+
+def _probable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        live = _survivors(_signatures(batch.column(2)), _signatures(batch.column(3)))
+        yield batch.take(pa.array(live)).select(["a", "b"])
+
+
+def _group_pairs(low: np.ndarray, high: np.ndarray, block: np.ndarray, edge: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of each run of rows: of one block with itself, or of two blocks with each other."""
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        if low[a] == high[a]:
+            i, j = np.triu_indices(b - a, 1)
+        else:
+            i, j = np.flatnonzero(block[a:b] == low[a]), np.flatnonzero(block[a:b] == high[a])
+            i, j = np.repeat(i, len(j)), np.tile(j, len(i))
+        yield i + a, j + a
+
+
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Likely pairs of different components in rows sorted by (key, low, high); no run of equal ones is parted."""
+
+    def work(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, low, high, block, doc, comp = (rows.column(k).to_numpy() for k in range(6))
+        sig, band = _signatures(rows.column(6)), rows.column(7).to_numpy()
+        edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True])))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for i, j in _group_pairs(low, high, block, edge):
+            other = comp[i] != comp[j]
+            held.append((i[other], j[other]))
+            size += len(held[-1][0])
+            if size > 200_000:
+                yield test(held, doc, sig, band)
+                held, size = [], 0
+        if held:
+            yield test(held, doc, sig, band)
+
+    def test(held: list[tuple[np.ndarray, np.ndarray]], doc: np.ndarray, sig: np.ndarray, band: np.ndarray) -> pa.RecordBatch:
+        i, j = (np.concatenate(x) for x in zip(*held))
+        live = np.zeros(0, np.int64)
+        for k in range(0, len(i), 20_000):
+            left, right = sig[i[k : k + 20_000]], sig[j[k : k + 20_000]]
+            shared = (left[:, : BANDS * BAND_ROWS] == right[:, : BANDS * BAND_ROWS]).reshape(-1, BANDS, BAND_ROWS).all(2)
+            mine = np.flatnonzero(shared.argmax(1) == band[i[k : k + 20_000]])  # the first band that the two share answers for the pair
+            live = np.concatenate((live, k + mine[_survivors(left[mine], right[mine])]))
+        x, y = doc[i[live]], doc[j[live]]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) < 4096:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        ends = np.any([x[1:] != x[:-1] for x in (rows.column(k).to_numpy() for k in range(3))], 0)
+        last = int(np.flatnonzero(ends)[-1]) + 1 if ends.any() else 0
+        if last:
+            yield from work(rows.slice(0, last))
+        held = [rows.slice(last)]
+    if held:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+        if rows:
+            yield from work(rows[0])
 
 
 def _words(text: bytes) -> set:
@@ -145,11 +211,8 @@ def perhaps_in(rows: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     return joined.filter(F.floor(byte / F.pow(F.lit(2), F.col("__at") % 8)).cast("int") % 2 == 1).select(*rows.columns)
 
 
-def _links(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links."""
-    sig = rows.select("doc_id", "sig")
-    signed = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    likely = cut(signed.select("a", "b", "sig_a", "sig_b").mapInArrow(_probable(NUMERATOR / DENOMINATOR, MISS), "a long, b long"))
+def _exact(likely: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links, by the shingles of both texts."""
     ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
     texts = perhaps_in(docs.select("doc_id", "text"), "doc_id", ids)
     both = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -173,32 +236,30 @@ def near_groups(docs: DataFrame) -> DataFrame:
         rows = cut(sketches(docs))
     classes = rows.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     members = cut(rows.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
-    bands = rows.filter("n_shingles > 0").select(F.explode("bands").alias("key"), "doc_id")
-    buckets = bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader < last").select("key", "leader")
-    crowd = cut(bands.join(buckets, "key").select("key", "doc_id", "leader"))
-    first = crowd.groupBy("doc_id").agg(F.min("leader").alias("b")).filter("b < doc_id")
+    bands = rows.filter("n_shingles > 0").select(F.posexplode("bands").alias("band", "key"), "doc_id")
+    buckets = bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n"), F.max("doc_id").alias("last")).filter("leader < last").select("key", "leader", "n")
     reps = members.filter("doc_id = rep AND n_shingles > 0").select("doc_id")
-    links = _links(first.join(reps, "doc_id").select(F.col("doc_id").alias("a"), "b"), rows, docs)
-    group = components(links)
-    mixed = crowd.select("key", "doc_id").join(reps, "doc_id")
-    for turn in range(LEADERS + 1):
-        named = mixed.join(group.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-        lead = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("b"), F.col("c").alias("bc"))
-        open_ = named.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.min(lead).alias("lead")).filter("low < high")
-        named = cut(named.join(open_.select("key", "n", "lead.b", "lead.bc"), "key"))
-        mixed = named.select("key", "doc_id")
-        crowded = named.filter(f"n > {CROWD}")
-        if turn == LEADERS or crowded.isEmpty():
-            break
-        pairs = crowded.filter("c <> bc").select(F.col("doc_id").alias("a"), "b").distinct()
-        links = links.unionByName(_links(pairs, rows, docs))
-        group = components(links)
-    left, right = named.select("key", F.col("doc_id").alias("a"), F.col("c").alias("ca")), named.select("key", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
-    pairs = left.join(right, "key").filter("a > b AND ca <> cb").select("a", "b").distinct()
-    more = _links(pairs, rows, docs)
-    if not more.isEmpty():
-        group = components(links.unionByName(more))
-    found = members.join(group.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"), "n_shingles")
+    crowd = cut(bands.join(buckets, "key").join(reps, "doc_id").select("key", "band", "doc_id", "leader", "n"))
+    sig = rows.select("doc_id", "sig")
+    weight = crowd.groupBy("doc_id").agg(F.sum("n").alias("w"))
+    hubs = crowd.join(weight, "doc_id").groupBy("key").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("h"))).alias("hub"))
+    best = crowd.join(hubs, "key").groupBy("doc_id").agg(F.min("leader").alias("least"), (-F.max("hub")["h"]).alias("hub"))
+    pairs = best.select(F.explode(F.array("least", "hub")).alias("b"), "doc_id").filter("b <> doc_id").select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
+    signed = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    likely = cut(signed.select("a", "b", "sig_a", "sig_b").mapInArrow(_probable, "a long, b long"))
+    group = components(_exact(likely, docs))
+    named = crowd.select("key", "band", "doc_id").join(group.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    dealt = named.join(mixed, "key").join(sig, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "c", "sig", "band")
+    more = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_between, "a long, b long").distinct()
+    more = _exact(cut(more), docs)
+    comp = lambda v, c: group.select(F.col("id").alias(v), F.col("component").alias(c))
+    edges = more.join(comp("a", "ca"), "a", "left").join(comp("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(edges).select(F.col("id").alias("c"), F.col("component").alias("root"))
+    found = members.join(group.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("c"), "n_shingles")
+    found = found.join(joined, "c", "left").select("doc_id", F.coalesce("root", "c").alias("component_id"), "n_shingles")
     if not counts.isEmpty():
         found = every.filter("doc_id IS NOT NULL").select("doc_id").join(found, "doc_id")
     alone = every.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("component_id"), "n_shingles")
