@@ -30,7 +30,7 @@ BANDS, BAND_ROWS = 32, 4
 #: family of copies most pairs are somewhat alike: many hashes keep those near the threshold few.
 HASHES, STEP, MISS = 512, 32, 1e-5
 #: Rows of a bucket in a block.
-BLOCK = 512
+BLOCK = 2048
 
 _rng = np.random.default_rng(77003)
 _A = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
