@@ -148,7 +148,8 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int, lane: int = 128)
     """For each start of a suffix, the length, at most ``most``, of the prefix it shares with the one before it in order.
 
     Going from one start to the next loses one symbol of that prefix at most, so lengths are carried along the text;
-    stretches of ``lane`` starts are worked on side by side.
+    stretches of ``lane`` starts are worked on side by side. The order need be exact to ``most`` symbols only: suffixes
+    that share as many stand in any order, so from a length of ``most`` nothing is carried to another neighbour.
     """
     n = len(t)
     out = np.zeros(n, np.int64)
@@ -158,12 +159,13 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int, lane: int = 128)
     prior[sa[0]] = -1
     prior[sa[1:]] = sa[:-1]
     begin = np.arange(0, n, lane)
-    held = np.zeros(len(begin), np.int64)
+    held, beside = np.zeros(len(begin), np.int64), np.full(len(begin), -1)
     for s in range(lane):
         p = begin + s
         live = np.flatnonzero(p < n)
         p, q = p[live], prior[p[live]]
-        size = np.where(q < 0, 0, np.maximum(held[live] - 1, 0))
+        carried = (q >= 0) & ((held[live] < most) | (q == beside[live] + 1))
+        size = np.where(carried, np.maximum(held[live] - 1, 0), 0)
         left = np.flatnonzero(q >= 0)
         while len(left):
             x, y = p[left] + size[left], q[left] + size[left]
@@ -172,5 +174,5 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int, lane: int = 128)
             left = left[t[x] == t[y]]
             size[left] += 1
         out[p] = size
-        held[live] = size
+        held[live], beside[live] = size, q
     return out

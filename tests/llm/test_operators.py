@@ -180,6 +180,47 @@ def test_suffix_arrays():
             assert shared[x] == n
 
 
+def near_copies(seed, texts=2, copies=6, length=1500):
+    """Copies of random texts with a few bytes changed, in any order; their order has over 512 names."""
+    r, out = np.random.default_rng(seed), []
+    for _ in range(texts):
+        base = r.integers(97, 117, length).astype(np.uint8)
+        for _ in range(copies):
+            out.append(base.copy())
+            out[-1][r.integers(0, length, 6)] = r.integers(97, 117, 6)
+    r.shuffle(out)
+    return out
+
+
+def test_suffix_array_to_a_depth():
+    for seed in range(3):
+        t = np.concatenate(near_copies(seed))
+        raw = t.tobytes()
+        sa = suffix_sort.suffix_array(t, 100)
+        cut = [raw[i : i + 100] for i in sa.tolist()]
+        assert sorted(sa.tolist()) == list(range(len(raw))) and cut == sorted(cut)
+        shared = suffix_sort.permuted_prefixes(t, sa, 100)
+        for k in range(1, len(cut)):
+            n = next((i for i, (a, b) in enumerate(zip(cut[k], cut[k - 1])) if a != b), min(len(cut[k]), len(cut[k - 1])))
+            assert shared[sa[k]] == n
+
+
+def test_later_windows_of_near_copies():
+    for seed in range(3):
+        texts = near_copies(seed)
+        k, size = len(texts), len(texts[0])
+        found = suffix_dedup.later_windows(np.zeros(k, np.int64), np.arange(k), np.zeros(k, np.int64), np.full(k, size - 99), np.concatenate(texts), np.arange(k + 1) * size)
+        got = {(i, s) for i, a, b in zip(*(x.tolist() for x in found)) for s in range(a, b)}
+        seen, want = set(), set()
+        for i, x in enumerate(texts):
+            raw = x.tobytes()
+            for s in range(size - 99):
+                if raw[s : s + 100] in seen:
+                    want.add((i, s))
+                seen.add(raw[s : s + 100])
+        assert got == want
+
+
 def removed_by_brute_force(rows):
     seen, out = set(), {}
     for i, text in sorted(rows):
