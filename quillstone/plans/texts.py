@@ -271,8 +271,12 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("S14", "SELECT doc_id, lang, left(replace(text, chr(10), ' '), 40) AS sentence FROM documents")
 def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines 'sentence,label', parted at the last comma."""
-    lines = _docs(spark, sf_dir).select("doc_id", F.concat(F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 40), F.lit(","), "lang").alias("value"))
+    """Whole texts as lines 'sentence,label', parted at the last comma; the sentence's beginning is shown."""
+    return _parted(_docs(spark, sf_dir)).withColumn("sentence", F.substring("sentence", 1, 40))
+
+
+def _parted(docs: DataFrame) -> DataFrame:
+    lines = docs.select("doc_id", F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(","), "lang").alias("value"))
     pattern = r"(?s)^(.*),([^,]*)$"
     return lines.select("doc_id", F.regexp_extract("value", pattern, 2).alias("lang"), F.regexp_extract("value", pattern, 1).alias("sentence"))
 

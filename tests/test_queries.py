@@ -3,7 +3,7 @@
 import pytest
 from oracle import check, connect
 
-from quillstone.plans import registry
+from quillstone.plans import registry, texts
 
 SMALL = "/root/testdata/sf0.001"
 ALL = registry.all_queries()
@@ -30,3 +30,10 @@ def test_no_quadratic_plans(spark):
         plan = ALL[name].run(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, name
         assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan, name
+
+
+def test_labelled_lines_of_whole_texts(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    want = {i: (text.replace("\n", " "), lang) for i, text, lang in docs.collect()}
+    assert any("," in text[40:] for text, _ in want.values())
+    assert {r["doc_id"]: (r["sentence"], r["lang"]) for r in texts._parted(docs).collect()} == want
