@@ -82,10 +82,17 @@ def emissions(rows: DataFrame, tag: str, word: str) -> DataFrame:
     return rows.groupBy(F.col(tag).alias("tag"), F.col(word).alias("word")).agg(F.count("*").alias("n"))
 
 
-def viterbi(rows: DataFrame, words: str, moves: pd.DataFrame, shown: pd.DataFrame) -> DataFrame:
-    """Rows with ``tags``: the likeliest tag of each word of the array ``words`` under add-one smoothed counts.
+def with_counts(rows: DataFrame, word: str, shown: DataFrame, tags: Sequence[str]) -> DataFrame:
+    """Rows with ``counts``: how often each of ``tags`` showed the row's word; zeros for a word never shown."""
+    per = shown.groupBy(F.col("word").alias(word)).agg(F.array(*[F.sum(F.when(F.col("tag") == t, F.col("n")).otherwise(0)) for t in tags]).alias("counts"))
+    return rows.join(per, word, "left").withColumn("counts", F.coalesce("counts", F.array(*[F.lit(0).cast("long") for _ in tags])))
 
-    The model is the two count tables, whose size is that of tag set and training vocabulary.
+
+def viterbi(rows: DataFrame, counts: str, moves: pd.DataFrame, sizes: pd.DataFrame, n_words: int) -> DataFrame:
+    """Rows with ``tags``: the likeliest tag of each word under add-one smoothed counts.
+
+    ``counts`` is an array with, for each word, how often each tag, in order, showed it; ``sizes`` (tag, n) are the
+    words each tag showed in all, of ``n_words`` different ones. What the driver holds is as large as the tag set.
     """
     tags = sorted(set(moves["tag"]))
     at = {t: i for i, t in enumerate(tags)}
@@ -93,17 +100,15 @@ def viterbi(rows: DataFrame, words: str, moves: pd.DataFrame, shown: pd.DataFram
     for p, t, n in moves[["previous", "tag", "n"]].itertuples(index=False):
         step[at[p] if p in at else len(tags), at[t]] += n
     step = np.log(step / step.sum(1, keepdims=True))
-    names = {w: i for i, w in enumerate(sorted(set(shown["word"])))}
-    emit = np.ones((len(tags), len(names) + 1))
-    for t, w, n in shown[["tag", "word", "n"]].itertuples(index=False):
-        emit[at[t], names[w]] += n
-    emit = np.log(emit / emit.sum(1, keepdims=True))
+    whole = np.full(len(tags), n_words + 1.0)
+    for t, n in sizes[["tag", "n"]].itertuples(index=False):
+        whole[at[t]] += n
 
-    def one(sentence: Sequence[str]) -> list[str]:
+    def one(sentence: Sequence[np.ndarray]) -> list[str]:
         back: list[np.ndarray] = []
         score = None
         for w in sentence:
-            e = emit[:, names.get(w, len(names))]
+            e = np.log((np.asarray(w) + 1.0) / whole)
             if score is None:
                 score = step[-1] + e
             else:
@@ -120,7 +125,7 @@ def viterbi(rows: DataFrame, words: str, moves: pd.DataFrame, shown: pd.DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(tags=[one(s) for s in batch[words]])
+            yield batch.assign(tags=[one(s) for s in batch[counts]])
 
     return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", tags array<string>")
 

@@ -37,3 +37,14 @@ def test_labelled_lines_of_whole_texts(spark):
     want = {i: (text.replace("\n", " "), lang) for i, text, lang in docs.collect()}
     assert any("," in text[40:] for text, _ in want.values())
     assert {r["doc_id"]: (r["sentence"], r["lang"]) for r in texts._parted(docs).collect()} == want
+
+
+def test_hmm_counts_every_word(spark, tmp_path):
+    """7,000 pairs of role and word in training; the rarer role's words tell it only if none is left out."""
+    word = lambda role, i: role + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    train = [("a", i) for i in range(4000)] * 2 + [("b", i) for i in range(3000)]
+    test = [("a", i) for i in range(4000)] + [("b", i) for i in range(3000)]
+    rows = [(4 * k + 1, 0, role, word(role, i)) for k, (role, i) in enumerate(train)] + [(4 * k, 0, role, word(role, i)) for k, (role, i) in enumerate(test)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {tuple(r) for r in ALL["hmm_accuracy"].run(spark, str(tmp_path)).collect()}
+    assert got == {("a", 4000, 1.0), ("b", 3000, 1.0)}
