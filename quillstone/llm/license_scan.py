@@ -86,8 +86,8 @@ class Index:
         return Index(list(templates), [h[row == k] for k in range(len(raw))], print_[order], row[at][order], (at - first[row[at]])[order])
 
 
-def align(text: np.ndarray, template: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """Best local alignment of word hashes within ``band`` of the diagonal text = template + shift.
+def align(text: np.ndarray, template: np.ndarray, shift: int, band: int = BAND, low: int = 0) -> tuple[int, int, int]:
+    """Best local alignment of word hashes, from text word ``low`` on, within ``band`` of the diagonal text = template + shift.
 
     Returns the matched words and the range of text words from the first to the last match. A match scores 2, a
     mismatch or a gap -1.
@@ -101,7 +101,7 @@ def align(text: np.ndarray, template: np.ndarray, shift: int, band: int = BAND)
         new, carried = [0] * width, [(0, -1, -1)] * width
         for k in range(width):
             j = i + shift + k - band
-            if j < 0 or j >= size:
+            if j < low or j >= size:
                 continue
             if text[j] == word:
                 s, (m, a, _) = score[k] + 2, state[k]
@@ -124,25 +124,31 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     """One row for each passage that matches a template: doc_id, template, span_start and span_end (bytes of the UTF-8
     text), n_matched, n_template_words and coverage.
 
-    Hits of one template whose diagonals lie close together are one passage. Null text holds none. Repeated rows report each for themselves. An empty table
-    gives no rows; only doc_id and text are looked at.
+    Passages of one template don't overlap; those of different ones may. Null text holds none. Repeated rows report each
+    for themselves. An empty table gives no rows; only doc_id and text are looked at.
     """
     prepare(docs.sparkSession)
     index = Index.of(TEMPLATES if templates is None else templates)
     door = np.zeros(1 << 16, bool)
     door[(index.hashes >> np.uint64(48)).astype(np.int64)] = True
 
-    def passages(h: np.ndarray, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
-        """(template, matched, first and last word) in one row of word hashes; hits: (template, shift)."""
-        done: set[tuple[int, int]] = set()
-        last: tuple[int, int] | None = None
-        for k, shift in sorted(hits):
-            if last and last[0] == k and shift - last[1] <= min(BAND, len(index.words[k]) // 2):
+    def passages(h: np.ndarray, hits: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+        """(template, matched, first and last word) in one row of word hashes; hits: (template, word, place in the template).
+
+        Passages of a template are found from the left. Each begins behind the last, and the band is at most half of the
+        template, so that of copies in a row none is found twice and none in another's stead.
+        """
+        template, free, tried = -1, 0, set()
+        for k, word, place in sorted(hits):
+            if k != template:
+                template, free, tried = k, 0, set()
+            if word < free or (word - place, free) in tried:
                 continue
-            last = (k, shift)
-            m, a, b = align(h, index.words[k], shift)
-            if m >= coverage * len(index.words[k]) and (k, a) not in done:
-                done.add((k, a))
+            tried.add((word - place, free))
+            size = len(index.words[k])
+            m, a, b = align(h, index.words[k], word - place, min(BAND, size // 2), free)
+            if m >= coverage * size:
+                free = b + 1
                 yield k, m, a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,16 +158,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
             may = np.flatnonzero(door[(print_ >> np.uint64(48)).astype(np.int64)])
             lo, hi = np.searchsorted(index.hashes, print_[may], "left"), np.searchsorted(index.hashes, print_[may], "right")
             first = np.searchsorted(row, np.arange(len(off)))
-            hits: dict[int, list[tuple[int, int]]] = {}
+            hits: dict[int, list[tuple[int, int, int]]] = {}
             for p, a, b in zip(may.tolist(), lo.tolist(), hi.tolist()):
                 for e in range(a, b):
                     word = int(at[p])
                     r = int(row[word])
-                    hits.setdefault(r, []).append((int(index.template[e]), word - int(first[r]) - int(index.place[e])))
+                    hits.setdefault(r, []).append((int(index.template[e]), word - int(first[r]), int(index.place[e])))
             out: list[list] = [[] for _ in range(6)]
             for r, found in hits.items():
                 words = h[first[r] : first[r + 1]]
-                for k, m, a, b in passages(words, list(set(found))):
+                for k, m, a, b in passages(words, found):
                     for column, value in zip(out, (r, index.names[k], int(starts[first[r] + a] - off[r]), int(ends[first[r] + b] - off[r]), m, len(index.words[k]))):
                         column.append(value)
             ids = part.column(0).take(pa.array(out[0], pa.int64()))
