@@ -4,7 +4,8 @@ Documents become token pieces of at most the capacity. Full pieces are sequences
 evenly over shards of a bounded number of pieces, and each shard is packed by linear grouping: its large lengths fall
 into groups of equal cardinality and are rounded up to the largest of their group; a linear programme over
 configurations of the few rounded sizes, solved by column generation, says how often to use which; real pieces take the
-rounded ones' places; what is left over goes by best fit, long ones first.
+rounded ones' places; what is left over goes by best fit, long ones first. There are as many groups as it takes for the
+small pieces to fill what rounding wastes. Where best fit alone needs fewer sequences for a shard, its packing is taken.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import cut, pieces, prepare, text_or_empty
 from quillstone.llm.word_bpe import tokenizer
 
-CAPACITY, END_ID, SHARD = 4096, 1, 8192
-#: Lengths over this share of the capacity are grouped; number of groups; unit to which rounded sizes are rounded up.
-LARGE, GROUPS, UNIT = 1 / 8, 48, 16
+CAPACITY, END_ID, SHARD = 4096, 1, 65536
+#: Lengths over this share of the capacity are grouped; least and greatest number of groups; unit to which rounded sizes are rounded up.
+LARGE, FEW_GROUPS, MANY_GROUPS, UNIT = 1 / 8, 24, 192, 8
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -36,11 +37,10 @@ def default_tokenizer() -> str:
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row for each piece of each document: doc_id, piece, start, length, ids_crc32. Null text: the end id alone."""
     prepare(docs.sparkSession)
-    path = path or default_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer(path)
+        coder = tokenizer(path or default_tokenizer())  # where the vocabulary lies on this machine
         for part, data, off in pieces(batches, limit=4 << 20):
             ids, at = coder.encode(data, off)
             n_docs = len(off) - 1
@@ -101,33 +101,51 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     return [(basis[:, i].astype(int), max(0.0, float(x[i]))) for i in range(k)]
 
 
-def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each length; bins count from 0."""
-    n = len(lengths)
-    where, room, members = np.full(n, -1), [], []
+def groups(lengths: np.ndarray, large: np.ndarray, spare: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Groups of equal cardinality of the large pieces, longest first, and their rounded sizes in units.
+
+    The fewest groups of which rounding wastes no more than ``spare``, doubled up to MANY_GROUPS.
+    """
+    large = large[np.argsort(-lengths[large], kind="stable")]
+    k = FEW_GROUPS
+    while True:
+        parts = np.array_split(large, min(k, len(large)))
+        rounded = np.array([-(-int(lengths[g[0]]) // UNIT) for g in parts])
+        waste = sum(int(r) * UNIT * len(g) for r, g in zip(rounded, parts)) - int(lengths[large].sum())
+        if waste <= spare or k >= min(MANY_GROUPS, len(large)):
+            return parts, rounded
+        k *= 2
+
+
+def by_linear_grouping(lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Bins of large pieces, as the whole part of an optimal fractional use of configurations has them."""
     large = np.flatnonzero(lengths > capacity * LARGE)
-    if len(large) > 2 * GROUPS:
-        large = large[np.argsort(-lengths[large], kind="stable")]
-        groups = np.array_split(large, GROUPS)
-        rounded = np.array([-(-int(lengths[g[0]]) // UNIT) for g in groups])
-        units = capacity // UNIT
-        sizes, same = np.unique(rounded, return_inverse=True)
-        pools = [[i for g, s in zip(groups, same) if s == k for i in g.tolist()][::-1] for k in range(len(sizes))]
-        for config, times in configurations(sizes, np.array([len(p) for p in pools], float), units):
-            for _ in range(int(times + 1e-6)):
-                took = [pools[k].pop() for k in np.flatnonzero(config) for _ in range(config[k]) if pools[k]]
-                if took:
-                    members.append(took)
-                    room.append(capacity - int(lengths[took].sum()))
-    for b, took in enumerate(members):
-        where[took] = b
-    rest = np.flatnonzero(where < 0)
-    rest = rest[np.argsort(-lengths[rest], kind="stable")]
+    if not len(large):
+        return []
+    parts, rounded = groups(lengths, large, int(lengths.sum() - lengths[large].sum()))
+    sizes, same = np.unique(rounded, return_inverse=True)
+    pools = [[i for g, s in zip(parts, same) if s == k for i in g.tolist()][::-1] for k in range(len(sizes))]
+    members = []
+    for config, times in configurations(np.minimum(sizes, capacity // UNIT), np.array([len(p) for p in pools], float), capacity // UNIT):
+        for _ in range(int(times + 1e-6)):
+            took = [pools[k].pop() for k in np.flatnonzero(config) for _ in range(config[k]) if pools[k]]
+            if took:
+                members.append(took)
+    return members
+
+
+def best_fit(lengths: np.ndarray, members: list[list[int]], capacity: int) -> list[list[int]]:
+    """The bins with all other pieces put in, long ones first, each where it leaves the least room."""
+    where = np.zeros(len(lengths), bool)
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     mask = 0
-    for b, r in enumerate(room):
+    for b, took in enumerate(members):
+        where[took] = True
+        r = capacity - int(lengths[took].sum())
         by_room[r].append(b)
         mask |= 1 << r
+    rest = np.flatnonzero(~where)
+    rest = rest[np.argsort(-lengths[rest], kind="stable")]
     for i, size in zip(rest.tolist(), lengths[rest].tolist()):
         fit = mask >> size
         if fit:
@@ -141,7 +159,15 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.
             members.append([i])
         by_room[r - size].append(b)
         mask |= 1 << (r - size)
-    offset = np.zeros(n, np.int64)
+    return members
+
+
+def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of each length; bins count from 0. Never more bins than best fit, long pieces first, needs."""
+    members = best_fit(lengths, by_linear_grouping(lengths, capacity), capacity)
+    if len(members) > -(-int(lengths.sum()) // capacity):
+        members = min(members, best_fit(lengths, [], capacity), key=len)
+    where, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for b, took in enumerate(members):
         where[took] = b
         ends = np.cumsum(lengths[took])
