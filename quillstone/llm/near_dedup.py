@@ -2,10 +2,9 @@
 
 Rows with one and the same shingle set form a class, told by a commutative hash of the set, and need no comparing.
 Every row falls into one bucket a band. First each row is held against two rows of its buckets: the least one, and the one whose buckets are
-fullest, which in a family of copies is the text that they vary; so a bucket of any size gives two pairs a row. Buckets
-that still hold more than one component are dealt out in blocks, and signatures of rows of different components are
-compared within pairs of blocks, where only likely pairs become rows. A pair is pruned as
-soon as the posterior chance that its similarity reaches the threshold falls below the chosen miss probability;
+fullest, which in a family of copies is the text that they vary; so a bucket of any size gives two pairs a row. Of buckets
+that still hold more than one component, the rows outside the largest one are compared with all rows of other
+components, blocks with blocks, and only likely pairs become rows. A pair is pruned as soon as the posterior chance that its similarity reaches the threshold falls below the chosen miss probability;
 survivors are confirmed on the word shingles of both whole texts.
 """
 
@@ -57,7 +56,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             short = (h >> np.uint64(32)).astype(np.uint32)
             for k in range(HASHES):
                 marks[filled, k] = np.minimum.reduceat(short * _A[k] + _B[k], begin)
-            banded = marks[:, : BANDS * BAND_ROWS].reshape(n, BANDS, BAND_ROWS).astype(np.uint64)
+            banded = (marks[:, : BANDS * BAND_ROWS] & 0xFFFF).reshape(n, BANDS, BAND_ROWS).astype(np.uint64)  # as signatures keep them: those that agree in a band meet there
             keys[:] = _BAND_SALT
             for k in range(BAND_ROWS):
                 keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + banded[:, :, k])
@@ -106,28 +105,28 @@ def _probable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(live)).select(["a", "b"])
 
 
-def _group_pairs(low: np.ndarray, high: np.ndarray, block: np.ndarray, edge: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the pairs of each run of rows: of one block with itself, or of two blocks with each other."""
+def _group_pairs(guest: np.ndarray, edge: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of a host and a guest of each run of rows, ``most`` at a time or those of one host."""
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        if low[a] == high[a]:
-            i, j = np.triu_indices(b - a, 1)
-        else:
-            i, j = np.flatnonzero(block[a:b] == low[a]), np.flatnonzero(block[a:b] == high[a])
-            i, j = np.repeat(i, len(j)), np.tile(j, len(i))
-        yield i + a, j + a
+        hosts, guests = np.flatnonzero(~guest[a:b]) + a, np.flatnonzero(guest[a:b]) + a
+        few = max(1, most // max(1, len(guests)))
+        for k in range(0, len(hosts), few):
+            part = hosts[k : k + few]
+            yield np.repeat(part, len(guests)), np.tile(guests, len(part))
 
 
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Likely pairs of different components in rows sorted by (key, low, high); no run of equal ones is parted."""
 
     def work(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        key, low, high, block, doc, comp = (rows.column(k).to_numpy() for k in range(6))
-        sig, band = _signatures(rows.column(6)), rows.column(7).to_numpy()
+        key, low, high, doc, comp = (rows.column(k).to_numpy() for k in range(5))
+        guest, minor = (rows.column(k).to_numpy(zero_copy_only=False) for k in (5, 6))
+        sig, band = _signatures(rows.column(7)), rows.column(8).to_numpy()
         edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True])))
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for i, j in _group_pairs(low, high, block, edge):
-            other = comp[i] != comp[j]
+        for i, j in _group_pairs(guest, edge):
+            other = (comp[i] != comp[j]) & (~minor[i] | (doc[i] < doc[j]))  # two guests of a bucket meet twice
             held.append((i[other], j[other]))
             size += len(held[-1][0])
             if size > 200_000:
@@ -219,6 +218,27 @@ def _exact(likely: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"))
 
 
+def _dealt(named: DataFrame) -> DataFrame:
+    """Rows (key, band, doc_id, c) of buckets that hold more than one component c, dealt to pairs of blocks (low, high).
+
+    Rows outside a bucket's largest component are minor. Each is a guest, with the minor ones of its own block ``high``, of
+    every block ``low`` of hosts, and all rows are hosts; so each pair of components meets, and of n rows with m minor ones
+    n * ceil(m / BLOCK) + m * ceil(n / BLOCK) are sent out.
+    """
+    sizes = named.groupBy("key", "c").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    main = sizes.withColumnRenamed("n", "own").join(mixed, "key").filter("own = most").groupBy("key", "n", "most").agg(F.min("c").alias("main"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
+    rows = named.join(main, "key").withColumns({"minor": F.col("c") != F.col("main"), "lows": blocks(F.col("n")), "highs": blocks(F.col("n") - F.col("most"))})
+    at = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), n)
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    cells = lambda low, high, guest: F.struct(low.alias("low"), high.alias("high"), F.lit(guest).alias("guest"))
+    as_host = F.transform(every(F.col("highs")), lambda k: cells(at(F.col("lows"), 1), k, False))
+    as_guest = F.transform(every(F.col("lows")), lambda k: cells(k, at(F.col("highs"), 2), True))
+    both = F.when(F.col("minor"), F.concat(as_host, as_guest)).otherwise(as_host)
+    return rows.select("key", "band", "doc_id", "c", "minor", F.inline(both))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row.
 
@@ -249,10 +269,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     likely = cut(signed.select("a", "b", "sig_a", "sig_b").mapInArrow(_probable, "a long, b long"))
     group = components(_exact(likely, docs))
     named = crowd.select("key", "band", "doc_id").join(group.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    dealt = named.join(mixed, "key").join(sig, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "c", "sig", "band")
+    dealt = _dealt(named).join(sig, "doc_id").select("key", "low", "high", "doc_id", "c", "guest", "minor", "sig", "band")
     more = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_between, "a long, b long").distinct()
     more = _exact(cut(more), docs)
     comp = lambda v, c: group.select(F.col("id").alias(v), F.col("component").alias(c))
@@ -267,6 +284,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """One document of each group, with its columns."""
-    kept = near_groups(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    """One document of each group, with its columns, whatever these are called.
+
+    Of rows that repeat an id the one with the greatest text stands for them all. Rows without an id all stay, as do rows
+    without a word, null ones too. An empty table gives no rows.
+    """
+    kept = near_groups(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    if not rows.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        text = F.coalesce(F.col("row")["text"].cast("string"), F.lit(""))
+        once = rows.filter("id IS NOT NULL").groupBy("id").agg(F.max_by("row", text).alias("row"))
+        rows = once.select("row", "id").unionByName(rows.filter("id IS NULL"))
+    return rows.join(kept, "id", "left_semi").unionByName(rows.filter("id IS NULL").select("id", "row")).select("row.*")
