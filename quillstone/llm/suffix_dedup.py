@@ -4,8 +4,11 @@ Copies of whole texts are told by hashes and need no search. In every other text
 anchor, the 32-byte string of least hash in it, so equal windows have equal anchors. Anchors that occur once are let
 go. The stretches of windows around the others go to the shard of their anchor, where equal stretches collapse, and the
 rest are put in order by an induced suffix array; windows that share 100 bytes with their neighbour in that order, as the
-permuted common prefixes tell, form groups, of which all but the earliest are removed. Windows of an anchor with very many occurrences don't
-go to one shard: they are dealt and compared one by one by 128-bit hashes of their 100 bytes.
+permuted common prefixes tell, form groups, of which all but the earliest are removed.
+
+Anchors with very many occurrences don't go to one shard. Those that repeat within pieces of the corpus are tallied
+there first and never gathered; others are known when their bucket is counted. Their windows are compared by 128-bit
+hashes of their 100 bytes: within a piece of the corpus at once, so that one row a window and piece is dealt out.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ LENGTH, GRAM = 100, 32
 _SPREAD = LENGTH - GRAM + 1
 #: Text bytes whose anchors share a bucket; occurrences, of at most 168 bytes each, beyond which an anchor is hot; bytes of a shard's suffix array.
 BUCKET_BYTES, HOT, SHARD_BYTES = 64 << 20, 32768, 2 << 20
+#: Hot anchors that are told from tallies at most (1 MB, sent to every task); others, if any, take the other way, with the same result.
+MOST_HOT = 1 << 16
 #: Copies of whole texts up to which their ids are broadcast (16 MB); beyond, the join shuffles.
 FEW_COPIES = 1 << 20
 _LAST = (1 << 63) - 1
@@ -82,25 +87,63 @@ def _packed(buckets: int):
     return run
 
 
+def _unpacked(load: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors, ids and places of a load."""
+    raw = np.frombuffer(load, np.uint8).reshape(18, -1)
+    h = np.zeros((raw.shape[1], 8), np.uint8)
+    h[:, :6] = raw[:6].T
+    return h.view(np.uint64)[:, 0], np.ascontiguousarray(raw[6:14].T).view(np.int64)[:, 0], np.ascontiguousarray(raw[14:].T).view(np.uint32)[:, 0]
+
+
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, anchor, n) of the anchors that a load has twice or more."""
+    for batch in batches:
+        for bucket, load in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            h, n = np.unique(_unpacked(load)[0], return_counts=True)
+            h, n = h[n > 1], n[n > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), bucket)), pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], names=["bucket", "anchor", "n"])
+
+
+def _without(hot: dict[int, np.ndarray]):
+    """Loads without the hot anchors of their bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            loads = batch.column(1).to_pylist()
+            for i, bucket in enumerate(batch.column(0).to_pylist()):
+                if bucket in hot:
+                    raw = np.frombuffer(loads[i], np.uint8).reshape(18, -1)
+                    loads[i] = raw[:, ~np.isin(_unpacked(loads[i])[0], hot[bucket])].tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(loads, pa.binary())], names=["bucket", "load"])
+
+    return run
+
+
+def _hot_places(hot: dict[int, np.ndarray]):
+    """(id, place) of the hot anchors' occurrences, places as _repeated gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, load in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket in hot:
+                    h, ids, place = _unpacked(load)
+                    keep = np.isin(h, hot[bucket])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array((-1 - place[keep].astype(np.int64)).astype(np.int32))], names=["id", "place"])
+
+    return run
+
+
 def _repeated(table: pa.Table) -> pa.Table:
     """id and place of the anchors that occur twice or more in a bucket; place is negative, less 1, for hot ones."""
-    hs, ids, places = [], [], []
-    for x in table["load"].to_pylist():
-        raw = np.frombuffer(x, np.uint8).reshape(18, -1)
-        h = np.zeros((raw.shape[1], 8), np.uint8)
-        h[:, :6] = raw[:6].T
-        hs.append(h.view(np.uint64)[:, 0])
-        ids.append(np.ascontiguousarray(raw[6:14].T).view(np.int64)[:, 0])
-        places.append(np.ascontiguousarray(raw[14:].T).view(np.uint32)[:, 0])
-    h = np.concatenate(hs)
+    h, ids, places = (np.concatenate(x) for x in zip(*map(_unpacked, table["load"].to_pylist())))
     order = np.argsort(h)
     h = h[order]
-    edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
+    edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
     count = np.repeat(np.diff(edge), np.diff(edge))
     keep = order[count > 1]
-    place = np.concatenate(places)[keep].astype(np.int64)
+    place = places[keep].astype(np.int64)
     place = np.where(count[count > 1] > HOT, -1 - place, place)
-    return pa.table({"id": np.concatenate(ids)[keep], "place": place.astype(np.int32)})
+    return pa.table({"id": ids[keep], "place": place.astype(np.int32)})
 
 
 def _chosen(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray):
@@ -122,20 +165,34 @@ def _slices(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.n
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, data, off in pieces(batches):
         row, ids, start, n, h = _chosen(part, data, off)
-        if len(row):
-            body, at = _slices(data, off[row] + start, n + LENGTH - 1)
-            texts = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(body)])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), pa.array(start), pa.array(n), texts], names=["anchor", "id", "start", "n", "body"])
+        total = np.cumsum(n + LENGTH - 1)
+        cuts = np.searchsorted(total, np.arange(0, total[-1] if len(n) else 0, 64 << 20)[1:]) if len(n) else []
+        for k in np.split(np.arange(len(n)), cuts):  # one very long text may have more bytes of stretches than an Arrow column holds
+            if len(k):
+                body, at = _slices(data, off[row[k]] + start[k], n[k] + LENGTH - 1)
+                texts = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(body)])
+                yield pa.RecordBatch.from_arrays([pa.array(h[k].view(np.int64)), pa.array(ids[k]), pa.array(start[k]), pa.array(n[k]), texts], names=["anchor", "id", "start", "n", "body"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, data, off in pieces(batches):
+    """(w1, w2, id, from, to): of equal windows in a piece of the corpus the first, with its hashes; the later ones, as ranges."""
+    for part, data, off in pieces(batches, limit=4 << 20):
         row, ids, start, n, _ = _chosen(part, data, off)
-        if len(row):
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            ids, start, row = np.repeat(ids, n), np.repeat(start, n) + step, np.repeat(row, n)
-            a = off[row] + start
-            yield pa.RecordBatch.from_arrays([pa.array(span_hashes(x, a, a + LENGTH).view(np.int64)) for x in (data, _OTHER[data])] + [pa.array(ids), pa.array(start)], names=["w1", "w2", "id", "start"])
+        if not len(row):
+            continue
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        ids, start, row = np.repeat(ids, n), np.repeat(start, n) + step, np.repeat(row, n)
+        a = off[row] + start
+        one, two = (span_hashes(x, a, a + LENGTH).view(np.int64) for x in (data, _OTHER[data]))
+        order = np.lexsort((start, ids, two, one))
+        first = np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])))
+        head, late = order[first], order[~first]
+        late = late[np.lexsort((start[late], ids[late]))]
+        new = np.concatenate(([True], (ids[late][1:] != ids[late][:-1]) | (start[late][1:] != start[late][:-1] + 1)))[: len(late)]
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:] - 1, len(late) - 1)[: len(begin)]
+        columns = [(one[head], None), (two[head], None), (ids[head], ids[late[begin]]), (start[head], start[late[begin]]), (start[head] + 1, start[late[end]] + 1)]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x), pa.nulls(len(begin), pa.int64()) if y is None else pa.array(y)]) for x, y in columns], names=["w1", "w2", "id", "from", "to"])
 
 
 def later_windows(anchor: np.ndarray, ids: np.ndarray, start: np.ndarray, n: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,17 +294,25 @@ def _with_places(texts: DataFrame, places: DataFrame) -> DataFrame:
 def repeated_ranges(texts: DataFrame, total: int) -> DataFrame:
     """(id, from, to): windows of the texts (id, text) that equal an earlier one, as ranges of their starts."""
     buckets = max(12, -(-total // BUCKET_BYTES))
-    packed = texts.select("id", "text").mapInArrow(_packed(buckets), "bucket long, load binary")
-    places = cut(packed.groupBy("bucket").applyInArrow(_repeated, "id long, place int"))
+    packed = cut(texts.select("id", "text").mapInArrow(_packed(buckets), "bucket long, load binary"))
+    many = packed.mapInArrow(_tallies, "bucket long, anchor long, n long").groupBy("bucket", "anchor").agg(F.sum("n").alias("n"))
+    told = many.filter(F.col("n") > HOT).orderBy(F.col("n").desc(), "bucket", "anchor").limit(MOST_HOT).select("bucket", "anchor").toArrow()
+    bucket, anchor = told["bucket"].to_numpy(), told["anchor"].to_numpy().astype(np.uint64)
+    known = {int(k): anchor[bucket == k] for k in np.unique(bucket)}
+    gathered = packed.mapInArrow(_without(known), "bucket long, load binary") if known else packed
+    places = gathered.groupBy("bucket").applyInArrow(_repeated, "id long, place int")
+    if known:
+        places = places.unionByName(packed.mapInArrow(_hot_places(known), "id long, place int"))
+    places = cut(places)
     shards = _with_places(texts, places.filter("place >= 0")).mapInArrow(_stretches, "anchor long, id long, start long, n long, body binary")
     found = shards.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, "id long, from long, to long")
     hot = places.filter("place < 0").select("id", (-1 - F.col("place")).alias("place"))
     if not hot.isEmpty():
-        rows = cut(_with_places(texts, hot).select("id", "text", "places").mapInArrow(_windows, "w1 long, w2 long, id long, start long"))
-        first = rows.groupBy("w1", "w2").agg(F.min("id").alias("first"))
-        early = rows.join(first.withColumnRenamed("first", "id"), ["w1", "w2", "id"]).groupBy("w1", "w2").agg(F.min("id").alias("first"), F.min("start").alias("early"))
-        late = rows.join(early, ["w1", "w2"]).filter("id <> first OR start <> early")
-        found = found.unionByName(late.select("id", F.col("start").alias("from"), (F.col("start") + 1).alias("to")))
+        rows = cut(_with_places(texts, hot).select("id", "text", "places").mapInArrow(_windows, "w1 long, w2 long, id long, from long, to long"))
+        heads = rows.filter("w1 IS NOT NULL")  # a text lies in one piece, so a window has one row a text at most
+        first = heads.groupBy("w1", "w2").agg(F.min("id").alias("first"))
+        late = heads.join(first, ["w1", "w2"]).filter("id <> first")
+        found = found.unionByName(rows.filter("w1 IS NULL").select("id", "from", "to")).unionByName(late.select("id", "from", "to"))
     return found
 
 
