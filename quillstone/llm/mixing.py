@@ -69,9 +69,12 @@ def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """The mixed corpus: every row as often as the mix takes it, with the columns of ``docs``."""
-    sizes = docs.select("source", word_count().alias("size"))
-    rates = source_rates(sizes, weights, share, most).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    taken = docs.join(rates, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__copies", copies(F.col("__rate"), F.col("doc_id"), seed).cast("int"))
-    taken = taken.filter("__copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    """The mixed corpus: every row as often as the mix takes it, with the columns of ``docs``, whatever these are called.
+
+    Null texts have size 0 and are taken at their source's rate; a null source is one of its own. Rows that repeat an id
+    share its draw. An empty table gives no rows.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), F.col("doc_id").alias("doc_id"))
+    rates = source_rates(docs.select("source", word_count().alias("size")), weights, share, most)
+    taken = rows.alias("a").join(rates.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.row", copies(F.col("b.rate"), F.col("a.doc_id"), seed).cast("int").alias("n"))
+    return taken.filter("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("row.*")

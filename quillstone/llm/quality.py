@@ -138,6 +138,11 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = T
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows judged good, with their columns."""
-    good = judge(docs, rules, threshold).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows judged good, with their columns, whatever these are called.
+
+    Null and empty texts fail the base rules and go. Of rows that repeat an id all stay if one is good. An empty table
+    gives no rows.
+    """
+    good = judge(docs, rules, threshold).filter("kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
+    return rows.alias("a").join(good.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")), "left_semi").select("row.*")
