@@ -29,7 +29,7 @@ SUPPORT, SHARE, STRENGTH, FEATURES = 3, 0.01, 3.0, 1 << 15
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 STEMS = (4, 5, 6, 7, 8)
 #: Sampling errors that a slope must exceed for its weight to leave zero; steps of the choice and of the fit; their size as a share of the curvature.
-ERRORS, CHOICE_STEPS, FIT_STEPS, CAUTION = 1.0, 200, 400, 20.0
+ERRORS, USED, CHOICE_STEPS, FIT_STEPS, CAUTION = 1.0, 0.05, 200, 400, 20.0
 #: Pairs of least hashes over runs of five words; texts of a sample that share one are copies of each other.
 KINSHIP, RUN = 8, 5
 #: The bias stays above this, so that one strong feature of a short text can outweigh it, and under the prior's log-odds.
@@ -140,8 +140,8 @@ class Shown:
         return Shown(new[self.feature[took]], self.row[took], self.n)
 
 
-def descend(positive: Shown, unlabelled: Shown, size: int, prior: float, penalty: float, steps: int) -> tuple[np.ndarray, float]:
-    """Weights and bias of least non-negative risk on the way of an accelerated proximal descent.
+def descend(positive: Shown, unlabelled: Shown, size: int, prior: float, penalty: float, steps: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights and bias of least non-negative risk on the way of an accelerated proximal descent; how often a weight was over zero.
 
     A step is scaled by the curvature of its feature; the penalty on a weight is in sampling errors of its slope.
     """
@@ -151,7 +151,7 @@ def descend(positive: Shown, unlabelled: Shown, size: int, prior: float, penalty
     step, b_step = 4 / (CAUTION * curve), 4 / (CAUTION * (1 + prior))
     base = float(np.log(prior / (1 - prior)))
     w, b, speed = np.zeros(size), base, 1.0
-    ahead, b_ahead, best = w, b, (np.inf, w, b)
+    ahead, b_ahead, best, used = w, b, (np.inf, w, b), np.zeros(size, int)
     for _ in range(steps):
         fp, fu = positive.odds(ahead, b_ahead), unlabelled.odds(ahead, b_ahead)
         negative = -np.log(1 - fu + 1e-9).mean() + prior * np.log(1 - fp + 1e-9).mean()
@@ -167,7 +167,8 @@ def descend(positive: Shown, unlabelled: Shown, size: int, prior: float, penalty
         faster = 1.0 if (slope * (new - w)).sum() > 0 else (1 + (1 + 4 * speed * speed) ** 0.5) / 2
         ahead, b_ahead = new + (speed - 1) / faster * (new - w), min(base, b_new + (speed - 1) / faster * (b_new - b))
         w, b, speed = new, b_new, faster
-    return best[1], best[2]
+        used += w > 0
+    return best[1], best[2], used
 
 
 def stands_out(p: np.ndarray, u: np.ndarray, n_positive: int) -> np.ndarray:
@@ -184,11 +185,10 @@ def train(names: np.ndarray, positive: Shown, unlabelled: Shown, prior: float) -
     none = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), min(float(np.log(prior / (1 - prior))), -0.1))
     if not len(names):
         return none
-    w, _ = descend(positive, unlabelled, len(names), prior, ERRORS, CHOICE_STEPS)
-    keep = w > 0
+    keep = descend(positive, unlabelled, len(names), prior, ERRORS, CHOICE_STEPS)[2] > CHOICE_STEPS * USED
     if not keep.any():
         return none
-    w, b = descend(positive.only(keep), unlabelled.only(keep), int(keep.sum()), prior, 0.0, FIT_STEPS)
+    w, b, _ = descend(positive.only(keep), unlabelled.only(keep), int(keep.sum()), prior, 0.0, FIT_STEPS)
     return Model.of(names[keep], w, b)
 
 
