@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -28,8 +30,9 @@ _powers: dict[str, np.ndarray] = {}
 def prepare(spark: SparkSession) -> None:
     """Lets the Python workers import this package and gives checkpoints a folder where none is set.
 
-    On a cluster spark.checkpoint.dir names a shared folder and is used as it is; the package is installed
-    there or sent with --py-files. The fallback folder is for one machine, such as the tests.
+    On a cluster spark.checkpoint.dir names a shared folder and is used as it is, and must be set; the package is
+    installed there or sent with --py-files. Only a session whose executors are threads of this process gets a temporary
+    folder, which goes when the process ends.
     """
     sc = spark.sparkContext
     root = str(Path(__file__).resolve().parents[2])
@@ -37,7 +40,19 @@ def prepare(spark: SparkSession) -> None:
     if root not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstone-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not folder:
+            folder = tempfile.mkdtemp(prefix="quillstone-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
