@@ -1,4 +1,8 @@
-"""A corpus pipeline: toxicity, exact copies, near copies, source mixture, packing. Part of subpackage llm."""
+"""A corpus pipeline: toxicity, exact copies, near copies, source mixture, packing. Part of subpackage llm.
+
+All stages take tables with nulls in any column, repeated rows and ids, and further columns of any name, and give an
+empty table for an empty one. What they do with null and empty texts and with repeats is in their docstrings.
+"""
 
 from __future__ import annotations
 
@@ -7,26 +11,32 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from quillstone.llm.common import prepare
+from quillstone.llm.common import prepare, remove
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents not predicted toxic. Null and empty texts stay; repeated rows are judged alike."""
     return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts equal but for white space: the longest, then of the smallest id. Null equals empty."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies. Texts without a word and rows without an id are in no group and stay; of
+    rows that repeat an id the one with the greatest text stands for them."""
     return near_dedup.drop_near(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as its source's rate says. A null source is one of its own; repeated ids share a draw."""
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document. Null and empty texts are the end id alone; repeats are packed each."""
     return packing.pack_documents(docs)
 
 
@@ -43,11 +53,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each is written as Parquet to the shared folder and read by the next."""
+    """Applies the stages to documents; each is written as Parquet to the shared folder and read by the next, and goes when
+    that is written. The last one's folder holds the result and stays."""
     prepare(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
