@@ -269,8 +269,22 @@ def _collected(rows: DataFrame) -> pa.Table:
     return rows.toArrow().combine_chunks().sort_by("h").combine_chunks()
 
 
-def _first_of_kin(table: pa.Table) -> pa.Table:
-    return table.filter(pa.array(one_of_each(_flat(table, "kin")[0].reshape(-1, KINSHIP))))
+def _first_of_kin(rows: DataFrame) -> np.ndarray:
+    """Hashes, in order, of a sample's rows without near copies of an earlier one."""
+    table = _collected(rows.mapInArrow(_listed(np.zeros(0, np.uint64)), _SCHEMA))
+    return table["h"].to_numpy()[one_of_each(_flat(table, "kin")[0].reshape(-1, KINSHIP))]
+
+
+def _shown(rows: DataFrame, names: np.ndarray, chosen: np.ndarray) -> Shown:
+    """Which of the chosen rows of a sample show which of the names."""
+    table = _collected(rows.mapInArrow(_listed(names, chosen), _SCHEMA).select("h", "found"))
+    return Shown(*_flat(table, "found"), table.num_rows)
+
+
+def _counted(rows: DataFrame, names: np.ndarray | None, chosen: np.ndarray, least: float) -> pa.Table:
+    """(at, n) of what at least so many of the chosen rows show."""
+    found = rows.mapInArrow(_listed(names, chosen), _SCHEMA).select(F.explode("found").alias("at"))
+    return found.groupBy("at").agg(F.count("*").alias("n")).filter(F.col("n") >= least).toArrow()
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -292,24 +306,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     size = F.sum(F.octet_length("text").cast("long"))
     n_positive, positive_bytes = positive.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
     n_texts, text_bytes = texts.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
-    table = _first_of_kin(_collected(_bounded(positive, POSITIVES, n_positive, POSITIVE_BYTES, positive_bytes, 2).mapInArrow(_listed(None), _SCHEMA)))
-    feature, row = _flat(table, "found")
-    names, times = np.unique(feature.view(np.uint64), return_counts=True)
-    names = names[times >= min(max(SUPPORT, SHARE * table.num_rows), max(1, table.num_rows))]
+    positive = cut(_bounded(positive, POSITIVES, n_positive, POSITIVE_BYTES, positive_bytes, 2))
     others = cut(_bounded(texts, UNLABELLED, n_texts, UNLABELLED_BYTES, text_bytes, 3))
-    kin = _first_of_kin(_collected(others.mapInArrow(_listed(names[:0]), _SCHEMA)))
-    chosen = kin["h"].to_numpy()
-    if not len(names) or not len(chosen):
-        return train(names[:0], Shown(feature[:0], row[:0], 0), Shown(feature[:0], row[:0], 0), prior)
-    among = others.mapInArrow(_listed(names, chosen), _SCHEMA).select(F.explode("found").alias("at")).groupBy("at").agg(F.count("*").alias("n")).toArrow()
+    toxic_ones, chosen = _first_of_kin(positive), _first_of_kin(others)
+    nothing = Shown(np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
+    if not len(toxic_ones) or not len(chosen):
+        return train(np.zeros(0, np.uint64), nothing, nothing, prior)
+    least = min(max(SUPPORT, SHARE * len(toxic_ones)), len(toxic_ones))
+    names = np.sort(_counted(positive, None, toxic_ones, least)["at"].to_numpy().view(np.uint64))
+    shown = _shown(positive, names, toxic_ones)
+    among = _counted(others, names, chosen, 1)
     u = np.ones(len(names))
     u[among["at"].to_numpy()] += among["n"].to_numpy()
-    at = places(names, feature.view(np.uint64))
-    candidates = Shown(at[at >= 0], row[at >= 0], table.num_rows)
-    keep = stands_out(candidates.share(len(names)), u / (len(chosen) + 2), table.num_rows)
-    names = names[keep]
-    shown = _collected(others.mapInArrow(_listed(names, chosen), _SCHEMA))
-    return train(names, candidates.only(keep), Shown(*_flat(shown, "found"), shown.num_rows), prior)
+    keep = stands_out(shown.share(len(names)), u / (len(chosen) + 2), shown.n)
+    return train(names[keep], shown.only(keep), _shown(others, names[keep], chosen), prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
