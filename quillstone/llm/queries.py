@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillstone.llm import exact_dedup, langid, license_scan, mixing, near_dedup, packing, quality, suffix_dedup, token_hist, toxicity
 from quillstone.llm.common import documents
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good", "kept")
+    return quality.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("p_good", 6).alias("p_good"), "kept")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +92,89 @@ WITH RECURSIVE sizes AS (
 SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM e
 """
 
+def _op1_sql(rules: tuple[quality.Rule, ...] = quality.RULES, iterations: int = quality.ITERATIONS) -> str:
+    """Counts by windows over words; votes by the rules' own conditions; expectation-maximisation as a recursive query."""
+    n = len(rules)
+    votes = ", ".join(f"CASE WHEN {r.bad} THEN 0 WHEN {r.good} THEN 1 ELSE -1 END" for r in rules)
+    ratio = "CASE v[j] WHEN 1 THEN ln(g[j] / b[j]) WHEN 0 THEN ln((1 - g[j]) / (1 - b[j])) ELSE 0 END"
+    odds = lambda v: f"ln(prior / (1 - prior)) + list_sum(list_transform(range(1, {n + 1}), lambda j: {ratio.replace('v[j]', v + '[j]')}))"
+    share = lambda start, p, voted: f"({start} + list_sum(list_transform(range(1, len(ps) + 1), lambda i: CASE WHEN {voted} THEN ps[i].n * {p} ELSE 0.0::DOUBLE END)))"
+    rate = lambda start, p: f"list_transform(range(1, {n + 1}), lambda j: least(0.999::DOUBLE, greatest(0.001::DOUBLE, {share(start, p, 'ps[i].v[j] = 1')} / {share('2.0::DOUBLE', p, 'ps[i].v[j] >= 0')})))"
+    return rf"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+), grams AS (
+  SELECT k, i, count(*) OVER (PARTITION BY k, w[i], w[i + 1], w[i + 2]) AS times FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM t)
+), repeats AS (
+  SELECT k, count(DISTINCT i + d) AS n_repeat_words FROM grams, range(0, 3) AS r(d) WHERE times > 1 GROUP BY k
+), counts AS (
+  SELECT k, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^.!?]+', '', 'g')) AS n_stops
+  FROM t LEFT JOIN repeats USING (k)
+), voted AS MATERIALIZED (
+  SELECT *, [{votes}] AS v, n_words < {quality.FEWEST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+), patterns AS (
+  SELECT coalesce(list({{'v': v, 'n': n}}), []) AS ps FROM (SELECT v, count(*)::DOUBLE AS n FROM voted WHERE NOT base_failed GROUP BY v)
+), em AS (
+  SELECT 0 AS k, 0.9::DOUBLE AS prior, list_transform(range({n}), lambda x: 0.95::DOUBLE) AS g, list_transform(range({n}), lambda x: 0.4::DOUBLE) AS b, ps FROM patterns
+  UNION ALL SELECT k + 1, least(0.99::DOUBLE, greatest(0.01::DOUBLE, (0.9::DOUBLE + list_sum(list_transform(range(1, len(ps) + 1), lambda i: ps[i].n * pp[i]))) / (1.0::DOUBLE + list_sum(list_transform(ps, lambda x: x.n))))),
+    {rate('1.9::DOUBLE', 'pp[i]')}, {rate('0.8::DOUBLE', '(1 - pp[i])')}, ps
+  FROM (SELECT em.*, list_transform(ps, lambda x: 1 / (1 + exp(-({odds('x.v')})))) AS pp FROM em WHERE k < {iterations} AND len(ps) > 0)
+), judged AS (
+  SELECT voted.* EXCLUDE (v), 1 / (1 + exp(-({odds('v')}))) AS p FROM voted, (SELECT prior, g, b FROM em ORDER BY k DESC LIMIT 1)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(p, 6) AS p_good, NOT base_failed AND p >= {quality.THRESHOLD} AS kept FROM judged
+"""
+
+
+#: Each window of 100 bytes, told by its md5, and the runs of bytes that later ones cover.
+OP4_SQL = r"""
+WITH h AS (
+  SELECT doc_id, hex(coalesce(text, '')) AS hx, strlen(coalesce(text, '')) AS n FROM documents
+), parts AS (
+  SELECT doc_id, c * 1000 AS base, substr(hx, c * 2000 + 1, 2198) AS part FROM (SELECT doc_id, hx, unnest(range(0, (n + 999) // 1000)) AS c FROM h WHERE n >= 100)
+), windows AS (
+  SELECT doc_id, base + i AS start, md5(substr(part, 2 * i + 1, 200)) AS m FROM (SELECT *, unnest(range(0, least(1000, length(part) // 2 - 99))) AS i FROM parts WHERE length(part) >= 200)
+), late AS (
+  SELECT doc_id, start FROM windows QUALIFY row_number() OVER (PARTITION BY m ORDER BY doc_id, start) > 1
+), marked AS (
+  SELECT doc_id, start, CASE WHEN start <= lag(start) OVER (PARTITION BY doc_id ORDER BY start) + 100 THEN 0 ELSE 1 END AS fresh FROM late
+), runs AS (
+  SELECT doc_id, min(start) AS s, max(start) + 100 AS e FROM (SELECT doc_id, start, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM marked) GROUP BY doc_id, run
+), pieces AS (
+  SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM runs
+), cut AS (
+  SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, string_agg(substr(hx, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) || substr(any_value(hx), 2 * max(e) + 1) AS kept
+  FROM pieces JOIN h USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, hx))) AS kept_sha256 FROM h LEFT JOIN cut USING (doc_id)
+"""
+
+#: All pairs that share a shingle, and what is reached from each document.
+OP6_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM t
+), one AS (
+  SELECT doc_id, unnest(g) AS x, len(g) AS n FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (max(a.n) + max(b.n) - count(*))
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT DISTINCT a AS id, a AS r FROM edges UNION SELECT reached.id, edges.b FROM reached JOIN edges ON reached.r = edges.a
+), least AS (
+  SELECT id, min(r) AS c FROM reached GROUP BY id
+)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM sets LEFT JOIN least ON id = doc_id
+"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_license_scan, op4_suffix_dedup, op5_exact_dedup, op6_minhash_near_dedup, op7_source_mixing, op8_language_id, op9_best_fit_packing, op10_toxicity)}
-_SQL = {"op5_exact_dedup": OP5_SQL, "op7_source_mixing": OP7_SQL}
+_SQL = {"op1_quality_rules": _op1_sql(), "op4_suffix_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op7_source_mixing": OP7_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
