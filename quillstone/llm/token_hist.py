@@ -24,7 +24,7 @@ def length_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path)
-        for _, data, off in pieces(batches, limit=4 << 20):
+        for _, data, off in pieces(batches, limit=2 << 20):
             length, n = np.unique(np.diff(coder.encode(data, off)[1]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(n.astype(np.int64))], names=["length", "n"])
 

@@ -36,7 +36,7 @@ def _byte_symbols() -> list[str]:
 class WordBpe:
     """ids(words) for one vocabulary file; ``most`` bounds the words remembered."""
 
-    def __init__(self, path: str, most: int = 2_000_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         self.path, self.most = path, most
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -235,7 +235,7 @@ def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     if not len(first):
         return data, first, last, row, np.zeros(0, bool)
     kind = _KIND[data]
-    prior = np.concatenate(([0], data[:-1]))
+    prior = np.concatenate((np.zeros(1, np.uint8), data[:-1]))
     strange = kind == 4
     second = prior == 0xC3
     strange |= (data >= 0x80) & (data < 0xC0) & (~second | (data == 0x97) | (data == 0xB7))
