@@ -28,8 +28,11 @@ BANDS, BAND_ROWS = 32, 4
 #: Hashes of a signature, how many are compared at a time, and the posterior chance under which a pair is dropped. In a
 #: family of copies most pairs are somewhat alike: many hashes keep those near the threshold few.
 HASHES, STEP, MISS = 512, 32, 1e-5
-#: Rows of a bucket in a block.
+#: Hashes that are kept in 16 bits, those of the bands; of the others 8 bits are. Fewer bits make more hashes agree, so no pair is lost by them.
+WIDE = BANDS * BAND_ROWS
+#: Rows of a bucket in a block; what a row is in a pair of blocks.
 BLOCK = 2048
+HOST, GUEST, BOTH = 0, 1, 2
 
 _rng = np.random.default_rng(77003)
 _A = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -56,12 +59,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             short = (h >> np.uint64(32)).astype(np.uint32)
             for k in range(HASHES):
                 marks[filled, k] = np.minimum.reduceat(short * _A[k] + _B[k], begin)
-            banded = (marks[:, : BANDS * BAND_ROWS] & 0xFFFF).reshape(n, BANDS, BAND_ROWS).astype(np.uint64)  # as signatures keep them: those that agree in a band meet there
+            banded = (marks[:, :WIDE] & 0xFFFF).reshape(n, BANDS, BAND_ROWS).astype(np.uint64)  # as signatures keep them: those that agree in a band meet there
             keys[:] = _BAND_SALT
             for k in range(BAND_ROWS):
                 keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + banded[:, :, k])
-        sig = np.ascontiguousarray(marks.astype("<u2"))
-        width = sig.shape[1] * 2
+        sig = np.concatenate((marks[:, :WIDE].astype("<u2").view(np.uint8), marks[:, WIDE:].astype(np.uint8)), 1)
+        width = sig.shape[1]
         raw = sig.tobytes()
         sigs = pa.array([raw[width * i : width * (i + 1)] for i in range(n)], pa.binary())
         bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
@@ -96,7 +99,8 @@ def _survivors(left: np.ndarray, right: np.ndarray, threshold: float = NUMERATOR
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(as_bytes(column)[0].tobytes(), "<u2").reshape(len(column), -1)
+    raw = np.frombuffer(as_bytes(column)[0].tobytes(), np.uint8).reshape(len(column), 2 * WIDE + HASHES - WIDE)
+    return np.concatenate((np.ascontiguousarray(raw[:, : 2 * WIDE]).view("<u2"), raw[:, 2 * WIDE :]), 1)
 
 
 def _probable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,10 +109,10 @@ def _probable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(live)).select(["a", "b"])
 
 
-def _group_pairs(guest: np.ndarray, edge: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _group_pairs(role: np.ndarray, edge: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of the pairs of a host and a guest of each run of rows, ``most`` at a time or those of one host."""
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        hosts, guests = np.flatnonzero(~guest[a:b]) + a, np.flatnonzero(guest[a:b]) + a
+        hosts, guests = np.flatnonzero(role[a:b] != GUEST) + a, np.flatnonzero(role[a:b] != HOST) + a
         few = max(1, most // max(1, len(guests)))
         for k in range(0, len(hosts), few):
             part = hosts[k : k + few]
@@ -119,13 +123,13 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Likely pairs of different components in rows sorted by (key, low, high); no run of equal ones is parted."""
 
     def work(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        key, low, high, doc, comp = (rows.column(k).to_numpy() for k in range(5))
-        guest, minor = (rows.column(k).to_numpy(zero_copy_only=False) for k in (5, 6))
+        key, low, high, doc, comp, role = (rows.column(k).to_numpy() for k in range(6))
+        minor = rows.column(6).to_numpy(zero_copy_only=False)
         sig, band = _signatures(rows.column(7)), rows.column(8).to_numpy()
         edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True])))
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for i, j in _group_pairs(guest, edge):
+        for i, j in _group_pairs(role, edge):
             other = (comp[i] != comp[j]) & (~minor[i] | (doc[i] < doc[j]))  # two guests of a bucket meet twice
             held.append((i[other], j[other]))
             size += len(held[-1][0])
@@ -140,7 +144,7 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         live = np.zeros(0, np.int64)
         for k in range(0, len(i), 20_000):
             left, right = sig[i[k : k + 20_000]], sig[j[k : k + 20_000]]
-            shared = (left[:, : BANDS * BAND_ROWS] == right[:, : BANDS * BAND_ROWS]).reshape(-1, BANDS, BAND_ROWS).all(2)
+            shared = (left[:, :WIDE] == right[:, :WIDE]).reshape(-1, BANDS, BAND_ROWS).all(2)
             mine = np.flatnonzero(shared.argmax(1) == band[i[k : k + 20_000]])  # the first band that the two share answers for the pair
             live = np.concatenate((live, k + mine[_survivors(left[mine], right[mine])]))
         x, y = doc[i[live]], doc[j[live]]
@@ -223,7 +227,7 @@ def _dealt(named: DataFrame) -> DataFrame:
 
     Rows outside a bucket's largest component are minor. Each is a guest, with the minor ones of its own block ``high``, of
     every block ``low`` of hosts, and all rows are hosts; so each pair of components meets, and of n rows with m minor ones
-    n * ceil(m / BLOCK) + m * ceil(n / BLOCK) are sent out.
+    n * ceil(m / BLOCK) + m * (ceil(n / BLOCK) - 1) are sent out: where a row is host and guest it is sent once.
     """
     sizes = named.groupBy("key", "c").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("parts")).filter("parts > 1")
@@ -232,11 +236,12 @@ def _dealt(named: DataFrame) -> DataFrame:
     rows = named.join(main, "key").withColumns({"minor": F.col("c") != F.col("main"), "lows": blocks(F.col("n")), "highs": blocks(F.col("n") - F.col("most"))})
     at = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), n)
     every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    cells = lambda low, high, guest: F.struct(low.alias("low"), high.alias("high"), F.lit(guest).alias("guest"))
-    as_host = F.transform(every(F.col("highs")), lambda k: cells(at(F.col("lows"), 1), k, False))
-    as_guest = F.transform(every(F.col("lows")), lambda k: cells(k, at(F.col("highs"), 2), True))
-    both = F.when(F.col("minor"), F.concat(as_host, as_guest)).otherwise(as_host)
-    return rows.select("key", "band", "doc_id", "c", "minor", F.inline(both))
+    cell = lambda low, high, role: F.struct(low.alias("low"), high.alias("high"), F.lit(role).cast("long").alias("role"))
+    low, high = at(F.col("lows"), 1), at(F.col("highs"), 2)
+    as_host = F.transform(every(F.col("highs")), lambda k: cell(low, k, HOST))
+    as_minor = F.transform(every(F.col("highs")), lambda k: F.when(k == high, cell(low, k, BOTH)).otherwise(cell(low, k, HOST)))
+    as_guest = F.transform(F.filter(every(F.col("lows")), lambda k: k != low), lambda k: cell(k, high, GUEST))
+    return rows.select("key", "band", "doc_id", "c", "minor", F.inline(F.when(F.col("minor"), F.concat(as_minor, as_guest)).otherwise(as_host)))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -269,7 +274,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     likely = cut(signed.select("a", "b", "sig_a", "sig_b").mapInArrow(_probable, "a long, b long"))
     group = components(_exact(likely, docs))
     named = crowd.select("key", "band", "doc_id").join(group.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    dealt = _dealt(named).join(sig, "doc_id").select("key", "low", "high", "doc_id", "c", "guest", "minor", "sig", "band")
+    dealt = _dealt(named).join(sig, "doc_id").select("key", "low", "high", "doc_id", "c", "role", "minor", "sig", "band")
     more = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_between, "a long, b long").distinct()
     more = _exact(cut(more), docs)
     comp = lambda v, c: group.select(F.col("id").alias(v), F.col("component").alias(c))
