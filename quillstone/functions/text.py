@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -77,21 +79,15 @@ def stars(c: Column, most: int = 5) -> Column:
     return F.concat(F.repeat(F.lit("★"), c), F.repeat(F.lit("☆"), F.lit(most) - c))
 
 
-def chars(c: Column) -> Column:
-    """The characters of a text, from which runs are taken in one step each, wherever they stand."""
-    return F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
-
-
-def char_ngrams(letters: Column, n: int) -> Column:
-    """All runs of n of the characters; fewer have none. ``letters`` should be a column, as it is read once a run."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(letters) - n), lambda i: F.concat(*[F.get(letters, i + k) for k in range(n)]))
-    return F.when(F.size(letters) >= n, runs).otherwise(F.array().cast("array<string>"))
+def char_ngrams(c: Column, n: int) -> Column:
+    """All runs of n characters, in one scan of the text; shorter texts have none."""
+    return F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
 def subwords(c: Column, low: int = 3, high: int = 6) -> Column:
     """Character runs of the word in angle brackets, shortest first."""
     marked = F.concat(F.lit("<"), c, F.lit(">"))
-    return F.flatten(F.array(*[char_ngrams(chars(marked), n) for n in range(low, high + 1)]))
+    return F.flatten(F.array(*[char_ngrams(marked, n) for n in range(low, high + 1)]))
 
 
 def title_case(c: Column) -> Column:
@@ -110,3 +106,59 @@ def camel_case(c: Column) -> Column:
 def field_value(line: Column) -> tuple[Column, Column]:
     """Key and value of a 'Key : value' line, parted at the first colon."""
     return F.trim(F.substring_index(line, ":", 1)), F.trim(F.regexp_replace(line, "^[^:]*:", ""))
+
+
+def sentences(c: Column) -> Column:
+    """Parts that end with a run of stops before white space, trimmed; empty ones are left out."""
+    parts = F.split(F.regexp_replace(c, r"([.!?]+)\s+", "$1\x01"), "\x01")
+    return F.filter(F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s+", ""), r"\s+$", "")), lambda x: x != "")
+
+
+def word_tokens(c: Column) -> Column:
+    """Words, with what follows an apostrophe, and single marks."""
+    return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+(?:['’][\p{L}]+)*|[^\p{L}\p{N}\s]"), F.lit(0))
+
+
+#: Prompts by name: the text, and what stands for arguments that aren't given; others are required.
+PROMPTS: dict[str, tuple[str, dict[str, str]]] = {
+    "analyze-menu": ("Menu: {menu}\nFocus: {focus}", {"focus": "all"}),
+    "translate-order": ('Order: "{order}"', {}),
+    "recommend-dish": ("Wanted: {preference}\nBudget: {budget}", {"budget": "medium"}),
+    "explain-dish": ("Dish: {dish}", {}),
+}
+
+
+def filled(name: Column, arguments: Column, prompts: dict[str, tuple[str, dict[str, str]]] = PROMPTS) -> Column:
+    """The named prompt with its arguments, a map of strings, filled in; an unknown name, or a missing argument, is an error."""
+    out = None
+    for key, (text, defaults) in prompts.items():
+        parts: list[Column] = []
+        for k, piece in enumerate(re.split(r"\{(\w+)\}", text)):
+            if k % 2:
+                given = F.try_element_at(arguments, F.lit(piece))
+                parts.append(F.coalesce(given, F.lit(defaults[piece]) if piece in defaults else F.raise_error(F.lit(f"{key} needs {piece}")).cast("string")))
+            elif piece:
+                parts.append(F.lit(piece))
+        out = F.when(name == key, F.concat(*parts)) if out is None else out.when(name == key, F.concat(*parts))
+    return out.otherwise(F.raise_error(F.concat(F.lit("unknown prompt: "), F.coalesce(name, F.lit("null")))).cast("string"))
+
+
+def menu_items(menus: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, section, item, price) of the 'item - ¥price' lines of a menu; a line in 【】 begins a section, 無料 costs 0."""
+    parts = menus.select(key, F.explode(F.split(text, r"\n\s*(?=【)")).alias("part"))
+    rows = parts.select(key, F.regexp_extract("part", r"^\s*(【[^】\n]*】)", 1).alias("section"), F.explode(F.split("part", "\n")).alias("line"))
+    item, price = (F.regexp_extract(F.trim("line"), r"^(.*) - (\S+)$", k) for k in (1, 2))
+    yen = F.when(price == "無料", 0).otherwise(F.regexp_replace(price, "[¥,]", "").try_cast("int"))
+    return rows.filter(item != "").select(key, "section", item.alias("item"), yen.alias("price"))
+
+
+def escaped(c: Column) -> Column:
+    """Text as it stands in XML."""
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def opf(title: Column, authors: Column, publisher: Column, isbn: Column) -> Column:
+    """A metadata record as XML; what is missing has no element."""
+    element = lambda name, c, more="": F.coalesce(F.concat(F.lit(f"<dc:{name}{more}>"), escaped(c), F.lit(f"</dc:{name}>")), F.lit(""))
+    creators = F.array_join(F.transform(F.coalesce(authors, F.array().cast("array<string>")), lambda x: element("creator", x)), "")
+    return F.concat(F.lit('<?xml version="1.0"?>\n<package><metadata>'), element("title", title), creators, element("publisher", publisher), element("identifier", isbn, ' scheme="isbn"'), F.lit("</metadata></package>"))

@@ -67,3 +67,10 @@ def reshape(c: Column, width: int) -> Column:
 
 def transpose(rows: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(rows[0]) - 1), lambda j: F.transform(rows, lambda r: F.get(r, j)))
+
+
+def calculate(op: Column, a: Column, b: Column) -> Column:
+    """a and b added, subtracted, multiplied or divided; division by zero, and an operation of another name, is an error."""
+    divided = F.when(b == 0, F.raise_error(F.lit("division by zero")).cast("double")).otherwise(a / b)
+    unknown = F.raise_error(F.concat(F.lit("unknown operation: "), op)).cast("double")
+    return F.when(op == "add", a + b).when(op == "subtract", a - b).when(op == "multiply", a * b).when(op == "divide", divided).otherwise(unknown)

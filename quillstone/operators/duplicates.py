@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
@@ -59,16 +60,88 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-def similar_titles(records: DataFrame, block: Sequence[str], title: str, least: float, ratio: str = "levenshtein", both_ways: bool = False, id_col: str = "id") -> DataFrame:
-    """(id1, id2, ratio) of records of one block whose titles are alike; titles too unequal in length aren't compared."""
-    rows = records.select(F.col(id_col).alias("id"), *block, F.lower(F.trim(title)).alias("t")).filter("t <> ''")
-    a, b = rows.withColumnsRenamed({"id": "id1", "t": "t1"}), rows.withColumnsRenamed({"id": "id2", "t": "t2"})
+def _shared_characters(a: Column, b: Column) -> Column:
+    """How many characters two sorted arrays of (character, times) have in common; no alignment matches more."""
+    times = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0))
+    return F.aggregate(F.map_keys(a), F.lit(0), lambda n, k: n + F.least(times(a, k), times(b, k)))
+
+
+def _character_counts(c: Column) -> Column:
+    chars = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    return F.map_from_entries(F.transform(F.array_distinct(chars), lambda x: F.struct(x, F.size(F.filter(chars, lambda y: y == x)))))
+
+
+def similar_titles(records: DataFrame, block: Sequence[str], title: str, least: float, ratio: str = "levenshtein", both_ways: bool = False, id_col: str = "id", normal: bool = False) -> DataFrame:
+    """(id1, id2, ratio) of records of one block whose titles are alike.
+
+    Titles so unequal in length that they can't be alike never meet: each falls into a class of lengths, and classes
+    meet only with the same and the next ones. Pairs that have too few characters in common aren't measured.
+    """
+    plain = normalize(F.col(title)) if normal else F.lower(F.trim(title))
+    rows = records.select(F.col(id_col).alias("id"), *block, plain.alias("t")).filter("t <> ''")
+    narrow = least if ratio == "levenshtein" else least / (2 - least)  # the least share of the longer length that the shorter has
+    rows = rows.withColumn("class", F.floor(F.log(F.length("t").cast("double")) / F.lit(-math.log(narrow))))
+    if ratio != "levenshtein":
+        rows = rows.withColumn("m", _character_counts(F.col("t")))
+    a = rows.withColumnsRenamed({"id": "id1", "t": "t1", "m": "m1"})
+    b = rows.withColumnsRenamed({"id": "id2", "t": "t2", "m": "m2"}).withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
     order = F.col("id1") != F.col("id2") if both_ways else F.col("id1") < F.col("id2")
-    near = a.join(b, list(block)).filter(order)
+    near = a.join(b, [*block, "class"]).filter(order)
     x, y = F.length("t1"), F.length("t2")
-    bound = F.least(x, y) / F.greatest(x, y) if ratio == "levenshtein" else 2 * F.least(x, y) / (x + y)
+    if ratio == "levenshtein":
+        near = near.filter(F.least(x, y) / F.greatest(x, y) >= least)
+    else:
+        near = near.filter(2 * F.least(x, y) / (x + y) >= least).filter(2 * _shared_characters(F.col("m1"), F.col("m2")) / (x + y) >= least)
     measure = levenshtein_ratio(F.col("t1"), F.col("t2")) if ratio == "levenshtein" else sequence_ratio("t1", "t2")
-    return near.filter(bound >= least).withColumn("ratio", measure).filter(F.col("ratio") >= least).select("id1", "id2", "ratio")
+    return near.withColumn("ratio", measure).filter(F.col("ratio") >= least).select("id1", "id2", "ratio")
+
+
+def similar_groups(pairs: DataFrame) -> DataFrame:
+    """(group_id, ids): of pairs both ways, one group a record that has any, itself and all that are like it, in order of ids."""
+    return pairs.groupBy(F.col("id1").alias("group_id")).agg(F.collect_list("id2").alias("ids")).select("group_id", F.array_sort(F.array_append("ids", F.col("group_id"))).alias("ids"))
+
+
+def report(exact: DataFrame, numbered: DataFrame, similar: DataFrame) -> DataFrame:
+    """(kind, name, ids) of three kinds of groups, given as (name, ids) each."""
+    one = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("name").cast("string").alias("name"), "ids")
+    return one(exact, "exact").unionByName(one(numbered, "isbn")).unionByName(one(similar, "similar"))
+
+
+def markdown(found: DataFrame, titles: DataFrame) -> DataFrame:
+    """(kind, section): a report's groups as lines of Markdown, one section a kind; titles are (id, title)."""
+    rows = found.select("kind", "name", F.posexplode("ids").alias("at", "id")).join(titles, "id", "left")
+    line = F.concat(F.lit("- "), F.col("id").cast("string"), F.lit(": "), F.coalesce("title", F.lit("Unknown")))
+    groups = rows.groupBy("kind", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    text = F.concat(F.lit("### "), "name", F.lit("\n"), "lines")
+    return groups.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("name", text.alias("text")))).alias("g")).select("kind", F.concat(F.lit("## "), "kind", F.lit("\n"), F.array_join(F.transform("g", lambda x: x["text"]), "\n")).alias("section"))
+
+
+#: What a run does with a plan: only looks, says what it would do, asks for each group, or does it.
+MODES = ("find-only", "dry-run", "interactive", "auto-delete")
+
+
+def carry_out(records: DataFrame, planned: DataFrame, mode: str, answers: DataFrame | None = None, id_col: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records left, log, summary) of a run over a plan (group_id, id, action).
+
+    ``answers`` (group_id, keeper) are what was said in an interactive run: groups without one, or with a null, are
+    skipped, and a keeper that isn't of its group keeps the plan's. The log holds the records that went; a run that only
+    looks leaves it empty. The summary is one row: mode, groups, and records deleted or to be deleted.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == "interactive":
+        if answers is None:
+            raise ValueError("an interactive run needs answers")
+        said = planned.join(answers.filter("keeper IS NOT NULL"), "group_id")
+        mine = Window.partitionBy("group_id")
+        known = F.max(F.col("id") == F.col("keeper")).over(mine)
+        keeper = F.when(known, F.col("keeper")).otherwise(F.max(F.when(F.col("action") == "KEEP", F.col("id"))).over(mine))
+        planned = said.withColumn("keeper", keeper).select("group_id", "id", F.when(F.col("id") == F.col("keeper"), "KEEP").otherwise("DELETE").alias("action"))
+    gone = planned.filter("action = 'DELETE'").select(F.col("id").alias(id_col)).distinct()
+    summary = planned.agg(F.lit(mode).alias("mode"), F.count_distinct("group_id").alias("n_groups"), F.count_distinct(F.when(F.col("action") == "DELETE", F.col("id"))).alias("n_deleted"))
+    if mode in ("find-only", "dry-run"):
+        return records, records.limit(0), summary
+    return records.join(gone, id_col, "left_anti"), records.join(gone, id_col, "left_semi"), summary
 
 
 def keeper_score(formats: Column, priority: Sequence[str], day: Column) -> Column:

@@ -97,6 +97,28 @@ def lookup(rows: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
     return rows.join(known, key, "left").withColumn("success", F.coalesce("success", F.lit(False)))
 
 
+def found_by_identifier(rows: DataFrame, metadata: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, identifier, success, error, found) of rows (id, identifier), the identifier as 'kind:value' or null.
+
+    ``metadata`` has a column ``isbn`` and, where other kinds are known, ``identifiers``, a map from kind to value. What it
+    says of an identifier is a struct of its columns; of several rows for one identifier the least is taken.
+    """
+    fields = metadata.columns
+    numbers = metadata.filter("isbn IS NOT NULL").select(F.concat(F.lit("isbn:"), bare(F.col("isbn"))).alias("identifier"), F.struct(*[c for c in fields if c != "identifiers"]).alias("found"))
+    if "identifiers" in fields:
+        pairs = metadata.select(F.explode("identifiers").alias("kind", "value"), F.struct(*[c for c in fields if c != "identifiers"]).alias("found"))
+        numbers = numbers.unionByName(pairs.filter("value IS NOT NULL").select(F.concat("kind", F.lit(":"), "value").alias("identifier"), "found"))
+    known = numbers.groupBy("identifier").agg(F.min("found").alias("found"))
+    joined = rows.join(known, "identifier", "left")
+    error = F.when(F.col("identifier").isNull(), "No ISBN or ASIN found").when(F.col("found").isNull(), "nothing found")
+    return joined.select(id_col, "identifier", F.col("found").isNotNull().alias("success"), error.alias("error"), "found")
+
+
+def counted(results: DataFrame) -> DataFrame:
+    """One row: how many lookups there were, and how many of them found something."""
+    return results.agg(F.count("*").alias("total_processed"), F.count_if(F.col("success")).alias("successful"), F.count_if(~F.col("success")).alias("failed"))
+
+
 def add_identifier(identifiers: Column, kind: str, value: Column) -> Column:
     """The map with one more identifier, stored bare; an old one of the kind gives way."""
     rest = F.map_filter(identifiers, lambda k, _: k != kind)

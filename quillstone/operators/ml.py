@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, RegexTokenizer, StandardScaler, StopWordsRemover, VectorAssembler, Word2Vec
@@ -24,14 +27,28 @@ def text_pipeline(kind: str, size: int = 512) -> Pipeline:
     """Words without stop words, weighted by tf-idf, into a forest, a two-layer network or a linear model."""
     words = [RegexTokenizer(inputCol="text", outputCol="raw", pattern=r"[^\p{L}]+"), StopWordsRemover(inputCol="raw", outputCol="words")]
     if kind == "forest":
-        return Pipeline(stages=[*words, CountVectorizer(inputCol="words", outputCol="tf", vocabSize=size), IDF(inputCol="tf", outputCol="features"), RandomForestClassifier(numTrees=20, seed=42)])
+        return Pipeline(stages=[*words, CountVectorizer(inputCol="words", outputCol="tf", vocabSize=size), IDF(inputCol="tf", outputCol="features"), RandomForestClassifier(numTrees=100, seed=42)])
     if kind == "network":
         return Pipeline(stages=[*words, HashingTF(inputCol="words", outputCol="tf", numFeatures=128), IDF(inputCol="tf", outputCol="features"), MultilayerPerceptronClassifier(layers=[128, 16, 2], seed=42, maxIter=30)])
     return Pipeline(stages=[*words, Word2Vec(inputCol="words", outputCol="features", vectorSize=16, minCount=2, seed=42, numPartitions=1, maxIter=1), LogisticRegression(maxIter=30)])
 
 
-def tabular_pipeline(columns: list[str]) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(maxIter=30)])
+def tabular_pipeline(columns: list[str], kind: str = "linear") -> Pipeline:
+    """Standardised columns into a linear model, a network with a hidden layer, a perceptron (one without) or a forest."""
+    n = len(columns)
+    last = {
+        "linear": lambda: LogisticRegression(maxIter=30),
+        "network": lambda: MultilayerPerceptronClassifier(layers=[n, 16, 2], seed=42, maxIter=60),
+        "perceptron": lambda: MultilayerPerceptronClassifier(layers=[n, 2], seed=42, maxIter=60),
+        "forest": lambda: RandomForestClassifier(numTrees=100, seed=42),
+    }[kind]()
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), last])
+
+
+def map_batches(rows: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, parts: int | None = None) -> DataFrame:
+    """The rows batch by batch through a function, in ``parts`` tasks or as many as there are."""
+    dealt = rows if parts is None else rows.repartition(parts)
+    return dealt.mapInPandas(lambda batches: map(run, batches), schema)
 
 
 def fit_predict(pipeline: Pipeline, rows: DataFrame, label: Column, is_test: Column) -> DataFrame:

@@ -9,24 +9,37 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import char_ngrams, chars
+from quillstone.functions.text import char_ngrams
 
+#: Rows of profiles, and words of a vocabulary, up to which they are sent to every task; the size is checked.
+FEW_PROFILES, FEW_WORDS = 1 << 16, 1 << 20
 
-def ngram_profile(docs: DataFrame, text: Column, label: str, n: int, top: int) -> DataFrame:
-    """(label, gram, n): the most frequent character n-grams of each label, ties by gram."""
-    grams = docs.select(label, chars(text).alias("__t")).select(label, F.explode(char_ngrams(F.col("__t"), n)).alias("gram"))
-    counts = grams.groupBy(label, "gram").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.col("n").desc(), "gram"))
+
+def _grams(docs: DataFrame, text: Column, key: str, sizes: Sequence[int]) -> DataFrame:
+    return docs.select(key, F.explode(F.concat(*[char_ngrams(text, n) for n in sizes])).alias("gram"))
+
+
+def ngram_profile(docs: DataFrame, text: Column, label: str, sizes: Sequence[int], top: int) -> DataFrame:
+    """(label, gram, n): the most frequent character n-grams of each label and size, ties by gram.
+
+    All sizes come from one scan; what is shuffled are counts of the different grams of a label.
+    """
+    counts = _grams(docs, text, label, sizes).groupBy(label, "gram").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(label, F.length("gram")).orderBy(F.col("n").desc(), "gram"))
     return counts.withColumn("place", place).filter(F.col("place") <= top).drop("place")
 
 
-def profile_scores(docs: DataFrame, text: Column, key: str, profiles: DataFrame, label: str, n: int) -> DataFrame:
+def profile_scores(docs: DataFrame, text: Column, key: str, profiles: DataFrame, label: str, sizes: Sequence[int]) -> DataFrame:
     """(key, label, score): how many of a text's n-grams, repeats counted, are in each label's profile.
 
-    A text's grams are counted within the row first, so repeated ones meet the profile once.
+    A profile has at most ``top`` rows a label and size, so the profiles of FEW_PROFILES rows or fewer go to every task and
+    no gram is shuffled; with more labels than that the join is left to the engine.
     """
-    grams = docs.select(key, chars(text).alias("__t")).select(key, F.explode(char_ngrams(F.col("__t"), n)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("times"))
-    return grams.join(profiles.select(label, "gram"), "gram").groupBy(key, label).agg(F.sum("times").alias("score"))
+    named = profiles.select(F.col(label).alias("__label"), "gram")
+    few = named.limit(FEW_PROFILES + 1).toArrow()
+    if few.num_rows <= FEW_PROFILES:
+        named = F.broadcast(docs.sparkSession.createDataFrame(few, named.schema))
+    return _grams(docs, text, key, sizes).join(named, "gram").groupBy(key, F.col("__label").alias(label)).agg(F.count("*").alias("score"))
 
 
 def best_label(scores: DataFrame, key: str, label: str, order: Sequence[str]) -> DataFrame:
@@ -52,12 +65,32 @@ def frequencies(docs: DataFrame, words: Column, top: int) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, key: str, words: Column) -> DataFrame:
-    """(key, token, tf, df, weight): term count times ln((documents + 1) / (documents with the term + 1))."""
-    tf = docs.select(key, F.explode(words).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("total"))  # one row
-    weight = F.col("tf") * F.log((F.col("total") + 1) / (F.col("df") + 1))
-    return tf.join(df, "token").crossJoin(F.broadcast(total)).select(key, "token", "tf", "df", weight.alias("weight"))
+    """(key, token, tf, df, weight): term count times ln((documents + 1) / (documents with the term + 1)).
+
+    Texts are dealt by key once, before they are taken apart, so counts of a document's terms, and windows over them, need
+    no further shuffle. A vocabulary of at most FEW_WORDS goes to every task; a larger one is joined by term.
+    """
+    df = docs.select(F.explode(F.array_distinct(words)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    total, n_words = docs.agg(F.count("*")).first()[0], df.count()
+    tf = docs.select(key, words.alias("__w")).repartition(key).select(key, F.explode("__w").alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    weight = F.col("tf") * F.log((F.lit(total) + 1) / (F.col("df") + 1))
+    return tf.join(F.broadcast(df) if n_words <= FEW_WORDS else df, "token").select(key, "token", "tf", "df", weight.alias("weight"))
+
+
+def tfidf_fit(train: DataFrame, words: Column, stop: Sequence[str], most: int) -> DataFrame:
+    """(token, index, idf) of the ``most`` frequent words of the training texts that aren't stop words, ties by word; indexes from 0."""
+    kept = F.filter(words, lambda x: ~x.isin(*stop)) if stop else words
+    total = train.agg(F.count("*")).first()[0]
+    best = train.select(F.explode(kept).alias("token")).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "token").limit(most)
+    df = train.select(F.explode(F.array_distinct(kept)).alias("token")).join(F.broadcast(best), "token").groupBy("token").agg(F.count("*").alias("df"))  # ``most`` rows
+    return df.select("token", (F.row_number().over(Window.orderBy("token")) - 1).alias("index"), F.log((F.lit(total) + 1) / (F.col("df") + 1)).alias("idf"))
+
+
+def tfidf_transform(docs: DataFrame, key: str, words: Column, model: DataFrame) -> DataFrame:
+    """(key, index, weight) of the model's words in each text, scaled to unit length. The model has as many rows as it was fitted with."""
+    tf = docs.select(key, words.alias("__w")).repartition(key).select(key, F.explode("__w").alias("token")).join(F.broadcast(model), "token").groupBy(key, "index").agg((F.count("*") * F.max("idf")).alias("x"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
+    return tf.select(key, "index", (F.col("x") / norm).alias("weight"))
 
 
 def vocabulary(docs: DataFrame, words: Column, size: int) -> DataFrame:

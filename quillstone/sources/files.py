@@ -7,6 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.functions import isbn
 from quillstone.functions.text import field_value
 
 
@@ -61,6 +62,35 @@ def resource(spark: SparkSession, folder: str, name: str) -> str:
     return found["text"]
 
 
+def resources(spark: SparkSession, folder: str) -> DataFrame:
+    """(name) of the named resources of a folder, in order."""
+    return text_files(spark, folder).select(F.regexp_replace("name", r"\.txt$", "").alias("name")).orderBy("name")
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """A table as lines of JSON, as read_json reads them."""
+    rows.write.mode("overwrite").json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def write_vectors(rows: DataFrame, path: str) -> None:
+    """(id, embedding) as Parquet, which keeps arrays of numbers as they are."""
+    rows.select("id", F.col("embedding").cast("array<double>").alias("embedding")).write.mode("overwrite").parquet(path)
+
+
+def isbns_in_files(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
+    """(name, isbns): valid numbers in the metadata text of each file, those of its 'Identifiers' line that are new last."""
+    files = text_files(spark, folder, pattern)
+    line = F.regexp_extract("text", r"Identifiers\s*:\s*(.+)", 1)
+    other = F.trim(F.regexp_extract(line, r"(?i)isbn:([^\s,]+)", 1))
+    found = isbn.extract(F.col("text"))
+    more = F.when(isbn.valid(other) & ~F.array_contains(found, other), F.array(other)).otherwise(F.array().cast("array<string>"))
+    return files.select("name", F.concat(found, more).alias("isbns"))
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

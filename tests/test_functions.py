@@ -61,7 +61,7 @@ def test_previews(spark):
 
 
 def test_character_runs(spark):
-    assert values(spark, ["abcd", "a", ""], "string", lambda c: text.char_ngrams(text.chars(c), 2)) == [["ab", "bc", "cd"], [], []]
+    assert values(spark, ["abcd", "a", ""], "string", lambda c: text.char_ngrams(c, 2)) == [["ab", "bc", "cd"], [], []]
 
 
 def test_days(spark):
