@@ -12,7 +12,6 @@ from quillstone.plans.registry import query
 from quillstone.sources.catalog import SQL, Catalog, table
 
 
-
 def _keys() -> list[Column]:
     return [F.lower(F.trim("title")), F.lower(F.trim("author_sort"))]
 
@@ -101,15 +100,44 @@ def dup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.summary(D.groups_by_key(Catalog(spark, sf_dir).books, _keys()))
 
 
+_TITLE = r"trim(regexp_replace(regexp_replace(lower(p_name), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g'))"
+_WHO = "list_sort(list_transform([p_brand, split_part(p_type, ' ', 1)], lambda x: trim(regexp_replace(regexp_replace(lower(x), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g'))))"
+_EXACT = f"SELECT {_TITLE} || chr(31) || array_to_string({_WHO}, chr(31)) AS name, list(p_partkey ORDER BY p_partkey) AS ids FROM part GROUP BY 1 HAVING count(*) > 1"
+_SIMILAR = f"""SELECT CAST(a.id AS VARCHAR) AS name, list_sort(list_append(list(b.id), a.id)) AS ids FROM (SELECT p_partkey AS id, p_brand, p_type, {_TITLE} AS t FROM part) a JOIN (SELECT p_partkey AS id, p_brand, p_type, {_TITLE} AS t FROM part) b
+  ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.id <> b.id AND a.t <> '' AND b.t <> '' AND round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 6) >= 0.85 GROUP BY a.id"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.array("p_brand", F.substring_index("p_type", " ", 1)).alias("authors"), "p_brand", "p_type")
+
+
+def _likes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.similar_titles(_records(spark, sf_dir), ["p_brand", "p_type"], "title", 0.85, both_ways=True, normal=True)
+
+
+@query("C1 F2", f"SELECT md5(name) AS name, array_to_string(ids, ',') AS ids FROM ({_EXACT})")
+def dup_exact_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records alike in title and authors, whose order doesn't matter."""
+    found = D.exact_groups(_records(spark, sf_dir), ["title", "authors"])
+    return found.select(F.md5("key").alias("name"), F.array_join("ids", ",").alias("ids"))
+
+
+@query("C2 J9", f"SELECT CAST(name AS BIGINT) AS group_id, array_to_string(ids, ',') AS ids FROM ({_SIMILAR})")
+def dup_similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A group for each record that has others of its block like it; groups overlap."""
+    return D.similar_groups(_likes(spark, sf_dir)).select("group_id", F.array_join("ids", ",").alias("ids"))
+
+
 @query("C4", SQL + f"""
-SELECT 'key' AS kind, CAST(group_id AS VARCHAR) AS name, count(*) AS n FROM ({_BY_KEY}) WHERE n > 1 GROUP BY group_id
-UNION ALL SELECT 'isbn', value, count(DISTINCT id) FROM ({_VALUES}) GROUP BY value HAVING count(DISTINCT id) > 1
+SELECT 'exact' AS kind, md5(name) AS name, array_to_string(ids, ',') AS ids FROM ({_EXACT}) UNION ALL SELECT 'similar', md5(name), array_to_string(ids, ',') FROM ({_SIMILAR})
+UNION ALL SELECT 'isbn', md5(value), string_agg(DISTINCT CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) FROM ({_VALUES}) GROUP BY value HAVING count(DISTINCT id) > 1
 """)
 def dup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cat = Catalog(spark, sf_dir)
-    keyed = D.groups_by_key(cat.books, _keys()).groupBy("group_id").agg(F.count("*").alias("n"))
-    numbered = D.identifier_groups(_values(cat), by_record=True)
-    return keyed.select(F.lit("key").alias("kind"), F.col("group_id").cast("string").alias("name"), "n").unionByName(numbered.select(F.lit("isbn").alias("kind"), F.col("value").alias("name"), "n"))
+    """Groups of three kinds: alike in title and authors, with one number, with titles alike."""
+    exact = D.exact_groups(_records(spark, sf_dir), ["title", "authors"]).select(F.col("key").alias("name"), F.transform("ids", lambda x: x.cast("string")).alias("ids"))
+    numbered = _values(Catalog(spark, sf_dir)).groupBy(F.col("value").alias("name")).agg(F.array_sort(F.collect_set(F.col("id").cast("string"))).alias("ids")).filter("size(ids) > 1")
+    similar = D.similar_groups(_likes(spark, sf_dir)).select(F.col("group_id").alias("name"), F.transform("ids", lambda x: x.cast("string")).alias("ids"))
+    return D.report(exact, numbered, similar).select("kind", F.md5("name").alias("name"), F.array_join("ids", ",").alias("ids"))
 
 
 _SCORED = f"""g AS (SELECT group_id, id FROM ({_BY_KEY}) WHERE n > 1),
@@ -152,12 +180,52 @@ def dedup_plan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("A7 F14 F15 F16", "SELECT id, is10, is13, is10 OR is13 AS is_any FROM (SELECT p_partkey AS id, p_partkey % 2 = 0 AS is10, p_partkey % 2 = 1 AS is13 FROM part) ORDER BY id")
+_PLAN = f"p AS (SELECT group_id, id, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, id) AS k FROM scored)"
+
+
+@query("C8", SQL + f""", {_SCORED}, {_PLAN}, a AS (SELECT * FROM p JOIN (SELECT group_id, max(id) AS keeper FROM p WHERE group_id % 3 = 1 GROUP BY group_id) USING (group_id))
+SELECT 'find-only' AS mode, count(DISTINCT group_id) AS n_groups, count(DISTINCT id) FILTER (WHERE k > 1) AS n_deleted, (SELECT count(*) FROM books) AS n_left, 0 AS n_logged FROM p
+UNION ALL SELECT 'dry-run', count(DISTINCT group_id), count(DISTINCT id) FILTER (WHERE k > 1), (SELECT count(*) FROM books), 0 FROM p
+UNION ALL SELECT 'interactive', count(DISTINCT group_id), count(DISTINCT id) FILTER (WHERE id <> keeper), (SELECT count(*) FROM books) - count(DISTINCT id) FILTER (WHERE id <> keeper), count(DISTINCT id) FILTER (WHERE id <> keeper) FROM a
+UNION ALL SELECT 'auto-delete', count(DISTINCT group_id), count(DISTINCT id) FILTER (WHERE k > 1), (SELECT count(*) FROM books) - count(DISTINCT id) FILTER (WHERE k > 1), count(DISTINCT id) FILTER (WHERE k > 1) FROM p""")
+def dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four modes of a run over one plan: in an interactive one a third of the groups is answered, with the last id."""
+    books, planned = Catalog(spark, sf_dir).books, _plan(spark, sf_dir)
+    answers = planned.filter("group_id % 3 = 1").groupBy("group_id").agg(F.max("id").alias("keeper"))
+    out = None
+    for mode in D.MODES:
+        left, log, summary = D.carry_out(books, planned, mode, answers if mode == "interactive" else None)
+        count = lambda df, name: df.agg(F.count("*").alias(name))  # noqa: E731  one row each
+        one = summary.crossJoin(count(left, "n_left")).crossJoin(count(log, "n_logged"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_WRITTEN = """SELECT p_partkey AS id, CASE p_partkey % 8
+  WHEN 0 THEN n9 || c10 WHEN 1 THEN left(n9, 1) || '-' || substr(n9, 2) || '-' || lower(c10) WHEN 2 THEN n9 || CAST((CASE WHEN c10 = 'X' THEN 10 ELSE CAST(c10 AS INT) END + 1) % 10 AS VARCHAR)
+  WHEN 3 THEN '978 ' || n9 || c13 WHEN 4 THEN '978-' || n9 || '-' || CAST((CAST(c13 AS INT) + 3) % 10 AS VARCHAR) WHEN 5 THEN n9 WHEN 6 THEN '977' || n9 || c13 ELSE 'ab' || n9 || c10 END AS v
+FROM (SELECT p_partkey, n9, substr('0123456789X', CAST((11 - list_sum(list_transform(range(1, 10), lambda i: (11 - i) * CAST(substr(n9, i, 1) AS INT))) % 11) % 11 AS INT) + 1, 1) AS c10,
+  CAST((10 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr('978' || n9, i, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10) % 10 AS VARCHAR) AS c13 FROM (SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS n9 FROM part))"""
+_TEN = r"regexp_full_match(s, '\d{9}[\dX]') AND list_sum(list_transform(range(1, 11), lambda i: (11 - i) * CASE WHEN substr(s, i, 1) = 'X' THEN 10 ELSE coalesce(TRY_CAST(substr(s, i, 1) AS INT), 0) END)) % 11 = 0"
+_THIRTEEN = r"regexp_full_match(s, '97[89]\d{10}') AND list_sum(list_transform(range(1, 14), lambda i: coalesce(TRY_CAST(substr(s, i, 1) AS INT), 0) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10 = 0"
+
+
+@query("F14 F15 F16", rf"SELECT id, {_TEN} AS is10, {_THIRTEEN} AS is13, ({_TEN}) OR ({_THIRTEEN}) AS is_any FROM (SELECT id, regexp_replace(v, '[-\s]', '', 'g') AS s FROM ({_WRITTEN}))")
 def isbn_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers that are valid by construction, written with hyphens, of ten and thirteen digits in turn."""
+    """Numbers right and wrong in eight ways: a small x, other last digits, other lengths and beginnings, letters."""
     nine = F.lpad(F.col("p_partkey").cast("string"), 9, "0")
     total = F.aggregate(F.sequence(F.lit(1), F.lit(9)), F.lit(0), lambda a, i: a + (F.lit(11) - i) * F.substring(nine, i, F.lit(1)).cast("int"))
     check = (F.lit(11) - total % 11) % 11
-    ten = F.concat(F.substring(nine, 1, 1), F.lit("-"), F.substring(nine, 2, 8), F.lit("-"), F.when(check == 10, "X").otherwise(check.cast("string")))
-    value = F.when(F.col("p_partkey") % 2 == 0, ten).otherwise(isbn.isbn13_of(F.col("p_partkey")))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), value.alias("v")).select("id", isbn.valid10(F.col("v")).alias("is10"), isbn.valid13(F.col("v")).alias("is13"), isbn.valid(F.col("v")).alias("is_any"))
+    ten, thirteen = F.substring(F.lit("0123456789X"), check + 1, F.lit(1)), F.substring(isbn.isbn13_of(F.col("p_partkey")), 13, 1)
+    forms = [
+        F.concat(nine, ten),
+        F.concat(F.substring(nine, 1, 1), F.lit("-"), F.substring(nine, 2, 8), F.lit("-"), F.lower(ten)),
+        F.concat(nine, ((check + 1) % 10).cast("string")),
+        F.concat(F.lit("978 "), nine, thirteen),
+        F.concat(F.lit("978-"), nine, F.lit("-"), ((thirteen.cast("int") + 3) % 10).cast("string")),
+        nine,
+        F.concat(F.lit("977"), nine, thirteen),
+        F.concat(F.lit("ab"), nine, ten),
+    ]
+    v = F.element_at(F.array(*forms), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), v.alias("v")).select("id", isbn.valid10(F.col("v")).alias("is10"), isbn.valid13(F.col("v")).alias("is13"), isbn.valid(F.col("v")).alias("is_any"))

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import dates
 from quillstone.functions import vectors as V
+from quillstone.operators import duplicates as D
 from quillstone.operators import ml
+from quillstone.operators import ranges as R
 from quillstone.operators import search as S
 from quillstone.operators import stats as A
+from quillstone.operators import text as T
 from quillstone.plans.registry import query
-from quillstone.sources.catalog import table
+from quillstone.sources.catalog import SQL, Catalog, table
 
 _COS = "round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6)"
 
@@ -48,16 +51,22 @@ def mean_pool_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.mean_pool(_items(spark, sf_dir), "label").select("label", F.col("position").cast("long").alias("position"), F.round("value", 6).alias("value"))
 
 
-@query("E9", "SELECT conv_id, turn, count(*) AS n_known FROM (SELECT conv_id, turn, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) AS token FROM conversations) WHERE token IN ('the', 'of', 'and', 'la', 'de', 'die') GROUP BY conv_id, turn")
+_RANKED = "SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS vec_id FROM t GROUP BY token"
+
+
+@query("E9", f"WITH t AS (SELECT conv_id, turn, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) AS token FROM conversations) SELECT conv_id, turn, count(*) AS n_known FROM t JOIN ({_RANKED}) USING (token) JOIN embeddings USING (vec_id) GROUP BY conv_id, turn")
 def vector_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that have a vector; others drop out. The vectors are those of the first few items."""
-    names = F.array(*[F.lit(w) for w in ("the", "of", "and", "la", "de", "die")])
-    known = _items(spark, sf_dir).filter("vec_id < 6").select(F.get(names, F.col("vec_id").cast("int")).alias("token"), "embedding")
-    tokens = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")).alias("token"))
+    """Words that have a vector; others drop out. The frequent words have vectors, by their rank, as many as there are."""
+    items = _items(spark, sf_dir)
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
+    talks = table(spark, sf_dir, "conversations")
+    ranked = T.vocabulary(talks, words, items.count()).select("token", (F.col("index") - 1).alias("vec_id"))
+    known = ranked.join(items, "vec_id").select("token", "embedding")
+    tokens = talks.select("conv_id", "turn", F.explode(words).alias("token"))
     return tokens.join(known, "token").groupBy("conv_id", "turn").agg(F.count("embedding").alias("n_known"))
 
 
-@query("E11 E1", "SELECT vec_id, array_to_string(list_transform(list_concat(list_slice(embedding, 1, 4), [0.0, 0.0]), lambda x: CAST(round(x * 1000) AS INT)), ',') AS padded FROM embeddings")
+@query("E11", "SELECT vec_id, array_to_string(list_transform(list_concat(list_slice(embedding, 1, 4), [0.0, 0.0]), lambda x: CAST(round(x * 1000) AS INT)), ',') AS padded FROM embeddings")
 def crop_and_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = V.pad(F.slice(V.doubles(F.col("embedding")), 1, 4), 6, F.lit(0.0))
     return _items(spark, sf_dir).select("vec_id", F.array_join(F.transform(cut, lambda x: F.round(x * 1000).cast("int").cast("string")), ",").alias("padded"))
@@ -71,7 +80,7 @@ def list_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", (F.round(V.total(e), 5) + 0.0).alias("total"), (F.round(V.total(e) / F.size(e), 6) + 0.0).alias("mean"), F.array_min(e).alias("least"), F.array_max(e).alias("greatest"), F.size(F.array_distinct(e)).cast("long").alias("n_distinct"), F.sort_array(e)[0].alias("first_sorted"), F.reverse(e)[0].alias("first_reversed"))
 
 
-@query("F35 M11", """SELECT vec_id, round(1 / (1 + exp(-x)), 6) AS sigmoid, round(tanh(x), 6) AS tanh, round(greatest(x, 0), 6) AS relu, round(exp(x) / list_sum(list_transform(e, lambda y: exp(y))), 6) AS first_share, list_position(e, list_max(e)) - 1 AS top
+@query("F35", """SELECT vec_id, round(1 / (1 + exp(-x)), 6) AS sigmoid, round(tanh(x), 6) AS tanh, round(greatest(x, 0), 6) AS relu, round(exp(x) / list_sum(list_transform(e, lambda y: exp(y))), 6) AS first_share, list_position(e, list_max(e)) - 1 AS top
 FROM (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding::DOUBLE[] AS e FROM embeddings)""")
 def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _items(spark, sf_dir).select("vec_id", V.doubles(F.col("embedding")).alias("e")).withColumn("x", F.col("e")[0])
@@ -88,19 +97,20 @@ def tensor_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.round(V.total(V.add(e, e)), 5).alias("doubled"), F.round(V.total(F.col("m")[0]), 6).alias("first_row"), F.round(V.total(F.col("t")[0]), 6).alias("first_column"), F.size(F.concat(e, e)).cast("long").alias("joined"))
 
 
-@query("F36", """WITH l AS (SELECT vec_id AS i, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id < 20)
-SELECT a.i, b.i AS j, round(sum(a.x * b.x), 6) AS product FROM l a JOIN l b USING (k) GROUP BY a.i, b.i""")
+@query("F36", """WITH l AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT a.i, b.i AS j, round(sum(a.x * b.x), 6) + 0.0 AS product FROM l a JOIN l b USING (vec_id) GROUP BY a.i, b.i""")
 def matmul(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A matrix times its transpose: a join on the inner index, then sums."""
-    cells = _items(spark, sf_dir).filter("vec_id < 20").select(F.col("vec_id").alias("i"), F.posexplode(V.doubles(F.col("embedding"))).alias("k", "x"))
-    other = cells.select(F.col("i").alias("j"), "k", F.col("x").alias("y"))
-    return cells.join(other, "k").groupBy("i", "j").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("product"))
+    """The transpose of the whole matrix times the matrix: one small product a batch of rows, then their sums."""
+    return S.gram(_items(spark, sf_dir)).select("i", "j", (F.round("product", 6) + 0.0).alias("product"))
 
 
-@query("F26", "SELECT l_linenumber AS n, count(*) AS rows, round(sum(l_quantity + l_tax), 2) AS added, round(sum(l_quantity - l_tax), 2) AS taken, round(sum(l_quantity * l_tax), 2) AS times, round(sum(l_extendedprice / l_quantity), 1) AS per FROM lineitem GROUP BY l_linenumber")
+@query("F26", """SELECT l_linenumber AS n, count(*) AS rows, round(sum(l_quantity + l_tax), 2) AS added, round(sum(l_quantity - l_tax), 2) AS taken, round(sum(l_quantity * l_tax), 2) AS times,
+round(sum(CASE WHEN l_discount <> 0 THEN l_tax / l_discount END), 2) AS per, count(*) FILTER (WHERE l_discount = 0) AS undivided FROM lineitem GROUP BY l_linenumber""")
 def calculator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, t = F.col("l_quantity"), F.col("l_tax")
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("n")).agg(F.count("*").alias("rows"), F.round(F.sum(q + t), 2).alias("added"), F.round(F.sum(q - t), 2).alias("taken"), F.round(F.sum(q * t), 2).alias("times"), F.round(F.sum(F.col("l_extendedprice") / q), 1).alias("per"))
+    q, t, d = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
+    of = lambda op, a, b: V.calculate(F.lit(op), a, b)
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("n"))
+    return rows.agg(F.count("*").alias("rows"), F.round(F.sum(of("add", q, t)), 2).alias("added"), F.round(F.sum(of("subtract", q, t)), 2).alias("taken"), F.round(F.sum(of("multiply", q, t)), 2).alias("times"), F.round(F.sum(F.when(d != 0, of("divide", t, d))), 2).alias("per"), F.count_if(d == 0).alias("undivided"))
 
 
 _NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -141,7 +151,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("truth")), "doc_id")
 
 
-@query("A22 A23", f"""WITH r AS ({_JUDGED}), l AS (SELECT unnest([0, 1]) AS label), c AS (SELECT label, count(*) FILTER (WHERE truth = label AND predicted = label) AS hit, count(*) FILTER (WHERE predicted = label) AS said, count(*) FILTER (WHERE truth = label) AS support FROM l, r GROUP BY label),
+@query("A22", f"""WITH r AS ({_JUDGED}), l AS (SELECT unnest([0, 1]) AS label), c AS (SELECT label, count(*) FILTER (WHERE truth = label AND predicted = label) AS hit, count(*) FILTER (WHERE predicted = label) AS said, count(*) FILTER (WHERE truth = label) AS support FROM l, r GROUP BY label),
 p AS (SELECT label, support, CASE WHEN said > 0 THEN hit / said ELSE 0 END AS p, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS r FROM c)
 SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, support FROM p""")
 def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +176,7 @@ def set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one("nation", "n_name").unionByName(one("region", "r_name")).unionByName(one("customer", "c_mktsegment")).distinct()
 
 
-@query("U7 U2", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+@query("U7", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf_dir, "supplier").select("s_nationkey"))
 
@@ -188,11 +198,100 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(":42"))), "id").limit(100)
 
 
-@query("J15 W7", """SELECT d.doc_id, l.doc_id AS label_id, l.toxic FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) d FULL OUTER JOIN (SELECT doc_id, toxic FROM labels WHERE doc_id % 3 = 0) l ON d.doc_id = l.doc_id""")
+@query("J15", "SELECT vec_id, label, doc_id, toxic FROM embeddings FULL OUTER JOIN labels ON vec_id = doc_id")
 def full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id")
-    labels = table(spark, sf_dir, "labels").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("label_id"), "toxic")
-    return docs.join(labels, F.col("doc_id") == F.col("label_id"), "full")
+    """Items and labels, whole: some ids are in one of them only, on either side."""
+    items, labels = _items(spark, sf_dir).select("vec_id", "label"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return items.join(labels, F.col("vec_id") == F.col("doc_id"), "full")
+
+
+@query("J15", "SELECT doc_id, quality, label FROM embeddings RIGHT JOIN labels ON vec_id = doc_id")
+def right_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, labels = _items(spark, sf_dir).select("vec_id", "label"), table(spark, sf_dir, "labels")
+    return items.join(labels, F.col("vec_id") == F.col("doc_id"), "right").select("doc_id", "quality", "label")
+
+
+@query("J15", "SELECT c_custkey FROM customer SEMI JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') o ON o_custkey = c_custkey")
+def semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left_semi")
+
+
+@query("J15", """SELECT e.event_id, p.event_id AS purchase_id FROM (SELECT * FROM events WHERE event_type = 'error') e
+ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) p ON e.user_id = p.user_id AND e.ts >= p.ts""")
+def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each error, the user's last purchase until then."""
+    events = table(spark, sf_dir, "events")
+    left = events.filter("event_type = 'error'").select("event_id", "user_id", "ts")
+    right = events.filter("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase_id"))
+    return R.as_of(left, right, ["user_id"], "ts", ["purchase_id"]).select("event_id", "purchase_id")
+
+
+@query("J15", "SELECT e.event_id, count(x.event_id) AS n_before FROM (SELECT * FROM events WHERE event_type = 'error') e LEFT JOIN events x ON x.user_id = e.user_id AND x.ts < e.ts AND x.ts >= e.ts - INTERVAL 1 DAY GROUP BY e.event_id")
+def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each error, the user's events of the day before it: a range over the user's time, without a join."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = table(spark, sf_dir, "events").withColumn("at", seconds)
+    before = Window.partitionBy("user_id").orderBy("at").rangeBetween(-86_400_000_000, -1)
+    return rows.withColumn("n_before", F.count("*").over(before)).filter("event_type = 'error'").select("event_id", "n_before")
+
+
+@query("W7", """SELECT o_orderkey, rank() OVER w AS place, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS quarter, coalesce(lag(o_orderkey) OVER t, -1) AS previous, coalesce(lead(o_orderkey) OVER t, -1) AS next,
+max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS moving, sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS running
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC), t AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+def order_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank, quarter, neighbours in time, greatest of three in a row and running sum, in cents, of each customer's orders: one shuffle by customer."""
+    mine = Window.partitionBy("o_custkey")
+    time = mine.orderBy("o_orderdate", "o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.rank().over(mine.orderBy(F.col("o_totalprice").desc())).cast("long").alias("place"),
+        F.ntile(4).over(mine.orderBy(F.col("o_totalprice").desc(), "o_orderkey")).cast("long").alias("quarter"),
+        F.coalesce(F.lag("o_orderkey").over(time), F.lit(-1)).alias("previous"),
+        F.coalesce(F.lead("o_orderkey").over(time), F.lit(-1)).alias("next"),
+        F.max("o_totalprice").over(time.rowsBetween(-2, 0)).alias("moving"),
+        F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).over(time.rowsBetween(Window.unboundedPreceding, 0)).alias("running"),
+    )
+
+
+@query("A25", """SELECT l_returnflag, abs(n - exact) <= 0.05 * exact AS count_is_near, abs(below - 0.5) <= 0.01 AS median_is_near FROM (SELECT l_returnflag, count(DISTINCT l_orderkey) AS exact, count(DISTINCT l_orderkey) AS n, 0.5 AS below FROM lineitem GROUP BY l_returnflag)""")
+def approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of distinct counts and medians, and whether they are as near as they should be."""
+    rows = table(spark, sf_dir, "lineitem")
+    sketch = rows.groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey", 0.01).alias("n"), F.percentile_approx("l_extendedprice", F.lit(0.5), F.lit(10000)).alias("median"), F.count_distinct("l_orderkey").alias("exact"))
+    both = rows.join(sketch.select("l_returnflag", "n", "median", "exact"), "l_returnflag").groupBy("l_returnflag").agg(F.first("n").alias("n"), F.first("exact").alias("exact"), F.avg((F.col("l_extendedprice") <= F.col("median")).cast("double")).alias("below"))
+    return both.select("l_returnflag", (F.abs(F.col("n") - F.col("exact")) <= 0.05 * F.col("exact")).alias("count_is_near"), (F.abs(F.col("below") - 0.5) <= 0.01).alias("median_is_near"))
+
+
+@query("A25", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("A23", f"""WITH j AS ({_JUDGED.replace('quality AS truth', "CASE WHEN doc_id % 6 = 0 THEN -100 ELSE quality END AS truth")}), r AS (SELECT * FROM j WHERE truth <> -100),
+l AS (SELECT unnest([0, 1]) AS label), c AS (SELECT label, count(*) FILTER (WHERE truth = label AND predicted = label) AS hit, count(*) FILTER (WHERE predicted = label) AS said, count(*) FILTER (WHERE truth = label) AS support FROM l, r GROUP BY label),
+p AS (SELECT support, round(CASE WHEN said > 0 THEN hit / said ELSE 0 END, 6) AS p, round(CASE WHEN support > 0 THEN hit / support ELSE 0 END, 6) AS r, round(CASE WHEN hit > 0 THEN 2 * (hit / said) * (hit / support) / (hit / said + hit / support) ELSE 0 END, 6) AS f FROM c)
+SELECT round(sum(p * support) / sum(support), 6) AS precision, round(sum(r * support) / sum(support), 6) AS recall, round(sum(f * support) / sum(support), 6) AS f1, CAST(sum(support) AS BIGINT) AS support FROM p""")
+def masked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores weighted by support; rows whose truth is -100 don't count."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") > 900, 1).otherwise(0).alias("predicted"))
+    truth = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("doc_id") % 6 == 0, -100).otherwise(F.col("quality")).alias("truth"))
+    return A.weighted_report(docs.join(truth, "doc_id"), "truth", "predicted", ignore=-100)
+
+
+@query("M11", "SELECT CAST(least(floor((embedding[1]::DOUBLE + 0.5) / 1.0 * 20), 19) AS BIGINT) AS bin, count(*) AS n FROM embeddings WHERE embedding[1]::DOUBLE BETWEEN -0.5 AND 0.5 GROUP BY 1")
+def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _items(spark, sf_dir).select(V.doubles(F.col("embedding"))[0].alias("x"))
+    return A.histogram(rows, "x", -0.5, 0.5, 20)
+
+
+@query("U2", SQL + """, p AS (SELECT a.id AS g, b.id FROM books a JOIN books b ON lower(trim(a.title)) = lower(trim(b.title)) AND lower(trim(a.author_sort)) = lower(trim(b.author_sort)) AND a.id < b.id)
+SELECT id, count(*) AS n_lists FROM (SELECT g AS id, g FROM p GROUP BY g UNION ALL SELECT id, g FROM p) GROUP BY id""")
+def list_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of all groups, each group a list, put end to end; how often each comes."""
+    books = Catalog(spark, sf_dir).books
+    groups = D.groups_from_pairs(D.pairs(books, [F.lower(F.trim("title")), F.lower(F.trim("author_sort"))])).groupBy("group_id").agg(F.collect_list("id").alias("ids"))
+    return groups.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n_lists"))
 
 
 @query("A25", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, grouping(l_returnflag, l_linestatus) AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -230,7 +329,7 @@ def doc_classifier_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.fit_predict(ml.text_pipeline("network"), _labelled(spark, sf_dir), F.col("quality"), F.col("doc_id") % 4 == 0).select("doc_id", "label", "prediction")
 
 
-@query("M6 M9 N16 E8")
+@query("M6 N16")
 def doc_classifier_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.fit_predict(ml.text_pipeline("vectors"), _labelled(spark, sf_dir), F.col("quality"), F.col("doc_id") % 4 == 0).select("doc_id", "label", "prediction")
 

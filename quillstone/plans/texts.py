@@ -73,29 +73,42 @@ def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.stars((F.col("p_size") % 6).cast("int")).alias("stars"))
 
 
-@query("F17 T17 T18", r"""WITH d AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' ISBN-10: 0-306-40615-2 and 0306406153' ELSE '' END AS t FROM documents),
-c AS (SELECT doc_id, list_transform(regexp_extract_all(t, '(?i)(?:ISBN(?:-10)?:?\s*)?(\d{1,5}[-\s]?\d{1,7}[-\s]?\d{1,7}[-\s]?[\dX])', 1), lambda x: regexp_replace(x, '[-\s]', '', 'g')) AS l FROM d)
-SELECT doc_id, len(l) AS n_candidates, len(list_filter(l, lambda s: regexp_full_match(s, '\d{9}[\dX]') AND
-  list_sum(list_transform(range(1, 11), lambda i: (11 - i) * CASE WHEN substr(s, i, 1) = 'X' THEN 10 ELSE coalesce(TRY_CAST(substr(s, i, 1) AS INT), 0) END)) % 11 = 0)) AS n_valid FROM c""")
+_CHECK10 = "list_sum(list_transform(range(1, 11), lambda i: (11 - i) * CASE WHEN substr(s, i, 1) = 'X' THEN 10 ELSE coalesce(TRY_CAST(substr(s, i, 1) AS INT), 0) END)) % 11 = 0"
+_CHECK13 = "list_sum(list_transform(range(1, 14), lambda i: coalesce(TRY_CAST(substr(s, i, 1) AS INT), 0) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10 = 0"
+#: Numbers that are put into texts: right and wrong ones of both lengths, with hyphens, spaces, a small x, and one within the other.
+_ADDED = (" ISBN-10: 0-306-40615-2 and 0306406153", " ISBN-13: 978-0-306-40615-7, ISBN 9780306406158", " 043942089X or 043942089x", " 979 10 90636 07 1 and 97803064061571", "")
+
+
+def _found_sql(pattern: str, right: str, check: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all(t, '{pattern}', 1), lambda x: regexp_replace(x, '[-\\s]', '', 'g')), lambda s: regexp_full_match(s, '{right}') AND {check})"
+
+
+@query("F17 T17 T18", rf"""WITH d AS (SELECT doc_id, text || [{', '.join(repr(x) for x in _ADDED)}][doc_id % {len(_ADDED)} + 1] AS t FROM documents),
+c AS (SELECT doc_id, {_found_sql(isbn.SCAN10, '[0-9]{9}[0-9X]', _CHECK10)} AS ten, {_found_sql(isbn.SCAN13, '97[89][0-9]{10}', _CHECK13)} AS thirteen FROM d)
+SELECT doc_id, array_to_string(list_concat(ten, thirteen), ',') AS found, len(ten) + len(thirteen) AS n FROM c""")
 def isbn_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " ISBN-10: 0-306-40615-2 and 0306406153").otherwise(""))
-    found = F.transform(F.regexp_extract_all(t, F.lit(isbn.SCAN10), F.lit(1)), isbn.bare)
-    return _docs(spark, sf_dir).select("doc_id", F.size(found).cast("long").alias("n_candidates"), F.size(F.filter(found, isbn.valid10)).cast("long").alias("n_valid"))
+    """Valid numbers in texts, those of ten digits first, in order."""
+    added = F.element_at(F.array(*[F.lit(x) for x in _ADDED]), (F.col("doc_id") % len(_ADDED) + 1).cast("int"))
+    found = isbn.extract(F.concat("text", added))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(found, ",").alias("found"), F.size(found).cast("long").alias("n"))
 
 
-@query("F14 F15", SQL + "SELECT p_partkey AS id, s || " + "CAST((10 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr(s, i, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10) % 10 AS VARCHAR) AS isbn, true AS is_valid FROM keyed")
+@query("F14 F15", SQL + f"SELECT p_partkey AS id, v AS isbn, {_CHECK13.replace('substr(s,', 'substr(v,')} AND regexp_full_match(v, '97[89][0-9]{{10}}') AS is_valid FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN left(w, 12) || CAST((CAST(right(w, 1) AS INT) + 1 + p_partkey % 9) % 10 AS VARCHAR) ELSE w END AS v FROM (SELECT p_partkey, s || " + "CAST((10 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr(s, i, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10) % 10 AS VARCHAR) AS w FROM keyed))")
 def isbn_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made numbers, of which every third has another last digit."""
     made = isbn.isbn13_of(F.col("p_partkey"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), made.alias("isbn"), isbn.valid13(made).alias("is_valid"))
+    wrong = F.concat(F.substring(made, 1, 12), ((F.substring(made, 13, 1).cast("int") + 1 + F.col("p_partkey") % 9) % 10).cast("string"))
+    value = F.when(F.col("p_partkey") % 3 == 0, wrong).otherwise(made)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), value.alias("isbn"), isbn.valid13(value).alias("is_valid"))
 
 
 @query("F27", rf"""SELECT doc_id, length(text) AS n_characters, len(w) AS n_words, len(list_filter(string_split_regex(text, '[.!?]+'), lambda x: trim(x) <> '')) AS n_sentences,
-  round(list_sum(list_transform(w, lambda x: length(x))) / len(w), 4) AS word_length, list_max(list_transform(w, lambda x: length(x))) AS longest FROM (SELECT *, {_WORDS} AS w FROM documents)""")
+  round(list_sum(list_transform(w, lambda x: length(x))) / len(w), 4) AS word_length, list_max(list_transform(w, lambda x: length(x))) AS longest, list_filter(w, lambda x: length(x) = list_max(list_transform(w, lambda y: length(y))))[1] AS longest_word FROM (SELECT *, {_WORDS} AS w FROM documents)""")
 def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir).select("doc_id", "text", X.words(F.col("text")).alias("w"))
     sizes = F.transform("w", lambda x: F.length(x))
     sentences = F.filter(F.split("text", r"[.!?]+"), lambda x: F.trim(x) != "")
-    return rows.select("doc_id", F.length("text").cast("long").alias("n_characters"), F.size("w").cast("long").alias("n_words"), F.size(sentences).cast("long").alias("n_sentences"), F.round(F.aggregate(sizes, F.lit(0), lambda a, x: a + x) / F.size("w"), 4).alias("word_length"), F.array_max(sizes).cast("long").alias("longest"))
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_characters"), F.size("w").cast("long").alias("n_words"), F.size(sentences).cast("long").alias("n_sentences"), F.round(F.aggregate(sizes, F.lit(0), lambda a, x: a + x) / F.size("w"), 4).alias("word_length"), F.array_max(sizes).cast("long").alias("longest"), F.element_at("w", F.array_position(sizes, F.array_max(sizes)).cast("int")).alias("longest_word"))
 
 
 @query("F28", """SELECT p_partkey AS id, upper(p_name) AS upper, lower(p_name) AS lower, reverse(p_name) AS reverse, replace(p_name, ' ', '_') AS snake,
@@ -117,7 +130,7 @@ def _letters():
 
 @query("N3 N4 W2 A12 T22", _PROFILE.format(grams=_GRAMS.format(n=2)))
 def char_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.ngram_profile(_docs(spark, sf_dir), _letters(), "lang", 2, 100)
+    return T.ngram_profile(_docs(spark, sf_dir), _letters(), "lang", (2,), 100)
 
 
 _DECIDE = f"""WITH g2 AS ({_GRAMS.format(n=2)}), g3 AS ({_GRAMS.format(n=3)}), p2 AS ({_PROFILE.format(grams='SELECT * FROM g2')}), p3 AS ({_PROFILE.format(grams='SELECT * FROM g3')}),
@@ -129,9 +142,8 @@ d AS (SELECT d.doc_id, d.lang, coalesce(predicted, 'en') AS predicted FROM docum
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's language by bigram and trigram profiles; a text that matches none is in the first declared."""
     docs = _docs(spark, sf_dir)
-    scores = [T.profile_scores(docs, _letters(), "doc_id", T.ngram_profile(docs, _letters(), "lang", n, 100), "lang", n) for n in (2, 3)]
-    total = scores[0].unionByName(scores[1]).groupBy("doc_id", "lang").agg(F.sum("score").alias("score"))
-    best = T.best_label(total, "doc_id", "lang", LANGS).withColumnRenamed("lang", "predicted")
+    scores = T.profile_scores(docs, _letters(), "doc_id", T.ngram_profile(docs, _letters(), "lang", (2, 3), 100), "lang", (2, 3))
+    best = T.best_label(scores, "doc_id", "lang", LANGS).withColumnRenamed("lang", "predicted")
     return docs.select("doc_id", "lang").join(best, "doc_id", "left").withColumn("predicted", F.coalesce("predicted", F.lit(LANGS[0])))
 
 
@@ -157,9 +169,9 @@ def _tokens():
     return F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
 
 
-@query("W4 N7", f"WITH w AS (SELECT {_TOKENS} AS w FROM conversations) SELECT a, b, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: {{'a': w[i], 'b': w[i + 1]}}), recursive := true) FROM w) GROUP BY a, b HAVING count(*) > 2")
+@query("W4 N7", f"WITH w AS (SELECT {_TOKENS} AS w FROM conversations) SELECT a, b, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: {{'a': w[i], 'b': w[i + 1]}}), recursive := true) FROM w) GROUP BY a, b")
 def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.bigrams(table(spark, sf_dir, "conversations"), _tokens()).filter("n > 2")
+    return T.bigrams(table(spark, sf_dir, "conversations"), _tokens())
 
 
 @query("N9 A12 O3", f"SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS token FROM documents) GROUP BY token ORDER BY n DESC, token LIMIT 40")
@@ -188,6 +200,18 @@ def tfidf_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("place", place).filter("place <= 3").drop("place")
 
 
+@query("N10", f"""WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents), train AS (SELECT * FROM t WHERE doc_id % 4 <> 0 AND token NOT IN ({', '.join(repr(w) for w in STOP)})),
+model AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS i, ln((1 + (SELECT count(*) FROM documents WHERE doc_id % 4 <> 0)) / (1 + df)) AS idf FROM (SELECT token, count(*) AS n, count(DISTINCT doc_id) AS df FROM train GROUP BY token ORDER BY n DESC, token LIMIT 300)),
+x AS (SELECT doc_id, i, count(*) * max(idf) AS x FROM t JOIN model USING (token) WHERE doc_id % 4 = 0 GROUP BY doc_id, i)
+SELECT doc_id, i AS "index", round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM x""")
+def tfidf_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on three quarters of the documents, without stop words, 300 words at most; weights of the other quarter's texts."""
+    docs = _docs(spark, sf_dir)
+    model = T.tfidf_fit(docs.filter("doc_id % 4 <> 0"), _tokens(), STOP, 300)
+    found = T.tfidf_transform(docs.filter("doc_id % 4 = 0"), "doc_id", _tokens(), model)
+    return found.select("doc_id", F.col("index").cast("long").alias("index"), F.round("weight", 6).alias("weight"))
+
+
 _VOCAB = f"vocab AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS i FROM (SELECT unnest({_TOKENS}) AS token FROM conversations) GROUP BY token ORDER BY count(*) DESC, token LIMIT 50)"
 
 
@@ -217,7 +241,17 @@ def emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.emissions(talks, "role", "word")
 
 
-@query("N13 J12 A14")
+_HMM = f"""WITH RECURSIVE w AS (SELECT conv_id, role, coalesce(({_TOKENS})[1], '') AS word, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(({_TOKENS})[1], ''), role) AS p, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations),
+train AS (SELECT * FROM w WHERE conv_id % 4 <> 0), tags AS (SELECT role AS tag, row_number() OVER (ORDER BY role) AS k, count(*) AS size FROM train GROUP BY role), n AS (SELECT count(*) AS n_tags FROM tags),
+steps AS MATERIALIZED (SELECT f.tag AS a, t.tag AS b, t.k, ln((1 + coalesce(c, 0))::DOUBLE / (n_tags + sum(coalesce(c, 0)) OVER (PARTITION BY f.tag))) AS s FROM (SELECT tag FROM tags UNION ALL SELECT '') f, tags t, n LEFT JOIN (SELECT coalesce(previous, '') AS a, role AS b, count(*) AS c FROM train GROUP BY 1, 2) m ON m.a = f.tag AND m.b = t.tag),
+shown AS MATERIALIZED (SELECT x.conv_id, x.p, t.tag, t.k, ln((1 + coalesce(c, 0))::DOUBLE / (size + (SELECT count(DISTINCT word) FROM train) + 1)) AS e FROM w x JOIN tags t ON x.conv_id % 4 = 0 LEFT JOIN (SELECT role AS tag, word, count(*) AS c FROM train GROUP BY 1, 2) m ON m.tag = t.tag AND m.word = x.word),
+v AS (SELECT conv_id, p, tag, shown.k, s + e AS score, [tag] AS path FROM shown JOIN steps ON a = '' AND b = tag WHERE p = 1
+  UNION ALL SELECT conv_id, p, tag, k, score, path FROM (SELECT x.conv_id, x.p, x.tag, x.k, v.score + s + e AS score, list_append(v.path, x.tag) AS path, row_number() OVER (PARTITION BY x.conv_id, x.tag ORDER BY v.score + s DESC, v.k) AS best FROM v JOIN shown x ON x.conv_id = v.conv_id AND x.p = v.p + 1 JOIN steps ON a = v.tag AND b = x.tag) WHERE best = 1),
+ends AS (SELECT conv_id, path FROM v QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY p DESC, score DESC, k) = 1)
+SELECT role AS truth, count(*) AS n, round(avg(CASE WHEN path[p] = role THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM w JOIN ends USING (conv_id) GROUP BY role"""
+
+
+@query("N13 J12 A14", _HMM)
 def hmm_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of turns tagged from their first words, per role. Counts of words are joined; the driver holds those of tags."""
     talks = table(spark, sf_dir, "conversations").withColumn("word", F.coalesce(F.get(_tokens(), F.lit(0)), F.lit("")))
@@ -238,12 +272,15 @@ def subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(X.subwords(F.substring_index("p_name", " ", 1), 3, 4), " ").alias("parts"))
 
 
-@query("N17", "SELECT p_partkey AS id, concat_ws(',', '-100', p_size, '-100', p_size + 1, '-100') AS labels FROM part")
+@query("N17", """SELECT conv_id, turn, array_to_string(list_concat([-100], flatten(list_transform(w, lambda x: list_concat([ascii(x) % 7], list_transform(range(1, (length(x) + 2) // 3), lambda i: -100)))), [-100]), ',') AS labels
+FROM (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM conversations)""")
 def label_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two words of which the first has two sub-tokens, with a special token before and after."""
-    words = F.array(F.lit(None).cast("int"), F.lit(0), F.lit(0), F.lit(1), F.lit(None).cast("int"))
-    labels = T.aligned_labels(words, F.array(F.col("p_size"), F.col("p_size") + 1))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(labels, ",").alias("labels"))
+    """Words in pieces of three letters, a special token before and after: a word's label stands at its first piece."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", _tokens().alias("w"))
+    ids = F.flatten(F.transform("w", lambda x, i: F.array_repeat(i, F.ceil(F.length(x) / 3).cast("int"))))
+    none = F.array(F.lit(None).cast("int"))
+    labels = T.aligned_labels(F.col("ids"), F.transform("w", lambda x: F.ascii(x) % 7))
+    return rows.select("conv_id", "turn", "w", F.concat(none, ids, none).alias("ids")).select("conv_id", "turn", F.array_join(labels, ",").alias("labels"))
 
 
 @query("N18 F34", "SELECT lang, code, code * 10 AS ten FROM (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS code FROM (SELECT DISTINCT lang FROM documents))")
@@ -254,10 +291,10 @@ def class_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.explode("m").alias("lang", "code")).select("lang", F.col("code").cast("long").alias("code"), (F.col("code") * 10).cast("long").alias("ten"))
 
 
-@query("S4 F33 T28", "SELECT event_id, event_type AS kind, concat_ws(';', CAST(user_id AS VARCHAR), CAST(user_id + 1 AS VARCHAR)) AS users, 'a: b' AS note FROM events WHERE event_id % 10 = 0")
+@query("S4 F33 T28", "SELECT event_id, event_type AS kind, concat_ws(';', CAST(user_id AS VARCHAR), CAST(user_id + 1 AS VARCHAR)) AS users, 'a: b' AS note FROM events")
 def kv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key : value lines, of which a repeated key becomes a list and a line without a colon says nothing."""
-    events = table(spark, sf_dir, "events").filter("event_id % 10 = 0")
+    events = table(spark, sf_dir, "events")
     text = F.concat_ws("\n", F.concat(F.lit("Kind  : "), "event_type"), F.lit("no colon here"), F.concat(F.lit("User: "), F.col("user_id").cast("string")), F.concat(F.lit("User : "), (F.col("user_id") + 1).cast("string")), F.lit("Note: a: b"))
     lines = events.select("event_id", F.posexplode(F.split(text, "\n")).alias("at", "line")).filter(F.col("line").contains(":"))
     key, value = X.field_value(F.col("line"))
@@ -272,10 +309,10 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("again", F.to_json(F.struct(F.col("event_id").alias("id"), "k")))
 
 
-@query("S14", "SELECT doc_id, lang, left(replace(text, chr(10), ' '), 40) AS sentence FROM documents")
+@query("S14", "SELECT doc_id, lang, md5(replace(text, chr(10), ' ')) AS sentence FROM documents")
 def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts as lines 'sentence,label', parted at the last comma; the sentence's beginning is shown."""
-    return _parted(_docs(spark, sf_dir)).withColumn("sentence", F.substring("sentence", 1, 40))
+    """Whole texts as lines 'sentence,label', parted at the last comma."""
+    return _parted(_docs(spark, sf_dir)).withColumn("sentence", F.md5("sentence"))
 
 
 def _parted(docs: DataFrame) -> DataFrame:
@@ -284,10 +321,21 @@ def _parted(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", F.regexp_extract("value", pattern, 2).alias("lang"), F.regexp_extract("value", pattern, 1).alias("sentence"))
 
 
-@query("N2 F27")
+@query("N2 F27", r"""SELECT doc_id, len(s) AS n_sentences, list_max(list_transform(s, lambda x: len(regexp_extract_all(x, '[\p{L}\p{N}]+(?:[''’][\p{L}]+)*|[^\p{L}\p{N}\s]')))) AS most_tokens, md5(array_to_string(s, chr(10))) AS parted
+FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?]+)\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: x <> '') AS s FROM documents)""")
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences and words as the engine's own tokenizer parts them."""
-    return _docs(spark, sf_dir).select("doc_id", F.size(F.sentences("text")).alias("n_sentences"))
+    """Sentences end with a run of stops before white space; tokens are words, with what follows an apostrophe, and single marks."""
+    rows = _docs(spark, sf_dir).select("doc_id", X.sentences(F.col("text")).alias("s"))
+    most = F.array_max(F.transform("s", lambda x: F.size(X.word_tokens(x))))
+    return rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), most.cast("long").alias("most_tokens"), F.md5(F.array_join("s", "\n")).alias("parted"))
+
+
+@query("S13", "SELECT kind, count(*) AS n_rows, CAST(sum(len(string_split(t, chr(10)))) AS BIGINT) AS n_lines, CAST(sum(length(t)) AS BIGINT) AS n_characters FROM (SELECT 'documents' AS kind, text AS t FROM documents UNION ALL SELECT 'pages', html FROM pages UNION ALL SELECT 'conversations', text FROM conversations UNION ALL SELECT 'benchmark', text FROM benchmark) GROUP BY kind")
+def corpus_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four corpora as one, and what each brings."""
+    one = lambda name, c: table(spark, sf_dir, name).select(F.lit(name).alias("kind"), F.col(c).alias("t"))
+    whole = one("documents", "text").unionByName(one("pages", "html")).unionByName(one("conversations", "text")).unionByName(one("benchmark", "text"))
+    return whole.groupBy("kind").agg(F.count("*").alias("n_rows"), F.sum(F.size(F.split("t", "\n"))).cast("long").alias("n_lines"), F.sum(F.length("t")).cast("long").alias("n_characters"))
 
 
 @query("P20 S13", r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n_lines FROM documents WHERE trim(text) <> ''")
@@ -295,8 +343,22 @@ def nonempty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).filter(F.trim("text") != "").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).cast("long").alias("n_lines"))
 
 
-@query("X7 N19", "SELECT p_partkey AS id, 'Tell me about ' || p_name || ' at ' || CAST(p_size AS VARCHAR) || ' yen' AS prompt, p_size AS price FROM part")
+@query("X7", """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'Menu: ' || p_brand || chr(10) || 'Focus: ' || CASE WHEN p_size > 25 THEN p_type ELSE 'all' END WHEN 1 THEN 'Order: "' || p_name || '"'
+  WHEN 2 THEN 'Wanted: ' || p_name || chr(10) || 'Budget: ' || CASE WHEN p_size > 25 THEN 'high' ELSE 'medium' END ELSE 'Dish: ' || p_name END AS prompt FROM part""")
 def prompt_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A filled-in template, and the price read back from it."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.format_string("Tell me about %s at %d yen", "p_name", "p_size").alias("prompt"))
-    return rows.withColumn("price", F.regexp_extract("prompt", r"at (\d+) yen", 1).cast("int"))
+    """Four templates filled in, with their defaults where an argument is missing."""
+    big = F.col("p_size") > 25
+    given = F.create_map(F.lit("menu"), F.col("p_brand"), F.lit("focus"), F.when(big, F.col("p_type")), F.lit("order"), F.col("p_name"), F.lit("preference"), F.col("p_name"), F.lit("budget"), F.when(big, F.lit("high")), F.lit("dish"), F.col("p_name"))
+    name = F.element_at(F.array(*[F.lit(n) for n in X.PROMPTS]), (F.col("p_partkey") % len(X.PROMPTS) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.filled(name, given).alias("prompt"))
+
+
+@query("N19", """SELECT '【' || p_brand || '】' AS section, count(*) AS n_items, min(p) AS least, max(p) AS greatest, count(*) FILTER (WHERE p = 0) AS n_free
+FROM (SELECT p_brand, CASE WHEN p_size % 10 = 0 THEN 0 ELSE p_size * 10 END AS p FROM part) GROUP BY p_brand""")
+def menu_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Menus as text, a section heading and a line an item, parsed back: items and price range of each section."""
+    item = F.concat("p_name", F.lit(" - "), F.when(F.col("p_size") % 10 == 0, "無料").otherwise(F.concat(F.lit("¥"), F.format_number(F.col("p_size") * 10, 0))))
+    menus = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 50).alias("menu"), "p_brand").agg(F.array_join(F.array_sort(F.collect_list(item)), "\n").alias("items"))
+    text = menus.groupBy("menu").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("【"), "p_brand", F.lit("】\n"), "items"))), "\n\n").alias("text"))
+    lines = X.menu_items(text, "menu", F.col("text"))
+    return lines.groupBy("section").agg(F.count("*").alias("n_items"), F.min("price").alias("least"), F.max("price").alias("greatest"), F.count_if(F.col("price") == 0).alias("n_free"))
