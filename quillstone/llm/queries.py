@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import exact_dedup, langid, license_scan, mixing, near_dedup, packing, quality, suffix_dedup, token_hist, toxicity
-from quillstone.llm.common import documents
+from quillstone.llm import bpe_coding, exact_dedup, langid, license_scan, mixing, near_dedup, packing, prefix_trie, quality, suffix_dedup, token_align, token_hist, toxicity
+from quillstone.llm.common import cut, documents
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +54,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = token_align.align(documents(spark, sf_dir))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return token_align.scored(cut(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "links")))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ends = prefix_trie.build(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    none = F.lit(hashlib.sha256(b"").hexdigest())
+    return nodes.join(prefix_trie.end_digests(ends), ["conv_id", "depth"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", none))
+
+
+def op13_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_coding.encode(documents(spark, sf_dir))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe_coding.ids_sha256("ids").alias("ids_sha256"), F.sha2(bpe_coding.decoded("ids"), 256).alias("decoded_sha256"))
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents
@@ -173,7 +191,7 @@ WITH RECURSIVE t AS (
 SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM sets LEFT JOIN least ON id = doc_id
 """
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_license_scan, op4_suffix_dedup, op5_exact_dedup, op6_minhash_near_dedup, op7_source_mixing, op8_language_id, op9_best_fit_packing, op10_toxicity)}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_license_scan, op4_suffix_dedup, op5_exact_dedup, op6_minhash_near_dedup, op7_source_mixing, op8_language_id, op9_best_fit_packing, op10_toxicity, op11_token_alignment, op12_conversation_trie, op13_bpe_coding)}
 _SQL = {"op1_quality_rules": _op1_sql(), "op4_suffix_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op7_source_mixing": OP7_SQL}
 
 
