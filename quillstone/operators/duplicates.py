@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from quillstone.functions.text import normalize
+from quillstone.operators import likeness
+from quillstone.operators.likeness import levenshtein_ratio, sequence_ratio  # noqa: F401  where these are looked for
+from quillstone.operators.lineage import cut
 
 
 def pairs(records: DataFrame, keys: Sequence[Column], id_col: str = "id") -> DataFrame:
@@ -50,50 +49,22 @@ def identifier_groups(values: DataFrame, by_record: bool) -> DataFrame:
     return values.filter(F.coalesce("value", F.lit("")) != "").groupBy("value").agg(n.alias("n")).filter("n > 1")
 
 
-def levenshtein_ratio(a: Column, b: Column) -> Column:
-    return F.round(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)), 6)
-
-
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of matching blocks of the two strings; the order of the two matters."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
-def _shared_characters(a: Column, b: Column) -> Column:
-    """How many characters two sorted arrays of (character, times) have in common; no alignment matches more."""
-    times = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0))
-    return F.aggregate(F.map_keys(a), F.lit(0), lambda n, k: n + F.least(times(a, k), times(b, k)))
-
-
-def _character_counts(c: Column) -> Column:
-    chars = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
-    return F.map_from_entries(F.transform(F.array_distinct(chars), lambda x: F.struct(x, F.size(F.filter(chars, lambda y: y == x)))))
-
-
 def similar_titles(records: DataFrame, block: Sequence[str], title: str, least: float, ratio: str = "levenshtein", both_ways: bool = False, id_col: str = "id", normal: bool = False) -> DataFrame:
     """(id1, id2, ratio) of records of one block whose titles are alike.
 
-    Titles so unequal in length that they can't be alike never meet: each falls into a class of lengths, and classes
-    meet only with the same and the next ones. Pairs that have too few characters in common aren't measured.
+    Different titles are joined by their rare q-grams (``likeness``), and a pair of titles stands for all records that
+    have them; records with one and the same title are alike by themselves.
     """
     plain = normalize(F.col(title)) if normal else F.lower(F.trim(title))
-    rows = records.select(F.col(id_col).alias("id"), *block, plain.alias("t")).filter("t <> ''")
-    narrow = least if ratio == "levenshtein" else least / (2 - least)  # the least share of the longer length that the shorter has
-    rows = rows.withColumn("class", F.floor(F.log(F.length("t").cast("double")) / F.lit(-math.log(narrow))))
-    if ratio != "levenshtein":
-        rows = rows.withColumn("m", _character_counts(F.col("t")))
-    a = rows.withColumnsRenamed({"id": "id1", "t": "t1", "m": "m1"})
-    b = rows.withColumnsRenamed({"id": "id2", "t": "t2", "m": "m2"}).withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+    strings, members = likeness.classes(records, plain, block, id_col)
+    strings, members = cut(strings), cut(members)
+    found = likeness.similar_strings(strings, least, ratio, block)
+    there = found.select(F.col("a").alias("c1"), F.col("b").alias("c2"), "ratio")
+    links = there.unionByName(found.select(F.col("b").alias("c1"), F.col("a").alias("c2"), F.col("back").alias("ratio"))).filter(F.col("ratio") >= least)
+    links = links.unionByName(strings.select(F.col("id").alias("c1"), F.col("id").alias("c2"), F.lit(1.0).alias("ratio")))
+    one, two = (members.select(F.col("id").alias(f"id{k}"), F.col("class_id").alias(f"c{k}")) for k in (1, 2))
     order = F.col("id1") != F.col("id2") if both_ways else F.col("id1") < F.col("id2")
-    near = a.join(b, [*block, "class"]).filter(order)
-    x, y = F.length("t1"), F.length("t2")
-    if ratio == "levenshtein":
-        near = near.filter(F.least(x, y) / F.greatest(x, y) >= least)
-    else:
-        near = near.filter(2 * F.least(x, y) / (x + y) >= least).filter(2 * _shared_characters(F.col("m1"), F.col("m2")) / (x + y) >= least)
-    measure = levenshtein_ratio(F.col("t1"), F.col("t2")) if ratio == "levenshtein" else sequence_ratio("t1", "t2")
-    return near.withColumn("ratio", measure).filter(F.col("ratio") >= least).select("id1", "id2", "ratio")
+    return links.join(one, "c1").join(two, "c2").filter(order).select("id1", "id2", "ratio")
 
 
 def similar_groups(pairs: DataFrame) -> DataFrame:

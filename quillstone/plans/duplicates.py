@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quillstone.functions import dates, isbn
 from quillstone.functions.text import normalize
 from quillstone.operators import duplicates as D
+from quillstone.operators import likeness
+from quillstone.operators.components import components
+from quillstone.operators.lineage import cut
 from quillstone.plans.registry import query
 from quillstone.sources.catalog import SQL, Catalog, table
 
@@ -95,6 +98,46 @@ def dup_similar_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.similar_titles(part, ["p_brand", "p_type"], "p_name", 0.85, ratio="sequence", both_ways=True)
 
 
+_PAGE_TITLE = r"regexp_replace(lower(trim(regexp_extract(html, '<title>([^<]*)</title>', 1))), '[^a-z0-9 ]', '?', 'g')"
+
+
+def _page_titles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Different page titles in ASCII, as classes (id, t), and the pages of each."""
+    title = F.regexp_replace(F.lower(F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))), "[^a-z0-9 ]", "?")
+    strings, members = likeness.classes(table(spark, sf_dir, "pages"), title, id_col="page_id")
+    return cut(strings), cut(members)
+
+
+def _title_links(least: float) -> str:
+    measure = "round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 6)"
+    return f"c AS (SELECT t, min(page_id) AS id FROM (SELECT page_id, {_PAGE_TITLE} AS t FROM pages) WHERE t <> '' GROUP BY t), l AS (SELECT a.id AS a, b.id AS b, {measure} AS ratio FROM c a JOIN c b ON a.id < b.id AND {measure} >= {least})"
+
+
+@query("C2 J9 F25 X3", f"WITH {_title_links(0.85)} SELECT a, b, ratio FROM l")
+def title_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of different page titles that are alike, without blocks."""
+    return likeness.similar_strings(_page_titles(spark, sf_dir)[0], 0.85).select("a", "b", "ratio")
+
+
+@query("C2 J9 F25", f"WITH {_title_links(0.7)} SELECT a, b, ratio FROM l")
+def title_links_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likeness.similar_strings(_page_titles(spark, sf_dir)[0], 0.7).select("a", "b", "ratio")
+
+
+@query("C2 T6 T15 J9", f"""WITH RECURSIVE {_title_links(0.7)}, e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT id, id AS x FROM c UNION SELECT r.id, e.b FROM r JOIN e ON r.x = e.a),
+m AS (SELECT id, min(x) AS group_id FROM r GROUP BY id), n AS (SELECT a AS id, count(*) AS n_links FROM e GROUP BY a)
+SELECT page_id, c.id AS class_id, group_id, coalesce(n_links, 0) AS n_links FROM (SELECT page_id, {_PAGE_TITLE} AS t FROM pages) p JOIN c USING (t) JOIN m ON m.id = c.id LEFT JOIN n ON n.id = c.id""")
+def title_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page with its title's class, the other titles like it, and the group that links lead to: groups don't overlap."""
+    strings, members = _page_titles(spark, sf_dir)
+    links = cut(likeness.similar_strings(strings, 0.7).select("a", "b"))
+    groups = components(strings, links).select(F.col("id").alias("class_id"), F.col("component").alias("group_id"))
+    ends = links.select(F.col("a").alias("class_id")).unionByName(links.select(F.col("b").alias("class_id")))
+    counts = ends.groupBy("class_id").agg(F.count("*").alias("n_links"))
+    per_class = groups.join(counts, "class_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    return members.withColumnRenamed("id", "page_id").join(per_class, "class_id")
+
+
 @query("C4 C5 A11", SQL + f", g AS (SELECT group_id, count(*) AS n FROM ({_BY_KEY}) WHERE n > 1 GROUP BY group_id) SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_members, CAST(sum(n - 1) AS BIGINT) AS n_extra FROM g")
 def dup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.summary(D.groups_by_key(Catalog(spark, sf_dir).books, _keys()))
