@@ -18,26 +18,39 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import cut, prepare
 
-#: Turns of a local bucket at most. Keys of over a HOT-th of all rows are broadcast, at most HOT of them.
-LOCAL, HOT = 1 << 12, 1000
+#: Turns of a local bucket at most. Keys of over a HOT-th of all rows are broadcast, at most HOT of them; and tables of buckets up to SMALL rows.
+LOCAL, HOT, SMALL = 1 << 12, 1000, 1 << 15
 #: Conversations that share a base, and the number of shares of it that they may take over.
 BLOCK, SHARES = 100, 6
 
 _NODE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
 
 
-def join_counted(rows: DataFrame, table: DataFrame, key: list[str], n: Column, total: int) -> DataFrame:
-    """Rows with the columns of a table that has one row a key, n rows of ``rows`` each: frequent keys by broadcast."""
-    hot = F.broadcast(table.filter(n * HOT > total))
-    rest = rows.join(hot.select(*key), key, "left_anti").join(table.filter(n * HOT <= total), key)
+def join_counted(rows: DataFrame, table: DataFrame, key: list[str], n: str, total: int, most: int) -> DataFrame:
+    """Rows with the columns of a table that has one row a key, n rows of ``rows`` each, ``total`` in all and ``most`` at
+    most: frequent keys by broadcast."""
+    if most * HOT <= total:
+        return rows.join(table, key)
+    frequent = F.col(n) * HOT > total
+    hot = F.broadcast(table.filter(frequent))
+    rest = rows.join(hot.select(*key), key, "left_anti").join(table.filter(~frequent), key)
     return rows.join(hot, key).unionByName(rest)
 
 
+def _counts(table: DataFrame, n: str) -> tuple[int, int]:
+    """Sum and greatest of a column."""
+    return tuple(x or 0 for x in table.agg(F.sum(n), F.max(n)).first())
+
+
+def _if_small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= SMALL else table
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Numbers the rows of each conversation within a range of sorted rows."""
     last, n = None, 0
@@ -70,10 +83,17 @@ def turns(conversations: DataFrame) -> DataFrame:
     order = ["conv_id", F.col("turn").asc_nulls_first(), "role", "digest"]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "digest", "points")
     placed = cut(placed.mapInArrow(_numbered, "conv_id long, digest binary, points long, local long").withColumn("part", F.spark_partition_id()))
-    parts = placed.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("before > 0").drop("n")
-    # A conversation crosses from one range to the next, so at most one a range has turns before it.
+    # Ranges follow one another, so only the first conversation of each has turns before it. A row a task comes back.
+    edges = placed.groupBy("part").agg(F.min("conv_id").alias("first"), F.max(F.struct("conv_id", "local")).alias("last")).orderBy("part").collect()
+    shifts, last, before = [], None, 0
+    for part, first, (conv, n) in edges:
+        if first == last:
+            shifts.append((part, first, before))
+        before = before + n if conv == last else n
+        last = conv
+    if not shifts:
+        return placed.select("conv_id", F.col("local").alias("pos"), "digest", "points")
+    shift = placed.sparkSession.createDataFrame(shifts, "part int, conv_id long, before long")
     return placed.join(F.broadcast(shift), ["conv_id", "part"], "left").select("conv_id", (F.col("local") + F.coalesce("before", F.lit(0))).alias("pos"), "digest", "points")
 
 
@@ -81,8 +101,7 @@ def encoded(rows: DataFrame) -> DataFrame:
     """Turns with a number for each distinct one in place of its digest."""
     entries = rows.groupBy("digest").agg(F.count("*").alias("n"), F.first("points").alias("p"))
     book = cut(entries.withColumn("id", F.monotonically_increasing_id()))
-    total = book.agg(F.sum("n")).first()[0] or 0
-    return join_counted(rows, book.drop("p"), ["digest"], F.col("n"), total).select("conv_id", "pos", "id", "points")
+    return join_counted(rows, book.drop("p"), ["digest"], "n", *_counts(book, "n")).select("conv_id", "pos", "id", "points")
 
 
 def rebuilt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -97,9 +116,8 @@ def rebuilt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     bases = own.select(F.col("conv_id").alias("base"), F.col("n").alias("n_base"))
     convs = convs.join(bases, "base", "left").withColumn("shared", F.least("h", F.coalesce("n_base", F.lit(0))))
     convs = cut(convs.withColumn("length", F.col("shared") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).select("conv_id", "n", "base", "h", "shared", "length"))
-    total = convs.agg(F.sum("n")).first()[0] or 0
     first = convs.filter("shared > 0").join(heads, "base").filter("pos <= shared").select(F.col("conv_id").alias("conv"), "length", F.col("pos").alias("depth"), "id", "points")
-    last = join_counted(rows, convs, ["conv_id"], F.col("n"), total).filter("pos > h").select(F.col("conv_id").alias("conv"), "length", (F.col("pos") - F.col("h") + F.col("shared")).alias("depth"), "id", "points")
+    last = join_counted(rows, convs, ["conv_id"], "n", *_counts(convs, "n")).filter("pos > h").select(F.col("conv_id").alias("conv"), "length", (F.col("pos") - F.col("h") + F.col("shared")).alias("depth"), "id", "points")
     return convs.select(F.col("conv_id").alias("conv"), "length"), first.unionByName(last)
 
 
@@ -181,51 +199,59 @@ def trie(convs: DataFrame, rows: DataFrame, local: int = LOCAL) -> tuple[DataFra
     convs: conv, length. rows: conv, length, depth (from 1), id, points. The root has depth 0 and no parent, and is there
     unless convs is empty.
     """
-    rows = cut(rows)
-    total = rows.count()
     bucket = ["b_conv", "b_at"]
     begun = convs.agg(F.min("conv").alias("b_conv"), F.lit(0).cast("long").alias("b_at"), F.lit(None).cast("long").alias("parent"), F.count("*").alias("n"), F.lit(0).cast("long").alias("points")).filter("n > 0")
-    buckets, rounds, made = cut(begun), [], []
+    buckets, n_buckets, rounds, made = cut(begun), 1, [], []
     root = F.lit((buckets.first() or [None])[0]).cast("long")
+    total, longest = _counts(convs, "length")
     ends = [convs.filter("length = 0").select("conv", root.alias("conv_id"), F.lit(0).cast("long").alias("depth"))]
-    rows = rows.withColumns({"b_conv": root, "b_at": F.lit(0).cast("long")})
+    rows = cut(rows.withColumns({"b_conv": root, "b_at": F.lit(0).cast("long")}))
     while True:
         stats = cut(rows.groupBy(*bucket, "depth").agg(F.count("*").alias("n_at"), F.min("id").alias("low"), F.max("id").alias("high"), F.min("points").alias("points")))
-        reach = stats.join(buckets.select(*bucket, "n"), bucket).groupBy(*bucket).agg(F.max("depth").alias("far"), F.min(F.when((F.col("n_at") < F.col("n")) | (F.col("low") != F.col("high")), F.col("depth") - 1)).alias("near"))
-        held = cut(buckets.join(reach, bucket, "left").select(*buckets.columns, F.coalesce("near", "far", "b_at").alias("stop")))
-        chain = stats.join(held.select(*bucket, "n", "stop"), bucket).filter(F.col("depth") <= F.col("stop")).select(*bucket, "depth", "n", "points")
-        placed = rows.join(F.broadcast(held.select(*bucket, "stop")) if held.count() <= HOT else held.select(*bucket, "stop"), bucket).filter(F.col("depth") > F.col("stop"))
+        reach = stats.join(_if_small(buckets.select(*bucket, "n"), n_buckets), bucket).groupBy(*bucket).agg(F.max("depth").alias("far"), F.min(F.when((F.col("n_at") < F.col("n")) | (F.col("low") != F.col("high")), F.col("depth") - 1)).alias("near"))
+        held = cut(buckets.join(_if_small(reach, n_buckets), bucket, "left").select(*buckets.columns, F.coalesce("near", "far", "b_at").alias("stop")))
+        stops = _if_small(held.select(*bucket, "n", "stop"), n_buckets)
+        chain = stats.join(stops, bucket).filter(F.col("depth") <= F.col("stop")).select(*bucket, "depth", "n", "points")
+        placed = rows.join(stops.drop("n"), bucket)
+        if held.filter("stop > b_at").count():
+            done = placed.filter((F.col("depth") == F.col("length")) & (F.col("depth") <= F.col("stop")))
+            ends.append(done.select("conv", F.col("b_conv").alias("conv_id"), "depth"))
+        placed = placed.filter(F.col("depth") > F.col("stop"))
         first = placed.filter(F.col("depth") == F.col("stop") + 1)
         below = first.groupBy(*bucket, "stop", "id").agg(F.min("conv").alias("c_conv"), F.count("*").alias("n"), F.sum(F.col("length") - F.col("stop")).alias("size"), F.min("points").alias("points"))
         below = cut(below.withColumn("kind", F.when(F.col("size") <= local, 0).when(F.col("n") == 1, 1).otherwise(2)))
-        sorts = dict(below.groupBy("kind").count().collect())
+        sorts = {kind: (n, most) for kind, n, most in below.groupBy("kind").agg(F.count("*"), F.max("n")).collect()}
+        n_below, most = sum(n for n, _ in sorts.values()), max([0, *(m for _, m in sorts.values())])
         # Where each conversation goes; long ones have many rows.
-        to = join_counted(first.select(*bucket, "id", "conv", "length"), below.select(*bucket, "id", "c_conv", "kind", "n"), [*bucket, "id"], F.col("n"), total).select("conv", F.col("length").alias("long"), "c_conv", "kind")
-        moved = cut(join_counted(placed, to, ["conv"], F.col("long"), total).select("kind", "c_conv", "b_conv", "stop", "conv", "length", "depth", "id", "points"))
+        child, of = below.select(*bucket, "id", "c_conv", "kind", "n"), first.select(*bucket, "id", "conv", "length")
+        to = of.join(F.broadcast(child), [*bucket, "id"]) if n_below <= SMALL else join_counted(of, child, [*bucket, "id"], "n", total, most)
+        to = to.select("conv", F.col("length").alias("long"), "c_conv", "kind")
+        moved = cut(join_counted(placed, to, ["conv"], "long", total, longest).select("kind", "c_conv", "b_conv", "stop", "conv", "length", "depth", "id", "points"))
         near = moved.filter("kind = 0").select("c_conv", "b_conv", "conv", "depth", "id", "points").repartition("c_conv").sortWithinPartitions("c_conv", "conv", "depth")
         found = cut(near.mapInArrow(_local, _FOUND))
-        alone = moved.filter("kind = 1")
-        single = alone.select(F.col("conv").alias("conv_id"), "depth", F.when(F.col("depth") == F.col("stop") + 1, F.col("b_conv")).otherwise(F.col("conv")).alias("parent_conv_id"), F.lit(1).cast("long").alias("n_convs"), (F.col("depth") < F.col("length")).cast("long").alias("n_children"), F.lit(1).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved_tokens"))
-        made += [found.filter("kind = 0").select(*_NODE), single]
-        ends += [found.filter("kind = 1").select(F.col("conv_id").alias("conv"), F.col("parent_conv_id").alias("conv_id"), "depth"), alone.filter("depth = length").select("conv", F.col("conv").alias("conv_id"), "depth")]
-        over = moved.filter("kind = 2")
-        ends.append(over.filter("depth = stop + 1 AND depth = length").select("conv", F.col("c_conv").alias("conv_id"), "depth"))
-        done = rows.filter(F.col("depth") == F.col("length")).join(held.select(*bucket, "stop"), bucket).filter(F.col("depth") <= F.col("stop"))
-        ends.append(done.select("conv", F.col("b_conv").alias("conv_id"), "depth"))
+        made.append(found.filter("kind = 0").select(*_NODE))
+        ends.append(found.filter("kind = 1").select(F.col("conv_id").alias("conv"), F.col("parent_conv_id").alias("conv_id"), "depth"))
+        if 1 in sorts:
+            alone = moved.filter("kind = 1")
+            one = {"n_convs": F.lit(1).cast("long"), "n_children": (F.col("depth") < F.col("length")).cast("long"), "n_leaves": F.lit(1).cast("long"), "saved_tokens": F.lit(0).cast("long")}
+            made.append(alone.select(F.col("conv").alias("conv_id"), "depth", F.when(F.col("depth") == F.col("stop") + 1, F.col("b_conv")).otherwise(F.col("conv")).alias("parent_conv_id"), *[c.alias(n) for n, c in one.items()]))
+            ends.append(alone.filter("depth = length").select("conv", F.col("conv").alias("conv_id"), "depth"))
         ground = below.select(*bucket, F.col("c_conv").alias("conv_id"), (F.col("stop") + 1).alias("depth"), "kind")
-        rounds.append((held, chain, ground, found))
-        if not sorts.get(2):
+        rounds.append((held, chain, ground, found, n_buckets, n_below, set(sorts)))
+        if 2 not in sorts:
             break
-        buckets = cut(below.filter("kind = 2").select(F.col("c_conv").alias("b_conv"), (F.col("stop") + 1).alias("b_at"), F.col("b_conv").alias("parent"), "n", "points"))
+        over = moved.filter("kind = 2")
+        ends.append(over.filter("depth = stop + 1 AND depth = length").select("conv", F.col("c_conv").alias("conv_id"), "depth"))
+        buckets, n_buckets = cut(below.filter("kind = 2").select(F.col("c_conv").alias("b_conv"), (F.col("stop") + 1).alias("b_at"), F.col("b_conv").alias("parent"), "n", "points")), sorts[2][0]
         rows = over.select("conv", "length", "depth", "id", "points", F.col("c_conv").alias("b_conv"), (F.col("stop") + 1).alias("b_at")).filter(F.col("depth") > F.col("b_at"))
     totals = None
-    for held, chain, ground, found in reversed(rounds):
-        known = [
-            ground.filter("kind = 0").join(found.filter("kind = 0").select("conv_id", "depth", "n_leaves", "saved_tokens"), ["conv_id", "depth"]),
-            ground.filter("kind = 1").withColumns({"n_leaves": F.lit(1).cast("long"), "saved_tokens": F.lit(0).cast("long")}),
-        ]
-        if totals is not None:
-            known.append(ground.filter("kind = 2").join(totals, ["conv_id", "depth"]))
+    for held, chain, ground, found, n_buckets, n_below, sorts in reversed(rounds):
+        tops = found.filter("kind = 0").select("conv_id", "depth", "n_leaves", "saved_tokens")
+        known = [tops.join(_if_small(ground.filter("kind = 0"), n_below), ["conv_id", "depth"])]
+        if 1 in sorts:
+            known.append(ground.filter("kind = 1").withColumns({"n_leaves": F.lit(1).cast("long"), "saved_tokens": F.lit(0).cast("long")}))
+        if 2 in sorts:
+            known.append(ground.filter("kind = 2").join(_if_small(totals, n_below), ["conv_id", "depth"]))
         columns = [*bucket, "n_leaves", "saved_tokens"]
         below = known[0].select(*columns)
         for more in known[1:]:
@@ -233,7 +259,7 @@ def trie(convs: DataFrame, rows: DataFrame, local: int = LOCAL) -> tuple[DataFra
         sums = below.groupBy(*bucket).agg(F.count("*").alias("children"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
         own = held.select(*bucket, F.col("b_at").alias("depth"), "n", "points").unionByName(chain)
         up = Window.partitionBy(*bucket).orderBy(F.col("depth").desc())
-        joined = own.join(held.select(*bucket, "stop", "parent"), bucket).join(sums, bucket, "left")
+        joined = own.join(_if_small(held.select(*bucket, "stop", "parent"), n_buckets), bucket).join(_if_small(sums, n_buckets), bucket, "left")
         nodes = cut(joined.select(
             F.col("b_conv").alias("conv_id"),
             "depth",
