@@ -1,10 +1,10 @@
-"""Joins by order."""
+"""Joins by order and by overlap."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,3 +20,45 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], order: str, valu
     before = Window.partitionBy(*by).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
     carried = a.unionByName(b).withColumn("__last", F.last("__value", ignorenulls=True).over(before)).filter("__side = 1")
     return carried.select("__row.*", *[F.col("__last")[v].alias(v) for v in values])
+
+
+def overlapping(left: DataFrame, right: DataFrame, by: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
+    """Rows of both sides that agree in ``by`` (names that both have) and whose spans overlap, with the columns of both.
+
+    Spans are whole numbers, from the first up to but without the second; empty ones and nulls overlap nothing. A span lies
+    in one or two bins of the least power of two that is as wide as itself, and of each greater one that some span needs.
+    A pair meets at the level of its longer span, in the later of the two first bins there, so it is found once; no row is
+    copied more than twice a level, however long it is.
+    """
+
+    def spans(df: DataFrame, span: tuple[str, str], side: str) -> DataFrame:
+        start, end = (F.col(c).cast("long") for c in span)
+        rows = df.withColumns({f"__{side}s": start, f"__{side}e": end}).filter(F.col(f"__{side}s") < F.col(f"__{side}e"))
+        # The bits of length - 1 are those of the least power of two that isn't shorter.
+        return rows.withColumn(f"__{side}l", F.length(F.bin(F.col(f"__{side}e") - F.col(f"__{side}s") - 1)).cast("int"))
+
+    a, b = spans(left, left_span, "a"), spans(right, right_span, "b")
+    found = a.select(F.col("__al").alias("l")).distinct().unionByName(b.select(F.col("__bl").alias("l")).distinct()).distinct()
+    levels = sorted(r[0] for r in found.collect())  # 64 at most
+    if not levels:
+        levels = [1]
+
+    def dealt(df: DataFrame, side: str) -> DataFrame:
+        at = F.filter(F.array(*[F.lit(k) for k in levels]), lambda k: k >= F.col(f"__{side}l"))
+        rows = df.withColumn("__level", F.explode(at))
+        first = F.expr(f"shiftright(__{side}s, __level)")
+        last = F.expr(f"shiftright(__{side}e - 1, __level)")
+        return rows.withColumns({f"__{side}f": first, "__bin": F.explode(F.array_distinct(F.array(first, last)))})
+
+    met = dealt(a, "a").join(dealt(b, "b"), [*by, "__level", "__bin"])
+    once = (F.col("__level") == F.greatest("__al", "__bl")) & (F.col("__bin") == F.greatest("__af", "__bf"))
+    shared = (F.col("__as") < F.col("__be")) & (F.col("__bs") < F.col("__ae"))
+    return met.filter(once & shared).drop("__level", "__bin", *[f"__{s}{c}" for s in "ab" for c in "self"])
+
+
+def last_of(keys: DataFrame, rows: DataFrame, key: str, order: Sequence[Column], k: int, how: str = "inner") -> DataFrame:
+    """Each row of ``keys`` with the first ``k`` of its rows in an order: a lateral join. The rows of a key are cut to k
+    in each task before they are shuffled."""
+    own = rows.alias("__rows").filter(F.col(f"__rows.{key}") == F.col(f"__keys.{key}").outer())
+    mine = own.orderBy(*order).limit(k).select(*[c for c in rows.columns if c != key])
+    return keys.alias("__keys").lateralJoin(mine, how=how)

@@ -13,6 +13,7 @@ from quillstone.operators import ranges as R
 from quillstone.operators import search as S
 from quillstone.operators import stats as A
 from quillstone.operators import text as T
+from quillstone.operators import vector_index as X
 from quillstone.plans.registry import query
 from quillstone.sources.catalog import SQL, Catalog, table
 
@@ -40,6 +41,24 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.neighbours(_items(spark, sf_dir), 11, 10)
 
 
+_KNN = """SELECT q.vec_id AS query_id, i.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) + 0.0 AS score FROM embeddings q JOIN embeddings i ON q.vec_id % 50 = 0 AND i.vec_id <> q.vec_id"""
+
+
+@query("E2 E5 E7", f"SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS place, vec_id, score FROM ({_KNN}) QUALIFY place <= 10")
+def index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose id 50 divides, among all: the index with all cells probed."""
+    items = _items(spark, sf_dir)
+    return X.saved(spark, items).exact(items.filter("vec_id % 50 = 0"), 10).withColumn("score", F.col("score") + 0.0)
+
+
+@query("E5 E7 C21")
+def index_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from half of the cells, as these vectors lie evenly; a test holds its recall against the exact one."""
+    items = _items(spark, sf_dir)
+    index = X.saved(spark, items)
+    return index.search(items.filter("vec_id % 50 = 0"), 10, probes=max(1, len(index.centres) // 2))
+
+
 @query("E6", f"""WITH q AS (SELECT list_transform(range(1, 65), lambda i: a[i]::DOUBLE - b[i]::DOUBLE + c[i]::DOUBLE) AS q FROM (SELECT max(embedding) FILTER (WHERE vec_id = 1) AS a, max(embedding) FILTER (WHERE vec_id = 2) AS b, max(embedding) FILTER (WHERE vec_id = 3) AS c FROM embeddings))
 SELECT vec_id, {_COS} AS score FROM embeddings, q WHERE vec_id NOT IN (1, 2, 3) ORDER BY score DESC, vec_id LIMIT 10""")
 def analogy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,6 +255,37 @@ def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("n_before", F.count("*").over(before)).filter("event_type = 'error'").select("event_id", "n_before")
 
 
+@query("J15", """WITH o AS (SELECT o_orderkey, o_custkey, CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) AS s, CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) + 1 + o_orderkey % 60 AS e FROM orders),
+l AS (SELECT o_custkey, CAST(floor(epoch(l_shipdate) / 86400) AS BIGINT) AS s, CAST(floor(epoch(l_shipdate) / 86400) AS BIGINT) + CAST(l_quantity AS BIGINT) AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT o_orderkey, count(*) AS n_shipped, CAST(sum(least(o.e, l.e) - greatest(o.s, l.s)) AS BIGINT) AS days FROM o JOIN l ON o.o_custkey = l.o_custkey AND o.s < l.e AND l.s < o.e GROUP BY o_orderkey""")
+def ship_order_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order, open for up to 60 days, the customer's shipments under way meanwhile, and the days they share."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", dates.day_of(F.col("o_orderdate")).cast("long").alias("s1"))
+    opened = orders.withColumn("e1", F.col("s1") + 1 + F.col("o_orderkey") % 60)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), dates.day_of(F.col("l_shipdate")).cast("long").alias("s2"), F.col("l_quantity").cast("long").alias("n"))
+    shipped = lines.join(orders, "o_orderkey").select("o_custkey", "s2", (F.col("s2") + F.col("n")).alias("e2"))
+    found = R.overlapping(opened, shipped, ["o_custkey"], ("s1", "e1"), ("s2", "e2"))
+    return found.groupBy("o_orderkey").agg(F.count("*").alias("n_shipped"), F.sum(F.least("e1", "e2") - F.greatest("s1", "s2")).alias("days"))
+
+
+@query("J15", """WITH x AS (SELECT event_id, epoch_us(ts) AS s, epoch_us(ts) + CAST(round(value * 60000000) AS BIGINT) AS e FROM events WHERE event_type = 'error')
+SELECT x.event_id, count(*) AS n_during FROM x JOIN (SELECT epoch_us(ts) AS t FROM events) y ON x.s < t + 1 AND t < x.e GROUP BY x.event_id""")
+def during_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of anyone while an error lasts, its value in minutes: an interval join without a key."""
+    events = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    errors = events.filter("event_type = 'error'").select("event_id", F.col("t").alias("s1"), (F.col("t") + F.round(F.col("value") * 60_000_000).cast("long")).alias("e1"))
+    found = R.overlapping(errors, events.select(F.col("t").alias("s2"), (F.col("t") + 1).alias("e2")), [], ("s1", "e1"), ("s2", "e2"))
+    return found.groupBy("event_id").agg(F.count("*").alias("n_during"))
+
+
+@query("J15", """SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 3) ON o_custkey = c_custkey""")
+def last_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer with the last three orders, or none: a lateral join."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice", "o_orderdate")
+    found = R.last_of(table(spark, sf_dir, "customer").select("c_custkey"), orders, "c_custkey", [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 3, "left")
+    return found.select("c_custkey", "o_orderkey", "o_totalprice")
+
+
 @query("W7", """SELECT o_orderkey, rank() OVER w AS place, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS quarter, coalesce(lag(o_orderkey) OVER t, -1) AS previous, coalesce(lead(o_orderkey) OVER t, -1) AS next,
 max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS moving, sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS running
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC), t AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")

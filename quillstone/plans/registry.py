@@ -21,7 +21,7 @@ class Query:
 
 _found: dict[str, Query] = {}
 #: Modules that register queries when imported.
-MODULES: tuple[str, ...] = ("quillstone.plans.duplicates", "quillstone.plans.catalog", "quillstone.plans.texts", "quillstone.plans.numbers", "quillstone.plans.shelf", "quillstone.plans.streams")
+MODULES: tuple[str, ...] = ("quillstone.plans.duplicates", "quillstone.plans.catalog", "quillstone.plans.texts", "quillstone.plans.numbers", "quillstone.plans.shelf", "quillstone.plans.streams", "quillstone.plans.stores")
 
 
 def query(covers: str, sql: str | None = None) -> Callable[[Run], Run]:
