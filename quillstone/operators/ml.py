@@ -11,6 +11,8 @@ from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, RegexTokenizer,
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators import word_vectors as word_vector_model
+
 
 def split_by_id(rows: DataFrame, key: str, parts: int, test: int) -> DataFrame:
     """Rows with is_test: ids of one residue."""
@@ -30,7 +32,7 @@ def text_pipeline(kind: str, size: int = 512) -> Pipeline:
         return Pipeline(stages=[*words, CountVectorizer(inputCol="words", outputCol="tf", vocabSize=size), IDF(inputCol="tf", outputCol="features"), RandomForestClassifier(numTrees=100, seed=42)])
     if kind == "network":
         return Pipeline(stages=[*words, HashingTF(inputCol="words", outputCol="tf", numFeatures=128), IDF(inputCol="tf", outputCol="features"), MultilayerPerceptronClassifier(layers=[128, 16, 2], seed=42, maxIter=30)])
-    return Pipeline(stages=[*words, Word2Vec(inputCol="words", outputCol="features", vectorSize=16, minCount=2, seed=42, numPartitions=1, maxIter=1), LogisticRegression(maxIter=30)])
+    return Pipeline(stages=[*words, Word2Vec(inputCol="words", outputCol="features", vectorSize=16, minCount=2, seed=42, numPartitions=4, maxIter=4), LogisticRegression(maxIter=30)])
 
 
 def tabular_pipeline(columns: list[str], kind: str = "linear") -> Pipeline:
@@ -65,7 +67,8 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def word_vectors(docs: DataFrame, words: Column, size: int = 16) -> DataFrame:
-    """(word, vector) of words seen five times or more, seeded."""
-    model = Word2Vec(inputCol="w", outputCol="v", vectorSize=size, minCount=5, seed=42, numPartitions=1, maxIter=1).fit(docs.select(words.alias("w")))
-    return model.getVectors()
+def word_vectors(docs: DataFrame, words: Column, key: str, least: int = 5, settings: word_vector_model.Settings | None = None) -> DataFrame:
+    """(word, vector) of words seen ``least`` times or more: skip-gram vectors from the words' parts, of unit length."""
+    model = word_vector_model.train(docs, key, words, settings)
+    seen = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return model.vectors(seen.select("word"))

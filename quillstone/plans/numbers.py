@@ -14,6 +14,7 @@ from quillstone.operators import search as S
 from quillstone.operators import stats as A
 from quillstone.operators import text as T
 from quillstone.operators import vector_index as X
+from quillstone.operators.lineage import cut
 from quillstone.plans.registry import query
 from quillstone.sources.catalog import SQL, Catalog, table
 
@@ -386,8 +387,7 @@ def doc_classifier_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("N16 E5")
 def word2vec_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
-    vectors = ml.word_vectors(table(spark, sf_dir, "conversations"), words).select("word", vector_to_array("vector").alias("embedding"))
+    talks = table(spark, sf_dir, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn"))
+    vectors = cut(ml.word_vectors(talks, words, "key").select("word", F.col("vector").alias("embedding")))
     return S.top_k(vectors.filter("word <> 'the'"), vectors.filter("word = 'the'"), 5, id_col="word")
