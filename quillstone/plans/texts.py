@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import isbn
 from quillstone.functions import text as X
 from quillstone.operators import stats as A
+from quillstone.operators import tagging as G
 from quillstone.operators import text as T
 from quillstone.plans.registry import query
 from quillstone.sources.catalog import SQL, Catalog, table
@@ -267,6 +268,36 @@ def hmm_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.accuracy(tagged, "truth", "tags", by="truth")
 
 
+_HMM_WORDS = f"""WITH RECURSIVE w AS (SELECT conv_id, turn, role, word, p FROM (SELECT conv_id, turn, role, unnest({_TOKENS}) AS word, generate_subscripts({_TOKENS}, 1) AS p FROM conversations)),
+train AS (SELECT * FROM w WHERE conv_id % 4 <> 0), tags AS (SELECT role AS tag, row_number() OVER (ORDER BY role) AS k, count(*) AS size FROM train GROUP BY role), n AS (SELECT count(*) AS n_tags FROM tags),
+moved AS (SELECT coalesce(lag(role) OVER (PARTITION BY conv_id, turn ORDER BY p), '') AS a, role AS b FROM train),
+steps AS MATERIALIZED (SELECT f.tag AS a, t.tag AS b, ln((1 + coalesce(c, 0))::DOUBLE / (n_tags + sum(coalesce(c, 0)) OVER (PARTITION BY f.tag))) AS s FROM (SELECT tag FROM tags UNION ALL SELECT '') f, tags t, n LEFT JOIN (SELECT a, b, count(*) AS c FROM moved GROUP BY 1, 2) m ON m.a = f.tag AND m.b = t.tag),
+shown AS MATERIALIZED (SELECT x.conv_id, x.turn, x.p, t.tag, t.k, ln((1 + coalesce(c, 0))::DOUBLE / (size + (SELECT count(DISTINCT word) FROM train) + 1)) AS e FROM w x JOIN tags t ON x.conv_id % 4 = 0 LEFT JOIN (SELECT role AS tag, word, count(*) AS c FROM train GROUP BY 1, 2) m ON m.tag = t.tag AND m.word = x.word),
+v AS (SELECT conv_id, turn, p, tag, shown.k, s + e AS score, [tag] AS path FROM shown JOIN steps ON a = '' AND b = tag WHERE p = 1
+  UNION ALL SELECT conv_id, turn, p, tag, k, score, path FROM (SELECT x.conv_id, x.turn, x.p, x.tag, x.k, v.score + s + e AS score, list_append(v.path, x.tag) AS path, row_number() OVER (PARTITION BY x.conv_id, x.turn, x.tag ORDER BY v.score + s DESC, v.k) AS best FROM v JOIN shown x ON x.conv_id = v.conv_id AND x.turn = v.turn AND x.p = v.p + 1 JOIN steps ON a = v.tag AND b = x.tag) WHERE best = 1),
+ends AS (SELECT conv_id, turn, path FROM v QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY p DESC, score DESC, k) = 1)
+SELECT role AS truth, count(*) AS n, round(avg(CASE WHEN path[p] = role THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM w JOIN ends USING (conv_id, turn) GROUP BY role"""
+
+
+def _tagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of every turn, with its place and the turn's role for a tag."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(_tokens()).alias("p", "word"))
+
+
+@query("N13 J12 A14 A20", _HMM_WORDS)
+def hmm_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of each turn tagged with roles, per role; three quarters of the conversations train."""
+    words = _tagged_words(spark, sf_dir)
+    counts = G.count(words.filter("conv_id % 4 <> 0"), ["conv_id", "turn"], "p", "role", "word")
+    tagged = G.tag(words.filter("conv_id % 4 = 0"), ["conv_id", "turn"], "p", "word", counts)
+    return A.accuracy(tagged, "role", "tagged", by="role").withColumnRenamed("role", "truth")
+
+
+@query("N13", f"SELECT role AS tag, word, count(*) AS n FROM (SELECT role, unnest({_TOKENS}) AS word FROM conversations) GROUP BY role, word")
+def emissions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.emissions(_tagged_words(spark, sf_dir), "role", "word")
+
+
 @query("N15", r"""SELECT p_partkey AS id, array_to_string(list_concat(list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)), list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4))), ' ') AS parts FROM (SELECT p_partkey, '<' || split_part(p_name, ' ', 1) || '>' AS w FROM part)""")
 def subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(X.subwords(F.substring_index("p_name", " ", 1), 3, 4), " ").alias("parts"))
