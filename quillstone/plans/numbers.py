@@ -11,6 +11,7 @@ from quillstone.operators import duplicates as D
 from quillstone.operators import ml
 from quillstone.operators import ranges as R
 from quillstone.operators import search as S
+from quillstone.operators import sketches as K
 from quillstone.operators import stats as A
 from quillstone.operators import text as T
 from quillstone.operators import vector_index as X
@@ -314,6 +315,29 @@ def approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("l_returnflag", (F.abs(F.col("n") - F.col("exact")) <= 0.05 * F.col("exact")).alias("count_is_near"), (F.abs(F.col("below") - 0.5) <= 0.01).alias("median_is_near"))
 
 
+_SKETCHED = "SELECT CASE k WHEN 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) WHEN 1 THEN strftime(ts, '%G-W%V') ELSE 'all' END AS period, user_id, value FROM events, (SELECT unnest([0, 1, 2]) AS k)"
+
+
+@query("A25", f"SELECT period, count(*) AS n_events, count(DISTINCT user_id) AS n_users, round(avg(CASE WHEN value <= 10 THEN 1.0 ELSE 0.0 END), 6) AS share_10, round(avg(CASE WHEN value <= 40 THEN 1.0 ELSE 0.0 END), 6) AS share_40, true AS users_near, true AS shares_near FROM ({_SKETCHED}) GROUP BY period")
+def sketch_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches made by day and united by week and for all: the exact figures, and whether the estimates are within three
+    standard errors of them."""
+    events = table(spark, sf_dir, "events")
+    day = F.to_date("ts")
+    days = cut(K.by_day(events, day, F.col("user_id"), F.col("value")))
+    week = lambda c: F.concat(F.extract(F.lit("YEAROFWEEK"), c).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(c).cast("string"), 2, "0"))
+    periods = lambda c: [c.cast("string"), week(c), F.lit("all")]
+    sketched = None
+    for p in periods(F.col("day")):
+        one = K.estimates(K.united(days, p), at=(10, 40)).select("period", "n_keys", "rank_0", "rank_1")
+        sketched = one if sketched is None else sketched.unionByName(one)
+    per = events.withColumn("period", F.explode(F.array(*periods(day)))).groupBy("period")
+    share = lambda v: F.round(F.avg((F.col("value") <= v).cast("double")), 6)
+    exact = per.agg(F.count("*").alias("n_events"), F.count_distinct("user_id").alias("n_users"), share(10).alias("share_10"), share(40).alias("share_40"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 3 * K.RANK_ERROR
+    return exact.join(sketched, "period").select("period", "n_events", "n_users", "share_10", "share_40", (F.abs(F.col("n_keys") - F.col("n_users")) <= F.greatest(3 * K.COUNT_ERROR * F.col("n_users"), F.lit(1))).alias("users_near"), (near("rank_0", "share_10") & near("rank_1", "share_40")).alias("shares_near"))
+
+
 @query("A25", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def rollup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
