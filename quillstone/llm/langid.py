@@ -70,19 +70,19 @@ class Model:
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def train(texts: list[str], langs: list[str], seed: int = 5) -> Model | None:
-    """Adam on the cross-entropy of windows; None without texts."""
-    names = sorted(set(langs))
-    x, y = [], []
-    for t, lang in zip(texts, langs):
-        data = np.frombuffer(t.encode(), np.uint8)
-        w, _ = windows(data, np.array([0, len(data)]))
-        w = w[np.linspace(0, len(w) - 1, min(len(w), PER_DOCUMENT)).astype(int)]
-        x.append(w)
-        y += [names.index(lang)] * len(w)
-    if not x:
+def spread(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """Of each row, up to PER_DOCUMENT windows that lie evenly over it."""
+    x, row = windows(data, off)
+    edge = np.searchsorted(row, np.arange(len(off)))
+    return [x[a:b][np.linspace(0, b - a - 1, min(b - a, PER_DOCUMENT)).astype(int)] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+
+
+def train(shown: list[tuple[np.ndarray, str]], seed: int = 5) -> Model | None:
+    """Adam on the cross-entropy of windows, given as (windows, language) of each text; None without texts."""
+    if not shown:
         return None
-    x, y = np.concatenate(x), np.array(y)
+    names = sorted({lang for _, lang in shown})
+    x, y = np.concatenate([w for w, _ in shown]), np.array([names.index(lang) for w, lang in shown for _ in w])
     rng = np.random.default_rng(seed)
     normal = lambda *shape: rng.normal(0, (2 / shape[0]) ** 0.5, shape).astype(np.float32)
     params = [rng.normal(0, 0.5, (256, EMBED)).astype(np.float32), *(normal(w * EMBED, FILTERS) for w in WIDTHS), *(np.zeros(FILTERS, np.float32) for _ in WIDTHS), normal(FILTERS * len(WIDTHS), len(names)), np.zeros(len(names), np.float32)]
@@ -137,8 +137,16 @@ def in_training(folds: int = 3, held_out: int = 1):
 def fit(docs: DataFrame) -> Model | None:
     """Trains on a sample of about DOCUMENTS rows with a language, outside the held-out third."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL").filter(in_training())
-    found = sorted({(r["text"], r["lang"]) for r in sample(rows, DOCUMENTS, 3).select("text", "lang").collect()})
-    return train([t for t, _ in found], [lang for _, lang in found])
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, off in pieces(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([w.tobytes() for w in spread(data, off)], pa.binary())], names=["lang", "windows"])
+
+    # A kilobyte a text comes back, however long it is.
+    cut_out = sample(rows, DOCUMENTS, 3).select("lang", "text").mapInArrow(run, "lang string, windows binary")
+    found = sorted({(bytes(r["windows"]), r["lang"]) for r in cut_out.collect()})
+    return train([(np.frombuffer(w, np.uint8).reshape(-1, WINDOW), lang) for w, lang in found])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -3,7 +3,8 @@
 Fingerprints of the templates, hashes of word triples of which each run of three keeps its least, make an inverted
 index. Documents are fingerprinted alike; where they share a fingerprint with a template, the words around are aligned
 with the template within a band around the diagonal of the shared ones. Any five words in a row that a document and a
-template have in common share a fingerprint.
+template have in common share a fingerprint; for templates of fewer than SHORT words any two do, so that no edit that
+leaves the least coverage hides one.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import LOWER, mix, pieces, prepare, span_hashes, text_or_empty, word_spans
 
 GRAM, WINNOW, BAND = 3, 3, 8
+#: Words from which on a template's fingerprints alone pick candidates.
+SHORT = 16
 #: Share of a template's words that must match.
 COVERAGE = 0.8
 
@@ -65,32 +68,64 @@ def fingerprints(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return grams[at], at
 
 
+def pairs(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of the first word) of all pairs of neighbouring words, none across rows."""
+    both = mix(mix(h[:-1] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+    at = np.flatnonzero(row[:-1] == row[1:])
+    return both[at], at
+
+
 @dataclass(frozen=True)
-class Index:
-    """Fingerprint -> (template, place), as sorted arrays; its size is that of the templates."""
+class Prints:
+    """Hash -> (template, place), as sorted arrays; their size is that of the templates."""
 
-    names: list[str]
-    words: list[np.ndarray]
     hashes: np.ndarray
     template: np.ndarray
     place: np.ndarray
 
+    def find(self, prints: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(word, template, place) of each hash that is here; ``at`` are the words' indices."""
+        door = np.zeros(1 << 16, bool)
+        door[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
+        may = np.flatnonzero(door[(prints >> np.uint64(48)).astype(np.int64)])
+        lo, hi = np.searchsorted(self.hashes, prints[may], "left"), np.searchsorted(self.hashes, prints[may], "right")
+        some = np.flatnonzero(hi > lo)
+        for p, a, b in zip(at[may[some]].tolist(), lo[some].tolist(), hi[some].tolist()):
+            for e in range(a, b):
+                yield p, int(self.template[e]), int(self.place[e])
+
+
+@dataclass(frozen=True)
+class Index:
+    """The templates' words; the fingerprints of all, and all word pairs of those of fewer than SHORT words, in which few
+    wrong words may leave no fingerprint."""
+
+    names: list[str]
+    words: list[np.ndarray]
+    prints: Prints
+    short: Prints
+
     @staticmethod
     def of(templates: dict[str, str]) -> Index:
         raw = [t.encode() for t in templates.values()]
         off = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
         _, _, row, h = _words(np.frombuffer(b"".join(raw), np.uint8), off)
-        print_, at = fingerprints(h, row)
-        order = np.argsort(print_, kind="stable")
         first = np.searchsorted(row, np.arange(len(raw)))
-        return Index(list(templates), [h[row == k] for k in range(len(raw))], print_[order], row[at][order], (at - first[row[at]])[order])
+
+        def sorted_by_hash(hashes: np.ndarray, at: np.ndarray) -> Prints:
+            order = np.argsort(hashes, kind="stable")
+            return Prints(hashes[order], row[at][order], (at - first[row[at]])[order])
+
+        two, at = pairs(h, row)
+        few = np.bincount(row, minlength=len(raw))[row[at]] < SHORT
+        return Index(list(templates), [h[row == k] for k in range(len(raw))], sorted_by_hash(*fingerprints(h, row)), sorted_by_hash(two[few], at[few]))
 
 
-def align(text: np.ndarray, template: np.ndarray, shift: int, band: int = BAND, low: int = 0) -> tuple[int, int, int]:
+def align(text: np.ndarray, template: np.ndarray, shift: int, band: int = BAND, low: int = 0, gain: int = 2) -> tuple[int, int, int]:
     """Best local alignment of word hashes, from text word ``low`` on, within ``band`` of the diagonal text = template + shift.
 
-    Returns the matched words and the range of text words from the first to the last match. A match scores 2, a
-    mismatch or a gap -1.
+    Returns the matched words and the range of text words from the first to the last match. A match scores ``gain``, a
+    mismatch or a gap -1: where the gain is less than the wrong words in a row, the match before them is lost.
     """
     width = 2 * band + 1
     score = [0] * width
@@ -104,7 +139,7 @@ def align(text: np.ndarray, template: np.ndarray, shift: int, band: int = BAND,
             if j < low or j >= size:
                 continue
             if text[j] == word:
-                s, (m, a, _) = score[k] + 2, state[k]
+                s, (m, a, _) = score[k] + gain, state[k]
                 top, way = s, (m + 1, a if a >= 0 else j, j)
             else:
                 top, way = score[k] - 1, state[k]
@@ -129,8 +164,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     """
     prepare(docs.sparkSession)
     index = Index.of(TEMPLATES if templates is None else templates)
-    door = np.zeros(1 << 16, bool)
-    door[(index.hashes >> np.uint64(48)).astype(np.int64)] = True
 
     def passages(h: np.ndarray, hits: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
         """(template, matched, first and last word) in one row of word hashes; hits: (template, word, place in the template).
@@ -146,7 +179,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 continue
             tried.add((word - place, free))
             size = len(index.words[k])
-            m, a, b = align(h, index.words[k], word - place, min(BAND, size // 2), free)
+            if size < SHORT:  # a pair of words is no rare thing: are enough of the others near?
+                near = h[max(free, word - place - size // 2) : word - place + size + size // 2]
+                if np.isin(near, index.words[k]).sum() < coverage * size:
+                    continue
+            m, a, b = align(h, index.words[k], word - place, min(BAND, size // 2), free, 2 if size >= SHORT else size)
             if m >= coverage * size:
                 free = b + 1
                 yield k, m, a, b
@@ -154,16 +191,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in pieces(batches):
             starts, ends, row, h = _words(data, off)
-            print_, at = fingerprints(h, row)
-            may = np.flatnonzero(door[(print_ >> np.uint64(48)).astype(np.int64)])
-            lo, hi = np.searchsorted(index.hashes, print_[may], "left"), np.searchsorted(index.hashes, print_[may], "right")
             first = np.searchsorted(row, np.arange(len(off)))
             hits: dict[int, list[tuple[int, int, int]]] = {}
-            for p, a, b in zip(may.tolist(), lo.tolist(), hi.tolist()):
-                for e in range(a, b):
-                    word = int(at[p])
+            for found in (index.prints.find(*fingerprints(h, row)), index.short.find(*pairs(h, row))):
+                for word, template, place in found:
                     r = int(row[word])
-                    hits.setdefault(r, []).append((int(index.template[e]), word - int(first[r]), int(index.place[e])))
+                    hits.setdefault(r, []).append((template, word - int(first[r]), place))
             out: list[list] = [[] for _ in range(6)]
             for r, found in hits.items():
                 words = h[first[r] : first[r + 1]]
