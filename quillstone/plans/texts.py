@@ -10,6 +10,7 @@ from quillstone.functions import text as X
 from quillstone.operators import stats as A
 from quillstone.operators import tagging as G
 from quillstone.operators import text as T
+from quillstone.operators.summary import summaries
 from quillstone.plans.registry import query
 from quillstone.sources.catalog import SQL, Catalog, table
 
@@ -298,6 +299,26 @@ def emissions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.emissions(_tagged_words(spark, sf_dir), "role", "word")
 
 
+_RANKED = r"""WITH RECURSIVE s AS (
+  SELECT doc_id, p, w FROM (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS p FROM (
+    SELECT doc_id, list_filter(list_transform(string_split_regex(lower(text), '[.!?
+]+'), lambda x: list_distinct(list_filter(string_split_regex(x, '[^\p{L}]+'), lambda y: y <> ''))), lambda x: len(x) > 0) AS l FROM documents))
+), size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+words AS MATERIALIZED (SELECT doc_id, p, unnest(w) AS word, sqrt(len(w)) AS norm FROM s),
+likeness AS MATERIALIZED (SELECT a.doc_id, a.p AS a, b.p AS b, count(*) / (any_value(a.norm) * any_value(b.norm)) AS c FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.word = b.word AND a.p <> b.p GROUP BY 1, 2, 3),
+steps AS MATERIALIZED (SELECT doc_id, a, b, c / sum(c) OVER (PARTITION BY doc_id, a) AS c FROM likeness),
+x AS (SELECT 0 AS k, doc_id, p, 1.0::DOUBLE / n AS score FROM s JOIN size USING (doc_id)
+  UNION ALL SELECT any_value(x.k) + 1, x.doc_id, x.p, 0.15::DOUBLE / any_value(n) + 0.85::DOUBLE * coalesce(sum(y.score * steps.c), 0)
+  FROM x JOIN size USING (doc_id) LEFT JOIN steps ON steps.doc_id = x.doc_id AND steps.b = x.p LEFT JOIN x AS y ON y.doc_id = x.doc_id AND y.p = steps.a WHERE x.k < 30 GROUP BY x.doc_id, x.p)
+SELECT doc_id, p AS place, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, p) AS INT) AS rank FROM x WHERE k = 30 QUALIFY rank <= 3"""
+
+
+@query("N14 N2 O5", _RANKED)
+def top_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three sentences of each document that share most with its others."""
+    return summaries(_docs(spark, sf_dir), "doc_id", F.col("text"))
+
+
 @query("N15", r"""SELECT p_partkey AS id, array_to_string(list_concat(list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)), list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4))), ' ') AS parts FROM (SELECT p_partkey, '<' || split_part(p_name, ' ', 1) || '>' AS w FROM part)""")
 def subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(X.subwords(F.substring_index("p_name", " ", 1), 3, 4), " ").alias("parts"))
