@@ -66,11 +66,23 @@ class Library:
         similar = D.similar_groups(self.similar_titles(least)).select(F.col("group_id").alias("name"), "ids")
         return D.report(same, shared, similar)
 
-    def duplicate_report(self, least: float = 0.85) -> str:
-        """The duplicates as Markdown, a section a kind. The text is as long as what was found."""
+    def _report(self, least: float) -> DataFrame:
+        """The report's groups as Markdown in order of kind and name, a row a group."""
         order = F.array_position(F.array(*[F.lit(k) for k in ("exact", "isbn", "similar")]), F.col("kind"))
-        rows = D.markdown(self.find_duplicates(least), self.books.select("id", "title")).orderBy(order).collect()
-        return "\n".join(r["section"] for r in rows) or "No duplicates found"
+        return D.markdown(self.find_duplicates(least), self.books.select("id", "title")).orderBy(order, "name")
+
+    def duplicate_report(self, least: float = 0.85) -> str:
+        """The duplicates as Markdown, a section a kind. The text is as long as what was found; ``write_duplicate_report``
+        writes what is too long to be shown."""
+        out, kind = [], None
+        for r in self._report(least).toLocalIterator():
+            out += [f"## {r['kind']}"] * (r["kind"] != kind) + [r["text"]]
+            kind = r["kind"]
+        return "\n".join(out) or "No duplicates found"
+
+    def write_duplicate_report(self, path: str, least: float = 0.85) -> None:
+        """The duplicates as Markdown in files, a folder for each kind, a group after the other."""
+        self._report(least).select("kind", "text").write.partitionBy("kind").text(path)
 
     def remove_duplicates(self, planned: DataFrame, mode: str, answers: DataFrame | None = None) -> tuple[Library, DataFrame, DataFrame]:
         """The library, the log and the summary of a run over a plan (group_id, id, action)."""

@@ -79,12 +79,11 @@ def report(exact: DataFrame, numbered: DataFrame, similar: DataFrame) -> DataFra
 
 
 def markdown(found: DataFrame, titles: DataFrame) -> DataFrame:
-    """(kind, section): a report's groups as lines of Markdown, one section a kind; titles are (id, title)."""
+    """(kind, name, text): each group of a report as lines of Markdown, a row a group; titles are (id, title)."""
     rows = found.select("kind", "name", F.posexplode("ids").alias("at", "id")).join(titles, "id", "left")
     line = F.concat(F.lit("- "), F.col("id").cast("string"), F.lit(": "), F.coalesce("title", F.lit("Unknown")))
-    groups = rows.groupBy("kind", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
-    text = F.concat(F.lit("### "), "name", F.lit("\n"), "lines")
-    return groups.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("name", text.alias("text")))).alias("g")).select("kind", F.concat(F.lit("## "), "kind", F.lit("\n"), F.array_join(F.transform("g", lambda x: x["text"]), "\n")).alias("section"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "\n")
+    return rows.groupBy("kind", "name").agg(lines.alias("lines")).select("kind", "name", F.concat(F.lit("### "), "name", F.lit("\n"), "lines").alias("text"))
 
 
 #: What a run does with a plan: only looks, says what it would do, asks for each group, or does it.

@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, RegexTokenizer, StandardScaler, StopWordsRemover, VectorAssembler, Word2Vec
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.operators import ranges
 from quillstone.operators import word_vectors as word_vector_model
 
 
@@ -21,8 +22,11 @@ def split_by_id(rows: DataFrame, key: str, parts: int, test: int) -> DataFrame:
 
 def split_stratified(rows: DataFrame, key: str, label: str, every: int) -> DataFrame:
     """Rows with is_test: each ``every``-th row of a label, in order of the key's hash."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key))
-    return rows.withColumn("is_test", place % every == 0)
+    named = rows.withColumn("__code", F.md5(F.col(key).cast("string")))
+    found = ranges.numbered(named, [label, "__code", key], "__k")
+    first = found.groupBy(F.col(label).alias("__label")).agg(F.min("__k").alias("__first"))  # a row a label
+    placed = found.join(first, found[label].eqNullSafe(first["__label"]))
+    return placed.withColumn("is_test", (F.col("__k") - F.col("__first") + 1) % every == 0).select(*rows.columns, "is_test")
 
 
 def text_pipeline(kind: str, size: int = 512) -> Pipeline:

@@ -1,4 +1,4 @@
-"""Joins by order and by overlap."""
+"""Numbers by order; joins by order and by overlap."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.lineage import cut
+
 
 def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
     """Rows of ``left`` with the values of the last row of ``right`` that agrees in ``by`` and isn't later; null where there
@@ -62,3 +64,17 @@ def last_of(keys: DataFrame, rows: DataFrame, key: str, order: Sequence[Column],
     own = rows.alias("__rows").filter(F.col(f"__rows.{key}") == F.col(f"__keys.{key}").outer())
     mine = own.orderBy(*order).limit(k).select(*[c for c in rows.columns if c != key])
     return keys.alias("__keys").lateralJoin(mine, how=how)
+
+
+def numbered(rows: DataFrame, order: Sequence[Column | str], name: str = "number") -> DataFrame:
+    """The rows with their number in an order, from 1. Equal rows are numbered one way or another.
+
+    Rows are sorted over all tasks, by ranges; a window sees one row a range only.
+    """
+    spread = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)  # the rest of the id counts the rows of a range
+    sizes = spread.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    found = spread.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return found.select(*rows.columns, (F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).alias(name))

@@ -82,7 +82,8 @@ def vector_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir)
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
     talks = table(spark, sf_dir, "conversations")
-    ranked = T.vocabulary(talks, words, items.count()).select("token", (F.col("index") - 1).alias("vec_id"))
+    counts = talks.select(F.explode(words).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    ranked = R.numbered(counts, [F.col("n").desc(), "token"], "k").select("token", (F.col("k") - 1).alias("vec_id"))
     known = ranked.join(items, "vec_id").select("token", "embedding")
     tokens = talks.select("conv_id", "turn", F.explode(words).alias("token"))
     return tokens.join(known, "token").groupBy("conv_id", "turn").agg(F.count("embedding").alias("n_known"))

@@ -31,13 +31,16 @@ def test_reading(shelf):
     assert shelf.isbns_in("ISBN: 0-306-40615-2") == ["0306406152"] and shelf.isbn_is_valid("9781402894626")
 
 
-def test_duplicates(shelf):
+def test_duplicates(shelf, tmp_path):
     assert sorted((r["kind"], r["ids"]) for r in shelf.find_duplicates().collect()) == [("exact", [1, 2]), ("isbn", [1, 2])]
     assert shelf.similar_titles().count() == 0  # written unlike, the authors are two
     two = shelf.add(shelf.books.filter("id = 1").withColumn("id", F.lit(7).cast("long")).withColumn("title", F.lit("The Lanterns")))
     assert sorted((r["kind"], r["ids"]) for r in two.find_duplicates().collect()) == [("exact", [1, 2]), ("isbn", [1, 2, 7]), ("similar", [1, 7]), ("similar", [1, 7])]
     report = two.duplicate_report()
     assert report.index("## exact") < report.index("## isbn") < report.index("## similar") and "- 7: The Lanterns" in report
+    two.write_duplicate_report(str(tmp_path / "report"))
+    written = {r["kind"]: r["value"] for r in shelf.spark.read.text(str(tmp_path / "report")).filter("value LIKE '- 7:%'").collect()}
+    assert sorted(written) == ["isbn", "similar"]
     planned = shelf.spark.createDataFrame([(1, 1, "KEEP"), (1, 2, "DELETE")], "group_id long, id long, action string")
     left, log, summary = shelf.remove_duplicates(planned, "auto-delete")
     assert sorted(ids(left.books)) == [1, 3] and ids(log) == [2] and summary.first()["n_deleted"] == 1

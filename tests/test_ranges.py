@@ -63,3 +63,11 @@ def test_queries_without_products(spark, name):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     got, want = check(df, connect(folder), found.sql)
     assert got == want and got
+
+
+def test_numbers_over_ranges(spark):
+    rows = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("a"), "id").repartition(7)
+    got = [(x["a"], x["id"], x["number"]) for x in ranges.numbered(rows, [F.col("a").desc(), "id"]).collect()]
+    want = sorted(((a, i) for a, i, _ in got), key=lambda x: (-x[0], x[1]))
+    assert sorted(got, key=lambda x: x[2]) == [(a, i, k + 1) for k, (a, i) in enumerate(want)]
+    assert ranges.numbered(rows.limit(0), ["a"]).count() == 0
