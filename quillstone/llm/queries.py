@@ -191,8 +191,36 @@ WITH RECURSIVE t AS (
 SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM sets LEFT JOIN least ON id = doc_id
 """
 
+#: Each prefix by the digests of its turns, its members, and what lies behind it by all prefixes of each node.
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id, sha256(length(role) || ':' || role || text) AS x, length(text) AS points, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS p
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), own AS (
+  SELECT conv_id, list(x ORDER BY p) AS xs, list(points ORDER BY p) AS ps, conv_id - (conv_id % 100 + 100) % 100 AS base,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v // 2, CASE WHEN v % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT) % 6 AS h
+  FROM t GROUP BY conv_id
+), built AS (
+  SELECT o.conv_id, list_concat(coalesce(list_slice(b.xs, 1, o.h), []), list_slice(o.xs, o.h + 1, len(o.xs))) AS xs, list_concat(coalesce(list_slice(b.ps, 1, o.h), []), list_slice(o.ps, o.h + 1, len(o.ps))) AS ps
+  FROM own o LEFT JOIN own b ON b.conv_id = o.base
+), members AS (
+  SELECT conv_id, d, array_to_string(list_slice(xs, 1, d), '') AS k, d = len(xs) AS ended, coalesce(ps[d], 0) AS points FROM (SELECT *, unnest(range(0, len(xs) + 1)) AS d FROM built)
+), nodes AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, any_value(points) AS points, coalesce(string_agg(CASE WHEN ended THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ends FROM members GROUP BY k, d
+), children AS (
+  SELECT left(k, 64 * (d - 1)) AS k, d - 1 AS d, count(*) AS c FROM nodes WHERE d > 0 GROUP BY 1, 2
+), whole AS (
+  SELECT nodes.*, coalesce(c, 0) AS c FROM nodes LEFT JOIN children USING (k, d)
+), sums AS (
+  SELECT left(k, 64 * a) AS k, a AS d, count(*) FILTER (WHERE c = 0) AS leaves, sum((n - 1) * points) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM whole) GROUP BY 1, 2
+)
+SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n AS n_convs, w.c AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM whole w JOIN sums s ON s.k = w.k AND s.d = w.d LEFT JOIN nodes p ON w.d > 0 AND p.d = w.d - 1 AND p.k = left(w.k, 64 * (w.d - 1))
+"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_license_scan, op4_suffix_dedup, op5_exact_dedup, op6_minhash_near_dedup, op7_source_mixing, op8_language_id, op9_best_fit_packing, op10_toxicity, op11_token_alignment, op12_conversation_trie, op13_bpe_coding)}
-_SQL = {"op1_quality_rules": _op1_sql(), "op4_suffix_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op7_source_mixing": OP7_SQL}
+_SQL = {"op1_quality_rules": _op1_sql(), "op4_suffix_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op7_source_mixing": OP7_SQL, "op12_conversation_trie": OP12_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
