@@ -28,7 +28,7 @@ from quillstone.llm.suffix_sort import permuted_prefixes, suffix_array
 LENGTH, GRAM = 100, 32
 _SPREAD = LENGTH - GRAM + 1
 #: Text bytes whose anchors share a bucket; occurrences, of at most 168 bytes each, beyond which an anchor is hot; bytes of a shard's suffix array.
-BUCKET_BYTES, HOT, SHARD_BYTES = 16 << 20, 8192, 1 << 20
+BUCKET_BYTES, HOT, SHARD_BYTES = 16 << 20, 32768, 1 << 20
 #: Hot anchors that are told from tallies at most (1 MB, sent to every task); others, if any, take the other way, with the same result.
 MOST_HOT = 1 << 16
 #: Copies of whole texts up to which their ids are broadcast (16 MB); beyond, the join shuffles.
