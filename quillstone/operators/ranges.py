@@ -58,6 +58,28 @@ def overlapping(left: DataFrame, right: DataFrame, by: Sequence[str], left_span:
     return met.filter(once & shared).drop("__level", "__bin", *[f"__{s}{c}" for s in "ab" for c in "self"])
 
 
+def counted_within(spans: DataFrame, key: str, span: tuple[str, str], points: DataFrame, at: str) -> DataFrame:
+    """(key, n): how many points lie in the spans of a key, from the first number up to but without the second; keys without
+    any are left out.
+
+    No pairs are made: the points below each place where a span begins or ends are counted in one sort over all tasks.
+    """
+    start, end = (F.col(c).cast("long") for c in span)
+    rows = cut(spans.select(key, start.alias("__s"), end.alias("__e")).filter("__s < __e"))
+    seen = points.select(F.col(at).cast("long").alias("__at")).dropna().groupBy("__at").agg(F.count("*").alias("__n"))
+    ends = rows.select(F.explode(F.array("__s", "__e")).alias("__at")).distinct().withColumn("__n", F.lit(0).cast("long"))
+    places = seen.unionByName(ends).groupBy("__at").agg(F.sum("__n").alias("__n"))
+    spread = cut(places.repartitionByRange("__at").withColumn("__part", F.spark_partition_id()))
+    sizes = spread.groupBy("__part").agg(F.sum("__n").alias("__whole"))
+    before = F.coalesce(F.sum("__whole").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("__part", before.alias("__before")))  # a row a range
+    running = F.sum("__n").over(Window.partitionBy("__part").orderBy("__at")) - F.col("__n")
+    below = cut(spread.join(starts, "__part").select("__at", (F.col("__before") + running).alias("__below")))
+    one, two = (below.select(F.col("__at").alias(f"__{c}"), F.col("__below").alias(f"__below_{c}")) for c in "se")
+    found = rows.join(one, "__s").join(two, "__e").groupBy(key).agg(F.sum(F.col("__below_e") - F.col("__below_s")).alias("n"))
+    return found.filter("n > 0")
+
+
 def last_of(keys: DataFrame, rows: DataFrame, key: str, order: Sequence[Column], k: int, how: str = "inner") -> DataFrame:
     """Each row of ``keys`` with the first ``k`` of its rows in an order: a lateral join. The rows of a key are cut to k
     in each task before they are shuffled."""

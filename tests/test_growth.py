@@ -43,3 +43,24 @@ def test_padded_floats_are_rounded_as_floats(spark, tmp_path):
     assert len(off) > 8
     spark.createDataFrame([(i, [float(v), -float(v), 0.25, 1.0, 2.0]) for i, v in enumerate(off)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     same_as_sql(spark, tmp_path, "crop_and_pad")
+
+
+def test_events_during_errors_are_counted_without_pairs(spark):
+    """900 spans over 900 points at 30 places: 405,000 pairs at least, of which none may be shuffled."""
+    points = spark.range(900).select((F.col("id") % 30).alias("t"))
+    spans = spark.range(900).select("id", (F.col("id") % 20).alias("s"), (F.col("id") % 20 + 15).alias("e"))
+
+    def run():
+        return sorted(map(tuple, R.counted_within(spans, "id", ("s", "e"), points, "t").collect()))
+
+    got, moved = n_exchanged(spark, run)
+    assert got == [(i, 30 * 15 - 30 * max(0, i % 20 + 15 - 30)) for i in range(900)]
+    assert moved < 20_000
+
+
+def test_events_within_spans_of_all_kinds(spark):
+    """Ends are out, empty and reversed spans and nulls hold nothing, spans of one key add up."""
+    points = spark.createDataFrame([(1,), (1,), (5,), (9,), (None,), (-3,)], "t long")
+    spans = spark.createDataFrame([(1, 1, 5), (2, 5, 5), (3, 9, 2), (4, None, 7), (5, 6, 8), (6, 9, 10), (7, 1, 2), (7, 0, 100), (None, 1, 6)], "k long, s long, e long")
+    assert {tuple(r) for r in R.counted_within(spans, "k", ("s", "e"), points, "t").collect()} == {(1, 2), (6, 1), (7, 6), (None, 3)}
+    assert R.counted_within(spans, "k", ("s", "e"), points.limit(0), "t").count() == 0
