@@ -64,3 +64,15 @@ def test_events_within_spans_of_all_kinds(spark):
     spans = spark.createDataFrame([(1, 1, 5), (2, 5, 5), (3, 9, 2), (4, None, 7), (5, 6, 8), (6, 9, 10), (7, 1, 2), (7, 0, 100), (None, 1, 6)], "k long, s long, e long")
     assert {tuple(r) for r in R.counted_within(spans, "k", ("s", "e"), points, "t").collect()} == {(1, 2), (6, 1), (7, 6), (None, 3)}
     assert R.counted_within(spans, "k", ("s", "e"), points.limit(0), "t").count() == 0
+
+
+def test_exact_keys_are_not_counted_beside_a_sketch(spark):
+    """A sketch a flag and key would be made and shuffled if both were of one aggregate."""
+    plan = ALL["approximate"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "percentile_approx" in x and "count(distinct" in x]
+    assert not [x for x in plan.splitlines() if "Aggregate [l_returnflag" in x and "l_orderkey" in x.split("]")[0] and "percentile_approx" in x]
+
+
+def test_approximate_keeps_a_null_flag(spark, tmp_path):
+    spark.createDataFrame([(i, None if i % 2 else "A", float(i)) for i in range(1000)], "l_orderkey long, l_returnflag string, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert len(same_as_sql(spark, tmp_path, "approximate")) == 2
