@@ -76,3 +76,22 @@ def test_exact_keys_are_not_counted_beside_a_sketch(spark):
 def test_approximate_keeps_a_null_flag(spark, tmp_path):
     spark.createDataFrame([(i, None if i % 2 else "A", float(i)) for i in range(1000)], "l_orderkey long, l_returnflag string, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
     assert len(same_as_sql(spark, tmp_path, "approximate")) == 2
+
+
+def parts(spark, folder, rows):
+    """Tables of which the catalog makes books: ids, titles and authors."""
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").write.parquet(str(folder / "part.parquet"))
+    spark.createDataFrame([(i, "Worthless" if i % 5 == 0 else None if i % 7 == 0 else "good") for i in range(1, 40)], "doc_id long, text string").write.parquet(str(folder / "documents.parquet"))
+
+
+def test_pairs_of_repeated_ids_and_large_groups(spark, tmp_path, monkeypatch):
+    """Ids that come twice, under one key or several, nulls, and a group of several blocks."""
+    monkeypatch.setattr(D, "BLOCK", 8)
+    monkeypatch.setattr(D, "PAIRS", 50)
+    rows = [(i, "One ", "a") for i in range(1, 31)] + [(i, "two", "b") for i in range(25, 35)]
+    rows += [(40, "two", "B"), (40, "two", "b"), (41, None, "b"), (42, "two", None), (50, "alone", "x"), (60, "three", "x"), (60, "Three", "x"), (61, "three", "x")]
+    parts(spark, tmp_path, rows)
+    got = same_as_sql(spark, tmp_path, "list_extend")
+    assert (50, 1) not in got and len({r[0] for r in got}) == 34 + 1 + 2
+    same_as_sql(spark, tmp_path, "dup_groups_pairs")
+    same_as_sql(spark, tmp_path, "dup_pairs")
