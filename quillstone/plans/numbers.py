@@ -370,9 +370,7 @@ def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, count(*) AS n_lists FROM (SELECT g AS id, g FROM p GROUP BY g UNION ALL SELECT id, g FROM p) GROUP BY id""")
 def list_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of all groups, each group a list, put end to end; how often each comes."""
-    books = Catalog(spark, sf_dir).books
-    groups = D.groups_from_pairs(D.pairs(books, [F.lower(F.trim("title")), F.lower(F.trim("author_sort"))])).groupBy("group_id").agg(F.collect_list("id").alias("ids"))
-    return groups.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n_lists"))
+    return D.list_counts(Catalog(spark, sf_dir).books, [F.lower(F.trim("title")), F.lower(F.trim("author_sort"))])
 
 
 @query("A25", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, grouping(l_returnflag, l_linestatus) AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")

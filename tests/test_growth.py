@@ -95,3 +95,28 @@ def test_pairs_of_repeated_ids_and_large_groups(spark, tmp_path, monkeypatch):
     assert (50, 1) not in got and len({r[0] for r in got}) == 34 + 1 + 2
     same_as_sql(spark, tmp_path, "dup_groups_pairs")
     same_as_sql(spark, tmp_path, "dup_pairs")
+
+
+def test_lists_are_counted_without_pairs(spark, tmp_path):
+    parts(spark, tmp_path, [(i, "title", "x") for i in range(800)])
+
+    def run():
+        return sorted(map(tuple, ALL["list_extend"].run(spark, str(tmp_path)).collect()))
+
+    got, moved = n_exchanged(spark, run)
+    assert got == [(i, i + 1 if i < 799 else 799) for i in range(800)]
+    assert moved < 10_000  # of 319,600 pairs
+
+
+def test_groups_of_pairs_are_not_shuffled(spark, tmp_path):
+    parts(spark, tmp_path, [(i, "title", "x") for i in range(400)])
+
+    def run():
+        return ALL["dup_groups_pairs"].run(spark, str(tmp_path)).count()
+
+    def pairs():
+        return ALL["dup_pairs"].run(spark, str(tmp_path)).count()
+
+    got, moved = n_exchanged(spark, run)
+    assert got == 400 * 399 // 2 + 399 and moved < 10_000
+    assert n_exchanged(spark, pairs)[1] < 10_000
