@@ -4,8 +4,10 @@ import numpy as np
 from oracle import check, connect
 from pyspark.sql import functions as F
 
+from quillstone.functions import isbn
 from quillstone.operators import duplicates as D
 from quillstone.operators import ranges as R
+from quillstone.operators import text as T
 from quillstone.plans import registry
 
 ALL = registry.all_queries()
@@ -120,3 +122,12 @@ def test_groups_of_pairs_are_not_shuffled(spark, tmp_path):
     got, moved = n_exchanged(spark, run)
     assert got == 400 * 399 // 2 + 399 and moved < 10_000
     assert n_exchanged(spark, pairs)[1] < 10_000
+
+
+def test_numbers_are_made_once(spark):
+    """A number that is used in several places of an expression was made at each, within loops over its digits."""
+    plan = ALL["isbn_generate"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("p_partkey#") <= 12
+    rows = spark.createDataFrame([("0-306-40615-2",), ("030640615x",), (None,), ("978 0306406157",)], "v string")
+    got = rows.select(isbn.valid10(F.col("v")), isbn.valid13(F.col("v")), isbn.valid(F.col("v"))).collect()
+    assert [tuple(r) for r in got] == [(True, False, True), (False, False, False), (False, False, False), (False, True, True)]
