@@ -6,37 +6,147 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import char_ngrams
+from quillstone.operators.lineage import prepare
 
 #: Rows of profiles, and words of a vocabulary, up to which they are sent to every task; the size is checked.
 FEW_PROFILES, FEW_WORDS = 1 << 16, 1 << 20
+#: Characters that are looked at in one go, and of a gram that is a number of 63 bits.
+SLICE, LONGEST = 1 << 20, 3
 
 
 def _grams(docs: DataFrame, text: Column, key: str, sizes: Sequence[int]) -> DataFrame:
     return docs.select(key, F.explode(F.concat(*[char_ngrams(text, n) for n in sizes])).alias("gram"))
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of a batch's texts, in column 1: rows and characters, each row once for each of its characters, SLICE at a time."""
+    rows: list[int] = []
+    texts: list[str] = []
+    n = 0
+
+    def piece() -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(rows, [len(t) for t in texts]), np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+
+    for k, text in enumerate(batch.column(1)):
+        if t := text.as_py():
+            rows.append(k)
+            texts.append(t)
+            n += len(t)
+            if n >= SLICE:
+                yield piece()
+                rows, texts, n = [], [], 0
+    if n:
+        yield piece()
+
+
+def _codes(rows: np.ndarray, chars: np.ndarray, n: int, bits: int = 21) -> tuple[np.ndarray, np.ndarray]:
+    """Row and number of each run of n characters that lies within a row."""
+    last = len(chars) - n + 1
+    if last < 1:
+        return rows[:0], chars[:0]
+    code = chars[:last].copy()
+    for k in range(1, n):
+        code <<= bits
+        code |= chars[k : k + last]
+    own = rows[:last] == rows[n - 1 :]
+    return rows[:last][own], code[own]
+
+
+def _spelled(codes: np.ndarray, n: int, bits: int) -> list[str]:
+    mask = (1 << bits) - 1
+    return ["".join(chr(c >> bits * k & mask) for k in reversed(range(n))) for c in codes.tolist()]
+
+
+def _counted_grams(docs: DataFrame, text: Column, label: str, sizes: Sequence[int]) -> DataFrame:
+    """(label, gram, n): counts of the n-grams of each label, for each piece of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = batch.column(0).dictionary_encode(null_encoding="encode")
+            of_row = labels.indices.to_numpy(zero_copy_only=False)
+            for rows, chars in _pieces(batch):
+                bits = 7 if chars.max() < 128 else 21
+                for n in sizes:
+                    at, code = _codes(rows, chars, n, bits)
+                    at = of_row[at]
+                    for k in np.unique(at):
+                        if bits == 7:
+                            counts = np.bincount(code[at == k])
+                            found = np.flatnonzero(counts)
+                            counts = counts[found]
+                        else:
+                            found, counts = np.unique(code[at == k], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([labels.dictionary.take(pa.array(np.full(len(found), k))), pa.array(_spelled(found, n, bits), pa.string()), pa.array(counts.astype(np.int64))], names=[label, "gram", "n"])
+
+    prepare(docs.sparkSession)
+    return docs.select(label, text.alias("__text")).mapInArrow(run, f"`{label}` {docs.schema[label].dataType.simpleString()}, gram string, n long")
+
+
 def ngram_profile(docs: DataFrame, text: Column, label: str, sizes: Sequence[int], top: int) -> DataFrame:
     """(label, gram, n): the most frequent character n-grams of each label and size, ties by gram.
 
-    All sizes come from one scan; what is shuffled are counts of the different grams of a label.
+    All sizes come from one scan; what is shuffled are counts of the different grams of a label. Grams of up to LONGEST
+    characters are counted as numbers, longer ones as rows.
     """
-    counts = _grams(docs, text, label, sizes).groupBy(label, "gram").agg(F.count("*").alias("n"))
+    if max(sizes) <= LONGEST:
+        counts = _counted_grams(docs, text, label, sizes).groupBy(label, "gram").agg(F.sum("n").alias("n"))
+    else:
+        counts = _grams(docs, text, label, sizes).groupBy(label, "gram").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy(label, F.length("gram")).orderBy(F.col("n").desc(), "gram"))
     return counts.withColumn("place", place).filter(F.col("place") <= top).drop("place")
 
 
+def _scored(docs: DataFrame, text: Column, key: str, profiles: pa.Table, sizes: Sequence[int], label_type: str) -> DataFrame:
+    """(key, __label, n): the n-grams of each row that are in each label's profile, of which there are few."""
+    labels = profiles["__label"].combine_chunks().dictionary_encode(null_encoding="encode")
+    of_label = labels.indices.to_numpy(zero_copy_only=False)
+    grams, names, n_labels = profiles["gram"].to_pylist(), labels.dictionary, len(labels.dictionary)
+    known = {}  # per size: the different grams' numbers, and where each one's labels begin and end
+    for n in sizes:
+        own = [(sum(ord(c) << 21 * (n - 1 - k) for k, c in enumerate(g)), j) for g, j in zip(grams, of_label.tolist()) if len(g) == n]
+        code, who = np.array(sorted(own), np.int64).reshape(-1, 2).T
+        found, first, size = np.unique(code, return_index=True, return_counts=True)
+        known[n] = (found, first, size, who)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, chars in _pieces(batch):
+                base, met = rows[0], []
+                for n in sizes:
+                    found, first, size, who = known[n]
+                    at, code = _codes(rows, chars, n)
+                    if not len(found) or not len(code):
+                        continue
+                    place = np.minimum(np.searchsorted(found, code), len(found) - 1)
+                    hit = found[place] == code
+                    at, place = at[hit] - base, place[hit]
+                    times = size[place]
+                    within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    met.append(np.repeat(at, times) * n_labels + who[np.repeat(first[place], times) + within])
+                counts = np.bincount(np.concatenate(met)) if met else np.zeros(0, np.int64)
+                pairs = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs // n_labels + base)), names.take(pa.array(pairs % n_labels)), pa.array(counts[pairs])], names=[key, "__label", "n"])
+
+    prepare(docs.sparkSession)
+    return docs.select(key, text.alias("__text")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, __label {label_type}, n long")
+
+
 def profile_scores(docs: DataFrame, text: Column, key: str, profiles: DataFrame, label: str, sizes: Sequence[int]) -> DataFrame:
     """(key, label, score): how many of a text's n-grams, repeats counted, are in each label's profile.
 
-    A profile has at most ``top`` rows a label and size, so the profiles of FEW_PROFILES rows or fewer go to every task and
-    no gram is shuffled; with more labels than that the join is left to the engine.
+    A profile has at most ``top`` rows a label and size, so the profiles of FEW_PROFILES rows or fewer go to every task,
+    where grams of up to LONGEST characters are looked up as numbers; with more labels than that the join is left to the engine.
     """
     named = profiles.select(F.col(label).alias("__label"), "gram")
     few = named.limit(FEW_PROFILES + 1).toArrow()
+    if few.num_rows <= FEW_PROFILES and max(sizes) <= LONGEST:
+        found = _scored(docs, text, key, few, sizes, named.schema["__label"].dataType.simpleString())
+        return found.groupBy(key, F.col("__label").alias(label)).agg(F.sum("n").alias("score"))
     if few.num_rows <= FEW_PROFILES:
         named = F.broadcast(docs.sparkSession.createDataFrame(few, named.schema))
     return _grams(docs, text, key, sizes).join(named, "gram").groupBy(key, F.col("__label").alias(label)).agg(F.count("*").alias("score"))

@@ -127,7 +127,7 @@ _PROFILE = "SELECT lang, gram, n FROM (SELECT lang, gram, count(*) AS n, row_num
 
 
 def _letters():
-    return F.lower(F.regexp_replace("text", "[^a-zA-Z]", ""))
+    return F.lower(F.regexp_replace("text", "[^a-zA-Z]+", ""))
 
 
 @query("N3 N4 W2 A12 T22", _PROFILE.format(grams=_GRAMS.format(n=2)))

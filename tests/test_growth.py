@@ -131,3 +131,29 @@ def test_numbers_are_made_once(spark):
     rows = spark.createDataFrame([("0-306-40615-2",), ("030640615x",), (None,), ("978 0306406157",)], "v string")
     got = rows.select(isbn.valid10(F.col("v")), isbn.valid13(F.col("v")), isbn.valid(F.col("v"))).collect()
     assert [tuple(r) for r in got] == [(True, False, True), (False, False, False), (False, False, False), (False, True, True)]
+
+
+def test_grams_are_counted_where_they_are_read(spark, monkeypatch):
+    """Any characters, null labels, repeated keys; a text's grams are no rows of their own."""
+    monkeypatch.setattr(T, "SLICE", 7)
+    texts = ["abcabca", "ab", "", None, "ébé漢😀漢😀漢", "a", "abcé", "zzz"]
+    docs = spark.createDataFrame([(i % 6, t, [None, "x", "y"][i % 3]) for i, t in enumerate(texts)], "id long, text string, lang string").coalesce(1)
+    n = {}
+    for i, t in enumerate(texts):
+        for size in (2, 3):
+            for k in range(len(t or "") - size + 1):
+                key = ([None, "x", "y"][i % 3], t[k : k + size])
+                n[key] = n.get(key, 0) + 1
+    profile = T.ngram_profile(docs, F.col("text"), "lang", (2, 3), 100)
+    assert {(r["lang"], r["gram"]): r["n"] for r in profile.collect()} == n
+    scores = {}
+    for i, t in enumerate(texts):
+        for lang in (None, "x", "y"):
+            s = sum((lang, t[k : k + size]) in n for size in (2, 3) for k in range(len(t or "") - size + 1))
+            if s:
+                scores[i % 6, lang] = scores.get((i % 6, lang), 0) + s
+    got = T.profile_scores(docs, F.col("text"), "id", profile, "lang", (2, 3))
+    assert {(r["id"], r["lang"]): r["score"] for r in got.collect()} == scores
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    long = T.ngram_profile(docs, F.col("text"), "lang", (4,), 100)
+    assert T.profile_scores(docs, F.col("text"), "id", long, "lang", (4,)).count() > 0
