@@ -157,3 +157,21 @@ def test_grams_are_counted_where_they_are_read(spark, monkeypatch):
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
     long = T.ngram_profile(docs, F.col("text"), "lang", (4,), 100)
     assert T.profile_scores(docs, F.col("text"), "id", long, "lang", (4,)).count() > 0
+
+
+def test_groups_of_like_titles_without_pairs_of_records(spark):
+    """Records of one title share their group; of repeated ids the groups are those of pairs."""
+    rows = [(i, ["green metal box", "green metal bax", "other", "alone"][i % 4 if i > 1 else 3], "b") for i in range(400)]
+    docs = spark.createDataFrame(rows, "id long, title string, kind string").coalesce(1)
+
+    def run():
+        return D.like_groups(docs.filter("id < 397 OR title <> 'alone'"), ["kind"], "title", 0.85).collect()
+
+    got, moved = n_exchanged(spark, run)
+    by = lambda *names: sorted(i for i, t, _ in rows if t in names)
+    want = {i: by("green metal box", "green metal bax") if "green" in t else by(t) for i, t, _ in rows}
+    assert {r["group_id"]: r["ids"] for r in got} == {i: [j for j in v if j != 399 or "alone" != rows[i][1]] for i, v in want.items() if i != 399}
+    assert moved < 10_000
+    twice = docs.filter("id < 12").unionByName(docs.filter("id = 2 OR id = 4"))
+    pairs = D.similar_groups(D.similar_titles(twice, ["kind"], "title", 0.85, both_ways=True))
+    assert sorted(map(tuple, D.like_groups(twice, ["kind"], "title", 0.85).collect())) == sorted(map(tuple, pairs.collect()))
