@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 
 import pytest
 from oracle import check, connect
+from test_growth import n_exchanged
 
 from quillstone.operators import likeness
 from quillstone.operators.components import components
@@ -113,3 +114,38 @@ def test_title_queries_over_more_rows(spark, name):
     found = registry.all_queries()[name]
     got, want = check(found.run(spark, folder), connect(folder), found.sql)
     assert got == want and got
+
+
+@pytest.mark.parametrize("chunk, tasks, least", [(16, 5, 0.7), (1 << 14, 3, 0.55)])
+def test_cells_are_all_pairs(spark, monkeypatch, chunk, tasks, least):
+    """Several groups and slices, strings beyond a word of 64 bits on either side or both, any characters, ids as strings."""
+    for name, value in (("CHUNK", chunk), ("TASKS", tasks)):
+        monkeypatch.setattr(likeness, name, value)
+    r = random.Random(5)
+    long = ["".join(r.choice("ab漢😀 ") for _ in range(n)) for n in (60, 63, 64, 65, 70, 90, 130, 300)]
+    texts = sorted({*titles(3, 60), *long, *(t[:k] + "x" + t[k + 2 :] for t in long for k in (0, 5, len(t) // 2)), *(t[: len(t) - 6] for t in long)})
+    rows = [(f"n{k}", t) for k, t in enumerate(texts)]
+    got = {(x["a"], x["b"]): x["ratio"] for x in likeness.similar_strings(spark.createDataFrame(rows, "id string, t string"), least).collect()}
+    want = {}
+    for k, (i, x) in enumerate(rows):
+        for j, y in rows[k + 1 :]:
+            ratio = round(1 - edits(x, y) / max(len(x), len(y)), 6)
+            if ratio >= least:
+                want[min(i, j), max(i, j)] = ratio
+    assert got == want
+    assert {len(x) > 64 for x in long} == {True, False} and len(want) > 50
+
+
+def test_pairs_that_share_common_grams_are_not_shuffled(spark):
+    """Titles of 20 syllables, all of one length: nearly every pair has as many grams in common as it must."""
+    r = random.Random(6)
+    parts = [a + b for a in "thrnd" for b in "aeio"]
+    rows = [(k, "".join(r.choice(parts) for _ in range(20))) for k in range(600)]
+    frame = spark.createDataFrame(rows, "id long, t string")
+
+    def alike():
+        return likeness.similar_strings(frame, 0.7).count()
+
+    _, moved = n_exchanged(spark, alike)
+    assert moved < 600 * likeness.TASKS * 2 + 1000
+    assert moved < 600 * 599 // 2
