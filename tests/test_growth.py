@@ -175,3 +175,19 @@ def test_groups_of_like_titles_without_pairs_of_records(spark):
     twice = docs.filter("id < 12").unionByName(docs.filter("id = 2 OR id = 4"))
     pairs = D.similar_groups(D.similar_titles(twice, ["kind"], "title", 0.85, both_ways=True))
     assert sorted(map(tuple, D.like_groups(twice, ["kind"], "title", 0.85).collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_groups_of_page_titles_without_pairs(spark, tmp_path):
+    """Titles of 20 syllables: nearly all pairs share common grams, and none of them may be shuffled."""
+    r = np.random.default_rng(3)
+    parts = [a + b for a in "thrnd" for b in "aeio"]
+    rows = [(k, f"<title>{''.join(r.choice(parts, 20))}</title>") for k in range(1200)]
+    rows += [(k + 1200, rows[k][1].replace("<title>", "<title>x")) for k in range(0, 1200, 100)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+
+    def groups():
+        return [tuple(x) for x in ALL["title_groups"].run(spark, str(tmp_path)).select("page_id", "group_id", "n_links").collect()]
+
+    got, moved = n_exchanged(spark, groups)
+    assert len(got) == 1212 and {(k + 1200, k) for k in range(0, 1200, 100)} <= {x[:2] for x in got}
+    assert moved < 1212 * 1211 // 4
