@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from quillstone.operators import ranges
 from quillstone.operators import word_vectors as word_vector_model
 
+#: Texts that one part of the training of word vectors holds.
+PART_ROWS = 2000
+
 
 def split_by_id(rows: DataFrame, key: str, parts: int, test: int) -> DataFrame:
     """Rows with is_test: ids of one residue."""
@@ -29,14 +33,20 @@ def split_stratified(rows: DataFrame, key: str, label: str, every: int) -> DataF
     return placed.withColumn("is_test", (F.col("__k") - F.col("__first") + 1) % every == 0).select(*rows.columns, "is_test")
 
 
-def text_pipeline(kind: str, size: int = 512) -> Pipeline:
-    """Words without stop words, weighted by tf-idf, into a forest, a two-layer network or a linear model."""
+def text_parts(rows: DataFrame, least: int = 4) -> int:
+    """In how many parts word vectors are trained on so many texts: the work of a part doesn't grow with the table."""
+    return max(least, math.ceil(rows.count() / PART_ROWS))
+
+
+def text_pipeline(kind: str, size: int = 512, parts: int = 4) -> Pipeline:
+    """Words without stop words, weighted by tf-idf, into a forest, a two-layer network or a linear model; or the mean of the
+    words' vectors, trained in ``parts`` parts at once, into a linear model."""
     words = [RegexTokenizer(inputCol="text", outputCol="raw", pattern=r"[^\p{L}]+"), StopWordsRemover(inputCol="raw", outputCol="words")]
     if kind == "forest":
         return Pipeline(stages=[*words, CountVectorizer(inputCol="words", outputCol="tf", vocabSize=size), IDF(inputCol="tf", outputCol="features"), RandomForestClassifier(numTrees=100, seed=42)])
     if kind == "network":
         return Pipeline(stages=[*words, HashingTF(inputCol="words", outputCol="tf", numFeatures=128), IDF(inputCol="tf", outputCol="features"), MultilayerPerceptronClassifier(layers=[128, 16, 2], seed=42, maxIter=30)])
-    return Pipeline(stages=[*words, Word2Vec(inputCol="words", outputCol="features", vectorSize=16, minCount=2, seed=42, numPartitions=4, maxIter=4), LogisticRegression(maxIter=30)])
+    return Pipeline(stages=[*words, Word2Vec(inputCol="words", outputCol="features", vectorSize=16, minCount=2, seed=42, numPartitions=parts, maxIter=4), LogisticRegression(maxIter=30)])
 
 
 def tabular_pipeline(columns: list[str], kind: str = "linear") -> Pipeline:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import isbn
 from quillstone.operators import duplicates as D
+from quillstone.operators import ml
 from quillstone.operators import ranges as R
 from quillstone.operators import text as T
 from quillstone.plans import registry
@@ -191,3 +192,14 @@ def test_groups_of_page_titles_without_pairs(spark, tmp_path):
     got, moved = n_exchanged(spark, groups)
     assert len(got) == 1212 and {(k + 1200, k) for k in range(0, 1200, 100)} <= {x[:2] for x in got}
     assert moved < 1212 * 1211 // 4
+
+
+def test_parts_of_word_vectors_grow_with_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(ml, "PART_ROWS", 10)
+    docs = spark.createDataFrame([(k, f"good word{k % 7}" if k % 2 else f"bad term{k % 5}", k % 2) for k in range(100)], "id long, text string, y int")
+    parts = ml.text_parts(docs)
+    pipeline = ml.text_pipeline("vectors", parts=parts)
+    assert parts == 10 and [s.getNumPartitions() for s in pipeline.getStages() if hasattr(s, "getNumPartitions")] == [10]
+    assert ml.text_parts(docs.limit(0)) == 4
+    got = ml.fit_predict(pipeline, docs, F.col("y"), F.col("id") % 4 == 0)
+    assert got.count() == 25 and got.filter("prediction IS NULL").count() == 0
