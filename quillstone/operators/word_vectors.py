@@ -9,6 +9,7 @@ partition, so reruns agree.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from quillstone.operators.lineage import cut, prepare
 
-#: Rows of a table that travel as one block; words that are trained on at once.
-BLOCK, WORDS = 2048, 20_000
+#: Rows of a table that travel as one block; words that are trained on at once; words of a partition, of which there are
+#: as many as it takes, ``parts`` at least.
+BLOCK, WORDS, PART_WORDS = 2048, 20_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -78,23 +80,30 @@ class Tables:
     def loss_and_gradients(self, words: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Of words and, for each, one true context and then false ones: the loss, and its slopes by word and by target."""
         rows = self._rows[words]
-        there = (rows >= 0)[:, :, None]
-        mean = (self.parts[rows] * there).sum(1) / there.sum(1)
-        out = self.contexts[targets]
+        there = rows >= 0
+        sizes = there.sum(1)
+        mean = np.add.reduceat(self.parts.take(rows[there], 0), np.cumsum(sizes) - sizes) / sizes.astype(self.parts.dtype)[:, None]
+        out = self.contexts.take(targets, 0)
         score = np.einsum("nd,nkd->nk", mean, out)
-        true = np.zeros(score.shape)
+        true = np.zeros_like(score)
         true[:, 0] = 1
         loss = np.logaddexp(0, np.where(true > 0, -score, score)).sum()
         g = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - true
         return float(loss), np.einsum("nk,nkd->nd", g, out), g[:, :, None] * mean[:, None, :]
 
-    def _move(self, which: int, rows: np.ndarray, slopes: np.ndarray) -> None:
+    def _move(self, which: int, rows: np.ndarray, of: np.ndarray, slopes: np.ndarray) -> None:
+        """One step of a table's rows, each with the slopes numbered in ``of``; those of one row are added in order."""
         table, steps = (self.parts, self.contexts)[which], self.steps[which]
-        unique, back = np.unique(rows, return_inverse=True)
-        total = np.zeros((len(unique), slopes.shape[1]))
-        np.add.at(total, back, slopes)
-        steps[unique] += (total**2).mean(1)
-        table[unique] -= (self.settings.rate * total / np.sqrt(steps[unique] + 1e-8)[:, None]).astype(table.dtype)
+        bits = len(rows).bit_length()
+        code = np.sort(rows.astype(np.int64) << bits | np.arange(len(rows)))
+        row, of = code >> bits, of[code & ((1 << bits) - 1)]
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        times = np.diff(np.append(first, len(row)))
+        unique, total, more = row[first], slopes.take(of[first], 0), times > 1
+        if more.any():
+            total[more] = np.add.reduceat(slopes.take(of[np.repeat(more, times)], 0), np.cumsum(times[more]) - times[more])
+        steps[unique] += np.einsum("nd,nd->n", total, total) / total.shape[1]
+        table[unique] = table.take(unique, 0) - total * (self.settings.rate / np.sqrt(steps[unique] + 1e-8)).astype(table.dtype)[:, None]
 
     def train(self, texts: list[list[str]], rng: np.random.Generator) -> None:
         """One pass over the pairs of words in each other's window, in random order."""
@@ -113,9 +122,9 @@ class Tables:
             _, by_word, by_target = self.loss_and_gradients(words[own], targets)
             rows = self._rows[words[own]]
             there = rows >= 0
-            each = np.repeat(by_word / there.sum(1)[:, None], there.sum(1), axis=0)
-            self._move(1, targets.ravel(), by_target.reshape(-1, self.settings.size))
-            self._move(0, rows[there], each)
+            sizes = there.sum(1)
+            self._move(1, targets.ravel(), np.arange(targets.size), by_target.reshape(-1, self.settings.size))
+            self._move(0, rows[there], np.repeat(np.arange(len(own)), sizes), by_word / sizes.astype(by_word.dtype)[:, None])
 
 
 def _round(parts, contexts, settings: Settings, turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +194,9 @@ def train(docs: DataFrame, key: str, words: Column, settings: Settings | None =
     rng = np.random.default_rng(settings.seed)
     tables = [((rng.random((settings.buckets, settings.size)) - 0.5) / settings.size).astype(np.float32), np.zeros((settings.contexts, settings.size), np.float32)]
     rows = docs.select(F.col(key).alias("key"), words.alias("words"))
-    rows = cut(rows.repartition(settings.parts, F.xxhash64("key")).sortWithinPartitions("key", "words"))
+    n_words = rows.agg(F.sum(F.greatest(F.size("words"), F.lit(0)).cast("long"))).first()[0] or 0
+    parts = max(settings.parts, math.ceil(n_words / PART_WORDS))
+    rows = cut(rows.repartition(parts, F.xxhash64("key")).sortWithinPartitions("key", "words"))
     for turn in range(settings.rounds):
         sent = [sc.broadcast(t) for t in tables]
         changes = rows.mapInArrow(lambda b, turn=turn, sent=sent: _round(*sent, settings, turn, b), "side int, at int, change binary, moved binary")

@@ -96,3 +96,27 @@ def test_null_and_no_texts(spark):
     assert W.train(odd, "id", F.col("words"), SMALL).parts.shape == (1 << 12, 16)
     nothing = W.train(odd.limit(0), "id", F.col("words"), SMALL)
     assert not nothing.contexts.any()
+
+
+def test_partitions_grow_with_the_words(spark, model, monkeypatch):
+    """2,400 words in partitions of 300 or less on average, where there were three; the work of one doesn't grow."""
+    _, docs, _ = model
+    found = []
+    monkeypatch.setattr(W, "PART_WORDS", 300)
+    monkeypatch.setattr(W, "cut", lambda df, cut=W.cut: found.append(cut(df)) or found[-1])
+    W.train(docs.limit(300), "id", F.col("words"), W.Settings(size=4, buckets=256, contexts=128, rounds=1, parts=3))
+    assert found[0].rdd.getNumPartitions() == 8
+
+
+def test_steps_add_slopes_of_a_row_once():
+    """Rows that come once and often, against a plain sum."""
+    r = np.random.default_rng(4)
+    s = W.Settings(size=3, buckets=9, contexts=5, rate=0.5)
+    parts = r.normal(size=(9, 3))
+    tables = W.Tables(parts, r.normal(size=(5, 3)), s)
+    rows, of, slopes = np.array([4, 1, 4, 7, 4, 1]), np.array([0, 1, 2, 0, 1, 2]), r.normal(size=(3, 3))
+    tables._move(0, rows, of, slopes)
+    for row in range(9):
+        total = slopes[of[rows == row]].sum(0)
+        step = (total**2).mean()
+        assert np.allclose(tables.parts[row], parts[row] - 0.5 * total / np.sqrt(step + 1e-8)) and np.isclose(tables.steps[0][row], step)
