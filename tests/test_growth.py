@@ -203,3 +203,11 @@ def test_parts_of_word_vectors_grow_with_the_texts(spark, monkeypatch):
     assert ml.text_parts(docs.limit(0)) == 4
     got = ml.fit_predict(pipeline, docs, F.col("y"), F.col("id") % 4 == 0)
     assert got.count() == 25 and got.filter("prediction IS NULL").count() == 0
+
+
+def test_letters_are_kept_as_by_sql(spark, tmp_path):
+    """Every character below 256 and some beyond, white space of all kinds, and letters whose lower case is ASCII."""
+    odd = "".join(map(chr, [*range(1, 256), 0x130, 0x212A, 0x2028, 0x3000, 0xFFFF, 0x1F600]))
+    texts = [odd, odd[::-1], "a\x0bb", "A.. b--C\t\n d\r\x0c", "", None, "  ", "😀x😀"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    same_as_sql(spark, tmp_path, "clean_alpha")
