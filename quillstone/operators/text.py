@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import char_ngrams
-from quillstone.operators.lineage import prepare
+from quillstone.operators.lineage import cut, prepare
 
 #: Rows of profiles, and words of a vocabulary, up to which they are sent to every task; the size is checked.
 FEW_PROFILES, FEW_WORDS = 1 << 16, 1 << 20
@@ -187,6 +187,34 @@ def tfidf(docs: DataFrame, key: str, words: Column) -> DataFrame:
     return tf.join(F.broadcast(df) if n_words <= FEW_WORDS else df, "token").select(key, "token", "tf", "df", weight.alias("weight"))
 
 
+def tfidf_best(docs: DataFrame, key: str, words: Column, top: int, digits: int) -> DataFrame:
+    """(key, token, tf, df, weight): each text's ``top`` weights, rounded, ties by token.
+
+    Of a larger vocabulary the most frequent words, FEW_WORDS at most, go to every task, where a text's best of them are
+    found beside the text. Only these and the rare words' rows are then dealt out, by word and by text again.
+    """
+    df = cut(docs.select(F.explode(F.array_distinct(words)).alias("token")).groupBy("token").agg(F.count("*").alias("df")))
+    total, left, least = docs.agg(F.count("*")).first()[0], FEW_WORDS, 1
+    if df.count() > FEW_WORDS:
+        # From which frequency on words are few enough: a row of counts for each power of two.
+        size = F.length(F.bin("df"))
+        for bits, n in df.groupBy(size.alias("bits")).agg(F.count("*")).orderBy(F.col("bits").desc()).collect():
+            left -= n
+            if left < 0:
+                least = 1 << bits
+                break
+    weight = F.round(F.col("tf") * F.log((F.lit(total) + 1) / (F.col("df") + 1)), digits)
+    tf = docs.select(key, words.alias("__w")).repartition(key).select(key, F.explode("__w").alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    near = tf.join(F.broadcast(df.filter(F.col("df") >= least)), "token", "left" if least > 1 else "inner").withColumn("weight", weight)
+    best = lambda *by: F.row_number().over(Window.partitionBy(key, *by).orderBy(F.col("weight").desc(), "token"))
+    if least > 1:
+        rare = F.col("df").isNull()
+        kept = near.withColumn("__place", best(rare)).filter((F.col("__place") <= top) | rare).drop("__place", "weight")
+        known = df.filter(F.col("df") < least).withColumnRenamed("df", "__df")
+        near = kept.join(known, "token", "left").withColumn("df", F.coalesce("df", "__df")).drop("__df").withColumn("weight", weight)
+    return near.withColumn("__place", best()).filter(F.col("__place") <= top).select(key, "token", "tf", "df", "weight")
+
+
 def tfidf_fit(train: DataFrame, words: Column, stop: Sequence[str], most: int) -> DataFrame:
     """(token, index, idf) of the ``most`` frequent words of the training texts that aren't stop words, ties by word; indexes from 0."""
     kept = F.filter(words, lambda x: ~x.isin(*stop)) if stop else words

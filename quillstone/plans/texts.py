@@ -195,11 +195,7 @@ def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 df AS (SELECT token, count(*) AS df FROM tf GROUP BY token), s AS (SELECT doc_id, token, tf, df, round(tf * ln((1 + (SELECT count(*) FROM documents)) / (df + 1)), 4) AS weight FROM tf JOIN df USING (token))
 SELECT doc_id, token, tf, df, weight FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, token) <= 3""")
 def tfidf_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = T.tfidf(_docs(spark, sf_dir), "doc_id", _tokens()).withColumn("weight", F.round("weight", 4))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("weight").desc(), "token"))
-    return rows.withColumn("place", place).filter("place <= 3").drop("place")
+    return T.tfidf_best(_docs(spark, sf_dir), "doc_id", _tokens(), 3, 4)
 
 
 @query("N10", f"""WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents), train AS (SELECT * FROM t WHERE doc_id % 4 <> 0 AND token NOT IN ({', '.join(repr(w) for w in STOP)})),

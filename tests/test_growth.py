@@ -211,3 +211,20 @@ def test_letters_are_kept_as_by_sql(spark, tmp_path):
     texts = [odd, odd[::-1], "a\x0bb", "A.. b--C\t\n d\r\x0c", "", None, "  ", "😀x😀"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     same_as_sql(spark, tmp_path, "clean_alpha")
+
+
+def test_best_weights_of_a_vocabulary_that_is_not_sent_whole(spark, tmp_path, monkeypatch):
+    """Of 900 words only a few are sent to tasks; rows of the others alone are shuffled by word."""
+    monkeypatch.setattr(T, "FEW_WORDS", 40)
+    name = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3))
+    texts = [" ".join([name(k % 9), name(k % 9), name(k % 30), *(name(k * j % 41) for j in range(60)), *(name(100 + 4 * k + j) for j in range(4))]) for k in range(200)]
+    rows = [(k, t) for k, t in enumerate([*texts, "", None, "aaa", " ".join(name(i) for i in range(100, 150))])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def best():
+        return same_as_sql(spark, tmp_path, "tfidf_top")
+
+    got, moved = n_exchanged(spark, best)
+    assert len(got) == 3 * 201 + 1
+    # Texts, partitions' different words, rare words' rows by word and by text: not each text's words by word and by text.
+    assert moved < 1.6 * sum(len(set(t.split())) for t in texts)
