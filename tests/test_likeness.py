@@ -149,3 +149,16 @@ def test_pairs_that_share_common_grams_are_not_shuffled(spark):
     _, moved = n_exchanged(spark, alike)
     assert moved < 600 * likeness.TASKS * 2 + 1000
     assert moved < 600 * 599 // 2
+
+
+def test_segments_are_looked_for_at_lengths_that_are_there(spark):
+    """Titles cut at 60 characters have no partner of 61 to 70, for which most segments were looked up."""
+    r = random.Random(8)
+    rows = [(k, "".join(r.choice("abcdefghijklmnop ") for _ in range(60))) for k in range(200)]
+    rows += [(k + 200, "zz" + t[2:]) for k, t in rows[:20]]
+
+    def alike():
+        return likeness.candidates(spark.createDataFrame(rows, "id long, t string"), 0.85).count()
+
+    got, moved = n_exchanged(spark, alike)
+    assert got >= 20 and moved < 220 * 100
