@@ -123,6 +123,8 @@ def train(rows: DataFrame, columns: Sequence[str], label: Column, held_out: Colu
     # Held-out rows are a batch of their own, numbered -1.
     batch = F.when(F.col("out"), -1).otherwise(F.pmod(F.col("row"), F.lit(settings.batches))).cast("int")
     ready = cut(known.select(x.alias("x"), "y", "row", batch.alias("batch")))
+    # A step reads its own batch only, not all rows.
+    dealt = {number: cut(ready.filter(F.col("batch") == number).drop("batch")) for number in range(-1, settings.batches)}
 
     def sums(weights: Weights, number: int, step: int) -> tuple[float, int, np.ndarray, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +137,7 @@ def train(rows: DataFrame, columns: Sequence[str], label: Column, held_out: Colu
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array([total[0]]), pa.array([total[1]]), pa.array([total[2].tobytes()], pa.binary()), pa.array([total[3].tobytes()], pa.binary())], names=["loss", "n", "one", "two"])
 
-        got = ready.filter(F.col("batch") == number).mapInArrow(run, "loss double, n long, one binary, two binary").collect()
+        got = dealt[number].mapInArrow(run, "loss double, n long, one binary, two binary").collect()
         shape = lambda name, like: sum((np.frombuffer(bytes(r[name])).reshape(like.shape) for r in got), np.zeros_like(like))
         return sum(r["loss"] for r in got), sum(r["n"] for r in got), shape("one", weights.one), shape("two", weights.two)
 

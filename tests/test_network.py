@@ -69,3 +69,12 @@ def test_no_rows_and_odd_columns(spark, rows):
     constant = rows.withColumn("c", F.lit(1.0))
     model = N.train(constant, ["a", "c"], F.col("y"), F.lit(False), F.col("id"), settings=N.Settings(epochs=1))
     assert model.losses == [] and model.predict(constant).filter("prediction IS NULL").count() == 0
+
+
+def test_steps_read_their_own_batch(rows, monkeypatch):
+    """All rows are written once, and once more by batch; together the batches hold each row once."""
+    found = []
+    monkeypatch.setattr(N, "cut", lambda df, cut=N.cut: found.append(cut(df)) or found[-1])
+    N.train(rows, COLUMNS, F.col("y"), F.col("id") % 4 == 0, F.col("id"), settings=N.Settings(epochs=1, batches=3))
+    whole, *batches = (f.count() for f in found)
+    assert len(batches) == 4 and sum(batches) == whole == 1199 and batches[0] == 300 and max(batches[1:]) < 400
