@@ -3,12 +3,15 @@
 import random
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from oracle import check, connect
+from pyspark.sql import functions as F
 from test_growth import n_exchanged
 
+from quillstone.operators import components as components_of
 from quillstone.operators import likeness
-from quillstone.operators.components import components
+from quillstone.operators.components import components, tallied
 from quillstone.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -162,3 +165,63 @@ def test_segments_are_looked_for_at_lengths_that_are_there(spark):
 
     got, moved = n_exchanged(spark, alike)
     assert got >= 20 and moved < 220 * 100
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_tallies_of_links_in_parts(spark, kind):
+    """Batches of few links, pairs that come twice, links of an id to itself, long chains, and tallies begun anew."""
+    r = random.Random(9)
+    links = [(k + 1, k) for k in range(100, 160)] + [(k, 0) for k in range(1, 40)] + [(r.randrange(200, 320), r.randrange(200, 320)) for _ in range(90)] + [(7, 7), (100, 101), (101, 100)]
+    r.shuffle(links)
+    frame = spark.createDataFrame(links, "a long, b long").select(*(F.col(x).cast(kind) for x in "ab")).repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = tallied(frame).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    of = int if kind == "long" else str
+    n = {}
+    for x in (x for pair in links for x in pair):
+        n[of(x)] = n.get(of(x), 0) + 1
+    sums = {}
+    for x in got:
+        sums[x["id"]] = sums.get(x["id"], 0) + x["n"]
+    assert sums == n and len(got) <= 3 * len(n)
+    ids = spark.createDataFrame([(x,) for x in n], f"id {kind}")
+    same = lambda df: sorted(map(tuple, components(ids, df).collect()))
+    leads = spark.createDataFrame([(x["id"], x["leads"]) for x in got], f"a {kind}, b {kind}")
+    assert same(leads) == same(frame)
+    assert tallied(frame.limit(0)).count() == 0
+
+
+def test_tallies_are_handed_on(monkeypatch):
+    monkeypatch.setattr(components_of, "MOST_IDS", 10)
+    batches = [pa.RecordBatch.from_pydict({"a": [k, k], "b": [k + 1, k + 2]}) for k in range(0, 60, 2)]
+    got = list(components_of._tally(iter(batches)))
+    assert len(got) > 4 and max(map(len, got)) <= 13 and sum(sum(x["n"].to_pylist()) for x in got) == 120
+
+
+def test_a_cell_hands_its_pairs_on(monkeypatch):
+    """Titles that are all alike have as many links as pairs: they are not held until the cell is done."""
+    monkeypatch.setattr(likeness, "HELD", 100)
+    texts = [f"{'same title but for its end ' * times} {k:03d}" for times in (2, 4) for k in range(60)]
+    n = len(texts)
+    table = pa.table({"id": [*range(n)] * 2, "t": texts * 2, "i": [0] * 2 * n, "j": [0] * 2 * n, "left": [True] * n + [False] * n})
+    got = list(likeness._cell(likeness.Bounds(0.7, "levenshtein"), table))
+    assert max(map(len, got)) <= 100 + n
+    pairs = [p for x in got for p in zip(x["a"].to_pylist(), x["b"].to_pylist())]
+    assert sorted(pairs) == [(i, j) for i in range(n) for j in range(i + 1, n) if (i < 60) == (j < 60)]
+
+
+def test_links_of_titles_that_are_all_alike_are_not_written(spark, tmp_path, monkeypatch):
+    """500 titles, each like all others: 124,750 links, of which none is shuffled or cut."""
+    monkeypatch.setattr(likeness, "TASKS", 4)
+    rows = [(k, f"<title>one title in many forms of which this is {k}</title>") for k in range(500)]
+    spark.createDataFrame([*rows, (500, rows[3][1]), (501, "<title>another</title>"), (502, "<p>none</p>")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+
+    def groups():
+        return sorted(map(tuple, registry.all_queries()["title_groups"].run(spark, str(tmp_path)).select("page_id", "class_id", "group_id", "n_links").collect()))
+
+    got, moved = n_exchanged(spark, groups)
+    assert got == [*((k, k, 0, 499) for k in range(500)), (500, 3, 0, 499), (501, 501, 501, 0)]
+    assert moved < 20_000
