@@ -58,6 +58,7 @@ class Tables:
     def __init__(self, parts: np.ndarray, contexts: np.ndarray, settings: Settings) -> None:
         self.parts, self.contexts, self.settings = parts.copy(), contexts.copy(), settings
         self.steps = (np.zeros(len(parts)), np.zeros(len(contexts)))
+        self._places = (np.zeros(len(parts), np.int64), np.zeros(len(contexts), np.int64))
         self._known: dict[str, int] = {}
         self._rows, self._of_context = np.zeros((0, 1), np.int64), np.zeros(0, np.int64)
 
@@ -77,54 +78,92 @@ class Tables:
                 self._known[w] = len(self._known)
         return np.array([self._known[w] for w in words], np.int64)
 
-    def loss_and_gradients(self, words: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Of words and, for each, one true context and then false ones: the loss, and its slopes by word and by target."""
+    def _met(self, which: int, rows: np.ndarray, of: np.ndarray, share: np.ndarray | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """A table's rows, each once, and how often (or with what share) it stands beside each of n numbers in ``of``. No sort:
+        what is written to a row's place last stands for it."""
+        own, k = self._places[which], np.arange(len(rows))
+        own[rows] = k
+        last = own.take(rows)
+        first = np.flatnonzero(last == k)
+        own[rows.take(first)] = np.arange(len(first))
+        at = of * len(first)
+        at += own.take(rows)
+        return rows.take(first), np.bincount(at, share, n * len(first)).astype(self.parts.dtype).reshape(n, len(first))
+
+    def _parts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' parts, one word's after another's, the word that each is of, and its share of that."""
         rows = self._rows[words]
         there = rows >= 0
         sizes = there.sum(1)
-        mean = np.add.reduceat(self.parts.take(rows[there], 0), np.cumsum(sizes) - sizes) / sizes.astype(self.parts.dtype)[:, None]
-        out = self.contexts.take(targets, 0)
-        score = np.einsum("nd,nkd->nk", mean, out)
-        true = np.zeros_like(score)
-        true[:, 0] = 1
-        loss = np.logaddexp(0, np.where(true > 0, -score, score)).sum()
-        g = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - true
-        return float(loss), np.einsum("nk,nkd->nd", g, out), g[:, :, None] * mean[:, None, :]
+        return rows[there], np.arange(len(words)).repeat(sizes), (1 / sizes).repeat(sizes)
+
+    def _slopes(self, mean: np.ndarray, out: np.ndarray, true: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of words with contexts, and slopes by word and by context: each word's with each context, as often as ``weight`` says."""
+        score = mean @ out.T
+        g = np.tanh(score * 0.5)
+        g *= 0.5
+        g += 0.5
+        g -= true
+        g *= weight
+        return score, g @ out, g.T @ mean
+
+    def loss_and_gradients(self, words: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Of words and, for each, one true context and then false ones: the loss, and its slopes by word and by target."""
+        n, k = targets.shape
+        true, weight = (np.kron(np.eye(n), np.arange(k) < most) for most in (1, k))
+        parts, shares = self._met(0, *self._parts(words), n)
+        score, by_word, by_target = self._slopes(shares @ self.parts[parts], self.contexts[targets.ravel()], true, weight)
+        loss = (np.logaddexp(0, np.where(true > 0, -score, score)) * weight).sum()
+        return float(loss), by_word, by_target.reshape(n, k, -1)
+
+    def _step(self, which: int, rows: np.ndarray, was: np.ndarray, slopes: np.ndarray) -> None:
+        """One step of a table's rows, each there once, from what they are."""
+        steps = self.steps[which]
+        own = steps.take(rows)
+        own += np.einsum("nd,nd->n", slopes, slopes) / slopes.shape[1]
+        steps[rows] = own
+        slopes *= (self.settings.rate / np.sqrt(own + 1e-8)).astype(slopes.dtype)[:, None]
+        (self.parts, self.contexts)[which][rows] = was - slopes
 
     def _move(self, which: int, rows: np.ndarray, of: np.ndarray, slopes: np.ndarray) -> None:
-        """One step of a table's rows, each with the slopes numbered in ``of``; those of one row are added in order."""
-        table, steps = (self.parts, self.contexts)[which], self.steps[which]
-        bits = len(rows).bit_length()
-        code = np.sort(rows.astype(np.int64) << bits | np.arange(len(rows)))
-        row, of = code >> bits, of[code & ((1 << bits) - 1)]
-        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        times = np.diff(np.append(first, len(row)))
-        unique, total, more = row[first], slopes.take(of[first], 0), times > 1
-        if more.any():
-            total[more] = np.add.reduceat(slopes.take(of[np.repeat(more, times)], 0), np.cumsum(times[more]) - times[more])
-        steps[unique] += np.einsum("nd,nd->n", total, total) / total.shape[1]
-        table[unique] = table.take(unique, 0) - total * (self.settings.rate / np.sqrt(steps[unique] + 1e-8)).astype(table.dtype)[:, None]
+        """One step of a table's rows, each with the slopes numbered in ``of``; those of one row are added."""
+        unique, times = self._met(which, rows, of, None, len(slopes))
+        self._step(which, unique, (self.parts, self.contexts)[which].take(unique, 0), times.T @ slopes)
 
     def train(self, texts: list[list[str]], rng: np.random.Generator) -> None:
-        """One pass over the pairs of words in each other's window, in random order."""
+        """One pass over the pairs of words in each other's window, in steps of up to ``batch`` pairs of words that follow each
+        other; the steps come in random order. Of a word with a whole window each pair has ``negatives`` false contexts, drawn
+        once a step: the words of a step share them, so that scores and slopes are products of small matrices."""
+        s = self.settings
         flat = self.number([w for t in texts for w in t])
-        text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        pairs = []
-        for d in range(1, self.settings.window + 1):
-            at = np.flatnonzero(text[:-d] == text[d:]) if len(text) > d else np.zeros(0, np.int64)
-            pairs += [(flat[at], flat[at + d]), (flat[at + d], flat[at])]
-        words, near = (np.concatenate(x) for x in zip(*pairs))
-        order = rng.permutation(len(words))
-        for a in range(0, len(order), self.settings.batch):
-            own = order[a : a + self.settings.batch]
-            false = flat[rng.integers(0, len(flat), (len(own), self.settings.negatives))]
-            targets = self._of_context[np.column_stack((near[own], false))]
-            _, by_word, by_target = self.loss_and_gradients(words[own], targets)
-            rows = self._rows[words[own]]
-            there = rows >= 0
-            sizes = there.sum(1)
-            self._move(1, targets.ravel(), np.arange(targets.size), by_target.reshape(-1, self.settings.size))
-            self._move(0, rows[there], np.repeat(np.arange(len(own)), sizes), by_word / sizes.astype(by_word.dtype)[:, None])
+        n, run, n_false = len(flat), max(1, s.batch // (2 * s.window)), 2 * s.window * s.negatives
+        n_runs, wide = -(-n // run), run + 2 * s.window
+        # Words of a run, and the places around it; beyond the ends is no text.
+        text = np.full(n_runs * run + 2 * s.window, -1)
+        text[s.window : s.window + n] = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        around = np.arange(n_runs)[:, None] * run + np.arange(wide)
+        apart = np.abs(np.arange(run)[:, None] + s.window - np.arange(wide))
+        own = text[around]
+        pairs = (own[:, s.window : s.window + run, None] == own[:, None]) & (own[:, None] >= 0) & (apart > 0) & (apart <= s.window)
+        n_pairs = pairs.sum(2)
+        near = self._of_context[flat[np.clip(around - s.window, 0, n - 1)]]
+        targets = np.concatenate((near, self._of_context[flat[rng.integers(0, n, (n_runs, n_false))]]), 1)
+        false = (n_pairs * (s.negatives / max(n_false, 1))).astype(self.parts.dtype)
+        rows, of, share = self._parts(flat)
+        starts = np.searchsorted(of, np.arange(n_runs + 1) * run)
+        every = np.arange(wide + n_false)
+        true, weight = np.zeros((2, run, wide + n_false), self.parts.dtype)
+        for k in rng.permutation(np.flatnonzero(n_pairs.any(1))):
+            a, m = k * run, min(run, n - k * run)
+            true[:, :wide] = weight[:, :wide] = pairs[k]
+            weight[:, wide:] = false[k][:, None]
+            here = slice(starts[k], starts[k + 1])
+            parts, shares = self._met(0, rows[here], of[here] - a, share[here], m)
+            was, out = self.parts.take(parts, 0), self.contexts.take(targets[k], 0)
+            _, by_word, by_target = self._slopes(shares @ was, out, true[:m], weight[:m])
+            # Places beyond a text's end stand for no context of its words.
+            self._move(1, targets[k], every, by_target)
+            self._step(0, parts, was, shares.T @ by_word)
 
 
 def _round(parts, contexts, settings: Settings, turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

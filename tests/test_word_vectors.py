@@ -120,3 +120,36 @@ def test_steps_add_slopes_of_a_row_once():
         total = slopes[of[rows == row]].sum(0)
         step = (total**2).mean()
         assert np.allclose(tables.parts[row], parts[row] - 0.5 * total / np.sqrt(step + 1e-8)) and np.isclose(tables.steps[0][row], step)
+
+
+def test_parts_are_read_once_a_word():
+    """Not once for each of the eight pairs that a word is in."""
+
+    class Counted(np.ndarray):
+        n = 0
+
+        def take(self, rows, axis):
+            Counted.n += len(rows)
+            return np.asarray(self).take(rows, axis)
+
+    s = W.Settings(size=4, buckets=512, contexts=64)
+    tables = W.Tables(np.full((512, 4), 0.1, np.float32), np.zeros((64, 4), np.float32), s)
+    text = [f"word{k % 50}" for k in range(640)]
+    tables.parts = tables.parts.view(Counted)
+    tables.train([text[:400], text[400:], ["alone"]], np.random.default_rng(0))
+    assert 0 < Counted.n <= sum(len(W.parts_of(w, s)) for w in text)
+
+
+def test_windows_end_with_their_text():
+    """Pairs of a text in runs that begin and end within texts; contexts beyond a text's ends don't move."""
+    s = W.Settings(size=4, buckets=4096, contexts=4096, window=2, negatives=0, batch=12)
+    tables = W.Tables(np.full((4096, 4), 0.1, np.float32), np.zeros((4096, 4), np.float32), s)
+    texts = [["a", "b"], ["alone"], [f"w{k}" for k in range(7)], ["other"], ["x", "x"]]
+    got = []
+    slopes = tables._slopes
+    tables._slopes = lambda *x: got.append((x[2] * x[3]).sum()) or slopes(*x)
+    tables.train(texts, np.random.default_rng(0))
+    assert sum(got) == 2 + (7 - 1) * 2 + (7 - 2) * 2 + 2
+    at = dict(zip((w for t in texts for w in t), tables.number([w for t in texts for w in t])))
+    moved = tables.steps[1][tables._of_context] > 0
+    assert not moved[at["alone"]] and not moved[at["other"]] and moved[at["b"]] and moved[at["w6"]]
