@@ -8,12 +8,13 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, RegexTokenizer, StandardScaler, StopWordsRemover, VectorAssembler, Word2Vec
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, RegexTokenizer, StandardScaler, StopWordsRemover, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators import ranges
 from quillstone.operators import word_vectors as word_vector_model
+from quillstone.operators.text_vectors import TextVectors
 
 #: Texts that one part of the training of word vectors holds.
 PART_ROWS = 2000
@@ -40,13 +41,13 @@ def text_parts(rows: DataFrame, least: int = 4) -> int:
 
 def text_pipeline(kind: str, size: int = 512, parts: int = 4) -> Pipeline:
     """Words without stop words, weighted by tf-idf, into a forest, a two-layer network or a linear model; or the mean of the
-    words' vectors, trained in ``parts`` parts at once, into a linear model."""
+    words' vectors, trained in ``parts`` parts at once and never gathered, into a linear model."""
     words = [RegexTokenizer(inputCol="text", outputCol="raw", pattern=r"[^\p{L}]+"), StopWordsRemover(inputCol="raw", outputCol="words")]
     if kind == "forest":
         return Pipeline(stages=[*words, CountVectorizer(inputCol="words", outputCol="tf", vocabSize=size), IDF(inputCol="tf", outputCol="features"), RandomForestClassifier(numTrees=100, seed=42)])
     if kind == "network":
         return Pipeline(stages=[*words, HashingTF(inputCol="words", outputCol="tf", numFeatures=128), IDF(inputCol="tf", outputCol="features"), MultilayerPerceptronClassifier(layers=[128, 16, 2], seed=42, maxIter=30)])
-    return Pipeline(stages=[*words, Word2Vec(inputCol="words", outputCol="features", vectorSize=16, minCount=2, seed=42, numPartitions=parts, maxIter=4), LogisticRegression(maxIter=30)])
+    return Pipeline(stages=[*words, TextVectors(parts, word_vector_model.Settings(size=16, window=5, rounds=4, seed=42), least=2), LogisticRegression(maxIter=30)])
 
 
 def tabular_pipeline(columns: list[str], kind: str = "linear") -> Pipeline:

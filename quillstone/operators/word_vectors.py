@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,12 +55,14 @@ def parts_of(word: str, settings: Settings) -> list[int]:
 class Tables:
     """A task's copy: vectors of parts and of contexts, and what its rows' steps have been."""
 
-    def __init__(self, parts: np.ndarray, contexts: np.ndarray, settings: Settings) -> None:
+    def __init__(self, parts: np.ndarray, contexts: np.ndarray, settings: Settings, words: Sequence[str] = ()) -> None:
+        """With ``words``, each of these has one part and one context, its row of the tables."""
         self.parts, self.contexts, self.settings = parts.copy(), contexts.copy(), settings
         self.steps = (np.zeros(len(parts)), np.zeros(len(contexts)))
         self._places = (np.zeros(len(parts), np.int64), np.zeros(len(contexts), np.int64))
-        self._known: dict[str, int] = {}
-        self._rows, self._of_context = np.zeros((0, 1), np.int64), np.zeros(0, np.int64)
+        self._known = {w: k for k, w in enumerate(words)}
+        self._of_context = np.arange(len(words))
+        self._rows = self._of_context[:, None]
 
     def number(self, words: list[str]) -> np.ndarray:
         """Numbers of words, for this task; their parts are looked up once."""
@@ -166,24 +168,27 @@ class Tables:
             self._step(0, parts, was, shares.T @ by_word)
 
 
-def _round(parts, contexts, settings: Settings, turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trains on a partition's texts; gives the change of each block that has any, and which of its rows changed."""
-    old = (parts.value, contexts.value)
-    tables = Tables(*old, settings)
-    rng = np.random.default_rng([settings.seed, turn, TaskContext.get().partitionId()])
+def passed(tables: Tables, texts: Iterable[list[str]], rng: np.random.Generator) -> None:
+    """Trains on texts, about WORDS words at a time."""
     held: list[list[str]] = []
     n = 0
-    for batch in batches:
-        for text in batch.column(1):
-            words = [w for w in text.as_py() or () if w is not None]
-            for a in range(0, len(words), WORDS):
-                held.append(words[a : a + WORDS])
-                n += len(held[-1])
-                if n >= WORDS:
-                    tables.train(held, rng)
-                    held, n = [], 0
+    for words in texts:
+        for a in range(0, len(words), WORDS):
+            held.append(words[a : a + WORDS])
+            n += len(held[-1])
+            if n >= WORDS:
+                tables.train(held, rng)
+                held, n = [], 0
     if held:
         tables.train(held, rng)
+
+
+def _round(parts, contexts, settings: Settings, turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trains on a partition's texts; gives the change of each block that has any, and which of its rows changed."""
+    old = (parts.value, contexts.value)
+    tables = Tables(*old, settings)
+    texts = ([w for w in text.as_py() or () if w is not None] for batch in batches for text in batch.column(1))
+    passed(tables, texts, np.random.default_rng([settings.seed, turn, TaskContext.get().partitionId()]))
     for which, table in enumerate((tables.parts, tables.contexts)):
         moved = tables.steps[which] > 0
         for a in range(0, len(table), BLOCK):
