@@ -225,3 +225,19 @@ def test_links_of_titles_that_are_all_alike_are_not_written(spark, tmp_path, mon
     got, moved = n_exchanged(spark, groups)
     assert got == [*((k, k, 0, 499) for k in range(500)), (500, 3, 0, 499), (501, 501, 501, 0)]
     assert moved < 20_000
+
+
+def test_characters_are_counted_by_place(monkeypatch):
+    """Titles of the same letters in any order: as whole strings all have enough in common, but few have before and behind a place."""
+    r = random.Random(11)
+    letters = list("abcdefghijklmnopqrst" * 3)
+    texts = ["".join(r.sample(letters, 60)) for _ in range(150)]
+    texts += [t[k:] + t[:k] for k, t in enumerate(texts[:12], 1)] + [t[: 60 - 2 * k] for k, t in enumerate(texts[12:20], 1)]
+    measured = []
+    distances = likeness._distances
+    monkeypatch.setattr(likeness, "_distances", lambda masks, m, chars, length: measured.append(len(length)) or distances(masks, m, chars, length))
+    n = len(texts)
+    table = pa.table({"id": [*range(n)] * 2, "t": texts * 2, "i": [0] * 2 * n, "j": [0] * 2 * n, "left": [True] * n + [False] * n})
+    got = [p for x in likeness._cell(likeness.Bounds(0.7, "levenshtein"), table) for p in zip(x["a"].to_pylist(), x["b"].to_pylist())]
+    assert sorted(got) == [(i, j) for i in range(n) for j in range(i + 1, n) if edits(texts[i], texts[j]) <= 0.3 * max(len(texts[i]), len(texts[j]))]
+    assert len(got) > 15 and sum(measured) < n * (n - 1) // 2 // 2
